@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import simhash_dedup
+from millrace.llm import mixing, simhash_dedup
 from millrace.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_mix_to_target_weights": op5_mix_to_target_weights,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mix_to_target_weights": mixing.oracle()}
