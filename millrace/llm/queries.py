@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, simhash_dedup
-from millrace.llm.common import table
+from millrace.llm import language_id, mixing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from millrace.llm.common import remainder, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(remainder("doc_id", 4) != 2))
+    return language_id.predict(docs.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    return toxicity.score(docs.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +30,24 @@ def op5_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    return quality_classifier.score(docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trees = quality_rules.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    return quality_rules.judge(docs.select("doc_id", "text"), trees, keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_to_target_weights": op5_mix_to_target_weights,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op5_mix_to_target_weights": mixing.oracle()}
