@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, mixing, quality_classifier, quality_rules, simhash_dedup, toxicity
-from millrace.llm.common import remainder, table
+from millrace.llm import language_id, mixing, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity
+from millrace.llm.common import remainder, shared_path, table
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_sums(spark, folder)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trees = quality_rules.fit(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_to_target_weights": op5_mix_to_target_weights,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op5_mix_to_target_weights": mixing.oracle()}
