@@ -101,6 +101,7 @@ def slots(sources: DataFrame, most: int = MOST, shard: int = SHARD, seed: int =
     keyed = passes.withColumn("keys", F.transform(rounds, lambda r: F.pmod(hashed(seed, "key", F.col("source_no"), F.col("pass"), r), F.col("n_blocks"))))
     keyed = keyed.withColumn("salts", F.transform(rounds, lambda r: F.pmod(hashed(seed, "salt", F.col("source_no"), F.col("pass"), r), F.lit(PRIME)))).drop("n_blocks")
     each = shard_counts(sources, shard, seed).where("n > 0").join(sources.select("source_no", "n_blocks"), "source_no")
+    each = each.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")  # few rows, but each makes many
     each = each.select("source_no", "n_blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     each = each.where(F.col("slot") < most * F.col("n_blocks")).withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
     each = each.join(keyed, ["source_no", "pass"]).withColumn("at", F.pmod("slot", "n_blocks"))
