@@ -137,28 +137,30 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dict]], fields: Iterable[tuple[str, T.DataType]], keep: Sequence[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dict]], fields: Iterable[tuple[str, T.DataType]], keep: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
     """Adds columns made from a text column, batch by batch.
 
     setup() is called once a task and returns a function from a list of UTF-8 texts (None for null) to the new columns.
     keep: the input columns that stay (default: all). A new column replaces an input column of its name.
+    key: the function also gets a 64-bit hash of this column for every text.
     """
     fields = list(fields)
     new = [n for n, _ in fields]
     stay = [c for c in (keep if keep is not None else df.columns) if c not in new]
     schema = T.StructType([df.schema[c] for c in stay] + [T.StructField(n, t) for n, t in fields])
     short_batches(df.sparkSession)
-    source = "__text"
-    sent = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").cast("string").cast("binary").alias(source))
+    extra = [F.xxhash64(F.col(f"`{key}`").cast("string")).alias("__key")] if key else []
+    sent = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").cast("string").cast("binary").alias("__text"), *extra)
 
     def run(batches):
         work = setup()
         kinds = None
         for batch in batches:
             raw = batch.column(len(stay)).to_pylist()
+            keys = batch.column(len(stay) + 1).to_numpy(zero_copy_only=False) if key else None
             out: dict[str, list] = {n: [] for n in new}
             for a, b in slices(raw):
-                made = work(raw[a:b])
+                made = work(raw[a:b], keys[a:b]) if key else work(raw[a:b])
                 for n in new:
                     out[n].extend(made[n])
             kinds = kinds or [arrow_type(t) for _, t in fields]

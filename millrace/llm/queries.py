@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, mixing, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity
+from millrace.llm import language_id, mixing, piece_sampling, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity
 from millrace.llm.common import remainder, shared_path, table
 
 
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(remainder("doc_id", 4) != 2))
@@ -50,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
