@@ -157,6 +157,30 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.unionByName(none).withColumnRenamed("__id", key)
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", weights: Sequence[int] = WEIGHTS, block: int = BLOCK, most: int = MOST, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """The mix as documents: a row for each document and pass with words taken in it, with the columns of docs.
+
+    The text is whole where all its words are taken, and else the taken words, parted by spaces; the length column, if there
+    is one, follows it. Rows that repeat another's key and text are mixed once; texts without words take no part.
+    """
+    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    docs = docs.withColumn("__row", row).dropDuplicates([key, "__row"])
+    sized, rows = sized_rows(docs, key, text, source, [F.col("__row")])
+    sources = written(targets(sized, weights, most, block), "targets")
+    named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("__id", "__row", "source_no", "size")
+    spans = taken_spans(named, sources, "__id", rows, block, most, shard, seed)
+    took = spans.groupBy("__id", "__row", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("spans"), F.sum("n").alias("taken"))
+    took = took.withColumnRenamed("__row", "__r")
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
+    held = docs.join(took, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r"))).withColumn("__words", F.when(F.col("taken") < F.col("size"), words))
+    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    held = held.withColumn("__out", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col(f"`{text}`")))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns if c != "__row"} | {text: F.col("__out")}
+    if length in columns:
+        columns[length] = F.length("__out").cast(docs.schema[length].dataType)
+    return held.select(*[e.alias(c) for c, e in columns.items()])
+
+
 def oracle(block: int = BLOCK, most: int = MOST, shard: int = SHARD, seed: int = SEED, weights: Sequence[int] = WEIGHTS) -> str:
     """DuckDB SQL for mix() on documents."""
     h = lambda *p: "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(p) + ")), 1, 12) AS BIGINT)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id, mixing, piece_sampling, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity
+from millrace.llm import hnsw_dedup, language_id, mixing, piece_sampling, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity, warc
 from millrace.llm.common import remainder, shared_path, table
 
 
@@ -42,6 +42,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
+def op8_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_to_target_weights": op5_mix_to_target_weights,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc_derivatives": op7_warc_derivatives,
+    "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
 }
