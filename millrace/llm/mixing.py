@@ -169,12 +169,12 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     sources = written(targets(sized, weights, most, block), "targets")
     named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("__id", "__row", "source_no", "size")
     spans = taken_spans(named, sources, "__id", rows, block, most, shard, seed)
-    took = spans.groupBy("__id", "__row", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("spans"), F.sum("n").alias("taken"))
-    took = took.withColumnRenamed("__row", "__r")
+    took = spans.groupBy("__id", "__row", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("__spans"), (F.sum("n") < F.col("size")).alias("__partly"))
+    took = took.select("__id", F.col("__row").alias("__r"), "__spans", "__partly")
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
-    held = docs.join(took, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r"))).withColumn("__words", F.when(F.col("taken") < F.col("size"), words))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    held = held.withColumn("__out", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col(f"`{text}`")))
+    held = docs.join(took, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r"))).withColumn("__words", F.when(F.col("__partly"), words))
+    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    held = held.withColumn("__out", F.when(F.col("__partly"), part).otherwise(F.col(f"`{text}`")))
     columns = {c: F.col(f"`{c}`") for c in docs.columns if c != "__row"} | {text: F.col("__out")}
     if length in columns:
         columns[length] = F.length("__out").cast(docs.schema[length].dataType)

@@ -32,6 +32,9 @@ SHORTEST, LONGEST = 64, 1024
 END_ID = 1
 DIGEST = 16
 SEEN = 1_000_000
+ROWS = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, payload binary"
+RECIPES = "part int, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "part int, n_docs long, n_tokens long, root binary"
 
 
 def digest(*parts: bytes) -> bytes:
@@ -161,20 +164,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
                     seen.add(k)
             yield batch.filter(pa.array(keep))
 
-    schema = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, payload binary"
-    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(encode, schema)
+    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(encode, ROWS)
     deal = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
-    rows.repartition(deal).mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/rows")
-    held = spark.read.schema(schema).parquet(f"{folder}/rows").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", F.col("key").alias("root"))
+    rows.repartition(deal).mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/rows")
+    held = spark.read.schema(ROWS).parquet(f"{folder}/rows").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", F.col("key").alias("root"))
     ordered = held.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/sorted")
-    recipes = spark.read.parquet(f"{folder}/sorted")
+    recipes = spark.read.schema(RECIPES.replace("start long, ", "")).parquet(f"{folder}/sorted")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("words")).select("part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
     starts = recipes.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts.join(parts, "part").select("part", "doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "digests", "root").write.parquet(f"{folder}/recipes")
-    manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    manifest(spark.read.schema(RECIPES).parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
@@ -238,7 +240,7 @@ def chunk_sums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // width for p in payloads], pa.int64()), pa.array(crc, pa.int64()), pa.array([digest(p) == k for k, p in zip(keys, payloads)], pa.bool_())], names=["digest", "n", "crc", "sound"])
 
     short_batches(spark)
-    rows = spark.read.parquet(f"{folder}/rows").where("kind = 'chunk'").select("key", "payload")
+    rows = spark.read.schema(ROWS).parquet(f"{folder}/rows").where("kind = 'chunk'").select("key", "payload")
     return rows.mapInArrow(run, "digest binary, n long, crc long, sound boolean")
 
 
@@ -263,7 +265,7 @@ def read_sums(spark: SparkSession, folder: str, key: str = "doc_id", width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=[key, "start", "n_tokens", "ids_crc32", "verified"])
 
     sums = chunk_sums(spark, folder, width)
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     places = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(sums, "digest", "left")
     parts = places.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "crc", "sound"))).alias("parts"))
     held = recipes.select("doc_id", "start", "n_tokens", "root").join(parts, "start").select("doc_id", "start", "n_tokens", "root", "parts")
@@ -272,14 +274,14 @@ def read_sums(spark: SparkSession, folder: str, key: str = "doc_id", width: int
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """(part, sound): whether each part's recipes still give the root in the manifest."""
-    now = manifest(spark.read.parquet(f"{folder}/recipes")).select("part", F.col("root").alias("now"))
-    return spark.read.parquet(f"{folder}/manifest").join(now, "part", "full").select("part", F.col("root").eqNullSafe(F.col("now")).alias("sound"))
+    now = manifest(spark.read.schema(RECIPES).parquet(f"{folder}/recipes")).select("part", F.col("root").alias("now"))
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").join(now, "part", "full").select("part", F.col("root").eqNullSafe(F.col("now")).alias("sound"))
 
 
 def read_ids(spark: SparkSession, folder: str, key: str = "doc_id", width: int = 2) -> DataFrame:
     """(key, start, ids): the ids themselves; moves the payloads."""
-    rows = spark.read.parquet(f"{folder}/rows").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    rows = spark.read.schema(ROWS).parquet(f"{folder}/rows").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     places = recipes.select("doc_id", "start", F.posexplode("digests").alias("pos", "digest")).join(rows, "digest")
     whole = places.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
 

@@ -78,8 +78,10 @@ class Scorer:
             lengths.append(len(w))
         codes, lengths = self.codes(words), np.array(lengths, np.int64)
         llr = self.llr.all[codes]
-        again = np.concatenate([[False], codes[1:] == codes[:-1]])
-        llr[again] = 0.0  # a word said twice in a row is evidence once
+        if len(codes):
+            again = np.concatenate([[False], codes[1:] == codes[:-1]])
+            again[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # a text's first word
+            llr[again] = 0.0  # a word said twice in a row is evidence once
         whole = sums(llr, lengths) / np.maximum(sums(self.n.all[codes], lengths), 1)
         best, at = np.zeros((len(texts), len(self.model.windows))), 0
         for i, n in enumerate(lengths):
