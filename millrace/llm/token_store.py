@@ -16,6 +16,7 @@ aren't moved again.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -32,6 +33,8 @@ SHORTEST, LONGEST = 64, 1024
 END_ID = 1
 DIGEST = 16
 SEEN = 1_000_000
+#: Words that a task remembers.
+WORDS_KEPT = 500_000
 ROWS = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, payload binary"
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
@@ -59,33 +62,80 @@ def document_leaf(doc_id: int | None, n: int, root: bytes) -> bytes:
     return digest(b"\x00", repr(doc_id).encode(), n.to_bytes(8, "little"), root)
 
 
+#: A place after an ASCII letter or digit and before such a mark always parts the tokenizer's pre-tokens.
+EDGE = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Begins the tokenizer's special tokens, which it finds in texts before it lower-cases them.
+SPECIAL = b"<|"
+
+
+def encodable(text: bytes | None) -> list[bytes]:
+    """A text's words in such pieces that encoding them one by one gives the ids of encoding the text."""
+    text = text or b""
+    return text.split() if SPECIAL in text else EDGE.sub(b" ", text.lower()).split()
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what white space parts: words met before aren't encoded again."""
+    """Ids of texts by a tokenizer that lower-cases and never joins what white space parts: words met before aren't encoded again.
+
+    Fresh words of letters alone are one pre-token each; they are encoded many at once and told apart by the word ends in their last tokens.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids, self.first, self.n = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
-        self.codes = WordCodes(self.grow, self.restart)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ids, self.first, self.n = Growing(np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), Growing(np.int64), Growing(np.int32)
+        self.codes = WordCodes(self.grow, self.restart, WORDS_KEPT)
 
     def restart(self):
         for g in (self.ids, self.first, self.n):
             g.clear()
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        ids, n = [], []
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            joined = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.nonzero(self.closes[joined])[0] + 1
+            if len(ends) != len(some) or (len(joined) and ends[-1] != len(joined)):
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                joined, ends = np.array([i for x in each for i in x], np.int64), np.cumsum([len(x) for x in each])
+            ids.append(joined)
+            n.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(n)
+
     def grow(self, words):
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        n = np.array([len(x) for x in found], np.int64)
-        self.first.extend(self.ids.n + np.cumsum(n) - n)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.array([t.isalpha() for t in texts])
+        n, starts, held = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+        at = self.ids.n
+        for kind in (True, False):
+            which = np.nonzero(plain == kind)[0]
+            if not len(which):
+                continue
+            some = [texts[i] for i in which]
+            if kind:
+                ids, counts = self.encode(some)
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                ids, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
+            n[which], starts[which] = counts, at + np.cumsum(counts) - counts
+            at += len(ids)
+            held.append(ids)
+        self.first.extend(starts)
         self.n.extend(n)
-        self.ids.extend(np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())))
+        self.ids.extend(np.concatenate(held))
 
     def __call__(self, texts: list, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and how many each text has."""
-        parts = [(t or b"").split() for t in texts]
+        parts = [encodable(t) for t in texts]
         words = np.array([len(p) for p in parts], np.int64)
         codes = self.codes([w for p in parts for w in p])
-        n = self.n.all[codes]
+        n = self.n.all[codes].astype(np.int64)
         flat = self.ids.all[spread(self.first.all[codes], n)]
         total = np.concatenate([[0], np.cumsum(n)])
         ends = total[np.cumsum(words)]
