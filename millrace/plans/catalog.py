@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import control, relational, statistics, texts
+from millrace.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "daily_event_funnel"
+MODULES = (statistics, relational, texts, control)
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
