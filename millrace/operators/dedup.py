@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,8 @@ def duplicate_links(postings: DataFrame, order: str = "arrived") -> DataFrame:
     (equal, or one unknown) and a long description's words must agree; syndicators' copies need title and description only.
     Compared are classes of equal labels within a company and description, never single postings.
     """
-    p = with_identity(postings)
+    p = with_identity(postings).select("id", order, "company", "source", "source_id", "company_key", "title_key", "place", "address", "requisition", "signature")
+    p = p.persist(StorageLevel.DISK_ONLY)  # the normal forms are worked out once and used by three rules
     first = Window.partitionBy("key").orderBy(order, "id")
     sure = p.select("id", order, F.explode(sure_keys(p)).alias("key")).withColumn("duplicate_of", F.first("id").over(first)).withColumn("at", F.first(order).over(first))
     sure = sure.where("id <> duplicate_of").select("id", "duplicate_of", "at", F.lit("identity").alias("why"))

@@ -145,9 +145,8 @@ def criteria_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as postings: which repeat an earlier one by address, requisition or text."""
-    p = table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    postings = p.select(F.col("page_id").alias("id"), F.col("page_id").alias("arrived"), title.alias("title"), urls.host(F.col("url")).alias("company"), F.lit("").alias("location"), F.col("html").alias("description"), "url", F.lit("crawl").alias("source"), F.lit(None).cast("string").alias("source_id"))
+def document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as postings of a company for each language: which repeat an earlier long text word for word."""
+    d = table(spark, sf_dir, "documents")
+    postings = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("arrived"), F.lit("Writer").alias("title"), F.col("lang").alias("company"), F.lit("").alias("location"), F.col("text").alias("description"), F.lit(None).cast("string").alias("url"), F.lit("crawl").alias("source"), F.lit(None).cast("string").alias("source_id"))
     return duplicate_links(postings)
