@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import control, relational, statistics, texts
+from millrace.plans import control, relational, reports, statistics, texts
 from millrace.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "daily_event_funnel"
-MODULES = (statistics, relational, texts, control)
+MODULES = (statistics, relational, texts, control, reports)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
