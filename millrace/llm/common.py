@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import count, islice
 from pathlib import Path
 
 import numpy as np
@@ -83,20 +85,19 @@ class WordCodes:
     """
 
     def __init__(self, grow: Callable[[list], None], restart: Callable[[], None], limit: int = CACHE_WORDS):
-        self.index: dict = {}
         self.grow, self.restart, self.limit = grow, restart, limit
+        self.index: dict = defaultdict(count().__next__)
 
     def __call__(self, words: list) -> np.ndarray:
         if len(self.index) > self.limit:
-            self.index = {}
+            self.index = defaultdict(count().__next__)
             self.restart()
-        index = self.index
-        fresh = [w for w in dict.fromkeys(words) if w not in index]
+        before = len(self.index)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))  # an unknown word gets the next number
+        fresh = len(self.index) - before
         if fresh:
-            first = len(index)
-            index.update(zip(fresh, range(first, first + len(fresh))))
-            self.grow(fresh)
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            self.grow(list(islice(reversed(self.index), fresh))[::-1])
+        return codes
 
 
 class Growing:

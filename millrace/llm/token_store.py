@@ -16,7 +16,6 @@ aren't moved again.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterable
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Growing, WordCodes, short_batches, slices, spread
 
-RUN = 16
+RUN = 8
 MEAN_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 END_ID = 1
@@ -62,16 +61,16 @@ def document_leaf(doc_id: int | None, n: int, root: bytes) -> bytes:
     return digest(b"\x00", repr(doc_id).encode(), n.to_bytes(8, "little"), root)
 
 
-#: A place after an ASCII letter or digit and before such a mark always parts the tokenizer's pre-tokens.
-EDGE = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Marks at a word's end: between a letter or digit and a run of them the tokenizer always parts pre-tokens.
+MARKS = ".,;:!?"
 #: Begins the tokenizer's special tokens, which it finds in texts before it lower-cases them.
 SPECIAL = b"<|"
 
 
 def encodable(text: bytes | None) -> list[bytes]:
-    """A text's words in such pieces that encoding them one by one gives the ids of encoding the text."""
+    """A text's words, its ASCII letters lower-cased unless that could make a special token."""
     text = text or b""
-    return text.split() if SPECIAL in text else EDGE.sub(b" ", text.lower()).split()
+    return text.split() if SPECIAL in text else text.lower().split()
 
 
 class Encoder:
@@ -89,6 +88,7 @@ class Encoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids, self.first, self.n = Growing(np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), Growing(np.int64), Growing(np.int32)
         self.codes = WordCodes(self.grow, self.restart, WORDS_KEPT)
+        self.runs: dict = {}
 
     def restart(self):
         for g in (self.ids, self.first, self.n):
@@ -108,27 +108,48 @@ class Encoder:
             n.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(n)
 
+    def marks(self, run: str) -> list[int]:
+        if run not in self.runs:
+            self.runs[run] = self.tokenizer.encode(run, add_special_tokens=False).ids if run else []
+        return self.runs[run]
+
     def grow(self, words):
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = np.array([t.isalpha() for t in texts])
-        n, starts, held = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
-        at = self.ids.n
-        for kind in (True, False):
-            which = np.nonzero(plain == kind)[0]
-            if not len(which):
-                continue
-            some = [texts[i] for i in which]
-            if kind:
-                ids, counts = self.encode(some)
-            else:
-                each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                ids, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
-            n[which], starts[which] = counts, at + np.cumsum(counts) - counts
-            at += len(ids)
-            held.append(ids)
-        self.first.extend(starts)
+        """Keeps the ids of fresh words. A word's closing marks are set aside; what is left is encoded once, unless it is known as a word."""
+        known, bases, need = self.codes.index, {}, {"plain": [], "other": []}
+        fresh_from = self.n.n
+        parts = []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            base = t.rstrip(MARKS)
+            if not base or not base[-1].isalnum():
+                base = t
+            parts.append((base, t[len(base) :]))
+            if base not in bases:
+                code = known.get(base.encode()) if len(base) < len(t) else None
+                bases[base] = code if code is not None and code < fresh_from else -1
+                if bases[base] < 0:
+                    need["plain" if base.isalpha() else "other"].append(base)
+        held = {}
+        if need["plain"]:
+            ids, n = self.encode(need["plain"])
+            ends = np.cumsum(n)
+            ids = ids.tolist()
+            held = {b: ids[e - k : e] for b, e, k in zip(need["plain"], ends.tolist(), n.tolist())}
+        if need["other"]:
+            held |= {b: e.ids for b, e in zip(need["other"], self.tokenizer.encode_batch_fast(need["other"], add_special_tokens=False))}
+        all_ids, all_first, all_n = self.ids.all, self.first.all, self.n.all
+        flat, counts = [], []
+        for base, run in parts:
+            code = bases[base]
+            ids = held[base] if code < 0 else all_ids[all_first[code] : all_first[code] + all_n[code]].tolist()
+            more = self.marks(run) if run else ()
+            flat += ids
+            flat += more
+            counts.append(len(ids) + len(more))
+        n = np.array(counts, np.int64)
+        self.first.extend(self.ids.n + np.cumsum(n) - n)
         self.n.extend(n)
-        self.ids.extend(np.concatenate(held))
+        self.ids.extend(np.array(flat, self.ids.held.dtype))
 
     def __call__(self, texts: list, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and how many each text has."""
@@ -259,25 +280,38 @@ def crc_times(a: int, b: int) -> int:
     return out
 
 
-class CrcShift:
-    """x to the power of 8 times a number of bytes, by squaring; lengths met before are kept."""
+def crc_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As crc_times, for arrays."""
+    out, b = np.zeros(len(a), np.uint32), b.astype(np.uint32)
+    for k in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(k) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return out
 
-    def __init__(self):
-        self.held: dict = {}
 
-    def __call__(self, n_bytes: int) -> int:
-        if n_bytes not in self.held:
-            out, base, n = 1 << 31, 1 << 30, 8 * n_bytes
-            while n:
-                if n & 1:
-                    out = crc_times(out, base)
-                base, n = crc_times(base, base), n >> 1
-            self.held[n_bytes] = out
-        return self.held[n_bytes]
+class CrcJoiner:
+    """Checksums of strings from those of their parts and the parts' lengths."""
 
-    def join(self, first: int, second: int, n_bytes: int) -> int:
-        """CRC of two strings put together, from theirs and the second's length."""
-        return crc_times(self(n_bytes), first) ^ second
+    def __init__(self):
+        self.powers = []  # powers[j][k]: x to 8 * k * 256^j
+        step = 1 << 23  # x^8, bits reflected
+        for _ in range(5):
+            row = [1 << 31]
+            for _ in range(255):
+                row.append(crc_times(row[-1], step))
+            self.powers.append(np.array(row, np.uint32))
+            step = crc_times(row[-1], step)
+
+    def __call__(self, crcs: np.ndarray, n_bytes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """parts: how many parts each string has, in order; at least one."""
+        ends = np.cumsum(parts)
+        total = np.cumsum(n_bytes)
+        after = np.repeat(total[ends - 1], parts) - total  # bytes behind a part in its string
+        shift = self.powers[0][after & 255]
+        for j in range(1, 5):
+            if (after >> (8 * j)).any():
+                shift = crc_product(shift, self.powers[j][after >> (8 * j) & 255])
+        return np.bitwise_xor.reduceat(crc_product(crcs.astype(np.uint32), shift), ends - parts)
 
 
 def chunk_sums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
@@ -301,18 +335,16 @@ def read_sums(spark: SparkSession, folder: str, key: str = "doc_id", width: int
     """
 
     def run(batches):
-        shift = CrcShift()
+        join = CrcJoiner()
         for batch in batches:
-            n_tokens, crcs, good = [], [], []
-            for n, root, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                crc = total = 0
-                for p in parts:
-                    crc = shift.join(crc, p["crc"] or 0, 4 * (p["n"] or 0))
-                    total += p["n"] or 0
-                n_tokens.append(total)
-                crcs.append(crc)
-                good.append(total == n and all(p["sound"] for p in parts) and merkle(p["digest"] for p in parts) == root)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=[key, "start", "n_tokens", "ids_crc32", "verified"])
+            n_tokens, lists, good = batch.column(2).to_pylist(), batch.column(4).to_pylist(), []
+            n = np.array([p["n"] or 0 for parts in lists for p in parts], np.int64)
+            count = np.array([len(parts) for parts in lists], np.int64)
+            crc = join(np.array([p["crc"] or 0 for parts in lists for p in parts], np.int64), 4 * n, count) if len(n) else np.zeros(0)
+            total = np.add.reduceat(n, np.cumsum(count) - count) if len(n) else n
+            for want, got, root, parts in zip(n_tokens, total.tolist(), batch.column(3).to_pylist(), lists):
+                good.append(got == want and all(p["sound"] for p in parts) and merkle(p["digest"] for p in parts) == root)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(crc.astype(np.int64)), pa.array(good, pa.bool_())], names=[key, "start", "n_tokens", "ids_crc32", "verified"])
 
     sums = chunk_sums(spark, folder, width)
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")

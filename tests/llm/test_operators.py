@@ -342,9 +342,21 @@ def test_store_gives_back_the_tokenizers_ids(spark, odd, empty, tmp_path):
 
 
 def test_checksums_join():
-    a, b = b"some ids" * 9, b"others" * 50
-    assert token_store.CrcShift().join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
-    assert token_store.CrcShift().join(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+    rng = np.random.default_rng(9)
+    parts = [[rng.bytes(int(k)) for k in rng.integers(0, 900, m)] for m in (1, 2, 7, 300)]
+    flat = [x for p in parts for x in p]
+    got = token_store.CrcJoiner()(np.array([zlib.crc32(x) for x in flat]), np.array([len(x) for x in flat]), np.array([len(p) for p in parts]))
+    assert got.tolist() == [zlib.crc32(b"".join(p)) for p in parts]
+
+
+def test_words_encode_as_texts_do():
+    from tokenizers import Tokenizer
+
+    encoder, tokenizer = token_store.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    odd = ["<|startoftext|> A<|ENDOFTEXT|>b<|endoftext|>.", "it's DON'T o'clock.' l'été. x.'s", "éa. ́b e.́f", "a b c\x1cd.e", "ΑΣ. ΣΑΣ, İI", "１２3 ４.5,6", "日本語。テスト.ok", "...!? --..a", "ﬁ.x Ⅷ. ª", "word word. WORD, word", ""]
+    for text in [*odd, *odd]:
+        ids, n = encoder([text.encode(), b"and more."])
+        assert ids[: n[0]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 # all
