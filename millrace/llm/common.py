@@ -81,22 +81,36 @@ def slices(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
 class WordCodes:
     """Numbers words as they are met; `grow` is called with new words and extends what is kept per number.
 
-    At most `limit` words are remembered between slices: then `restart` is called and numbering starts at 0 again.
+    At most `limit` words are remembered between slices. Then `restart` is called and numbering starts at 0 again or, if
+    there is a `retain`, the words met most often stay: it is called with their numbers in rising order, which become 0, 1, ...
     """
 
-    def __init__(self, grow: Callable[[list], None], restart: Callable[[], None], limit: int = CACHE_WORDS):
-        self.grow, self.restart, self.limit = grow, restart, limit
+    def __init__(self, grow: Callable[[list], None], restart: Callable[[], None], limit: int = CACHE_WORDS, retain: Callable[[np.ndarray], None] | None = None):
+        self.grow, self.restart, self.limit, self.retain = grow, restart, limit, retain
         self.index: dict = defaultdict(count().__next__)
+        self.met = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        if self.retain is None:
+            self.index = defaultdict(count().__next__)
+            return self.restart()
+        often = np.argsort(-self.met, kind="stable")[: self.limit // 3]
+        kept = np.sort(often[self.met[often] > 1])
+        words = list(self.index)
+        self.index = defaultdict(count(len(kept)).__next__, zip([words[i] for i in kept.tolist()], range(len(kept))))
+        self.met = self.met[kept] // 2
+        self.retain(kept)
 
     def __call__(self, words: list) -> np.ndarray:
         if len(self.index) > self.limit:
-            self.index = defaultdict(count().__next__)
-            self.restart()
+            self.shrink()
         before = len(self.index)
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))  # an unknown word gets the next number
         fresh = len(self.index) - before
         if fresh:
             self.grow(list(islice(reversed(self.index), fresh))[::-1])
+        if self.retain is not None:
+            self.met = np.bincount(codes, minlength=len(self.index)) + np.pad(self.met, (0, len(self.index) - len(self.met)))
         return codes
 
 
@@ -120,6 +134,11 @@ class Growing:
     def clear(self) -> None:
         self.n = 0
 
+    def put(self, all_: np.ndarray) -> None:
+        """Holds these instead."""
+        self.n = 0
+        self.extend(all_)
+
     @property
     def all(self) -> np.ndarray:
         return self.held[: self.n]

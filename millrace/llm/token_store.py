@@ -16,6 +16,8 @@ aren't moved again.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -33,7 +35,7 @@ END_ID = 1
 DIGEST = 16
 SEEN = 1_000_000
 #: Words that a task remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 450_000
 ROWS = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, payload binary"
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
@@ -61,16 +63,16 @@ def document_leaf(doc_id: int | None, n: int, root: bytes) -> bytes:
     return digest(b"\x00", repr(doc_id).encode(), n.to_bytes(8, "little"), root)
 
 
-#: Marks at a word's end: between a letter or digit and a run of them the tokenizer always parts pre-tokens.
-MARKS = ".,;:!?"
+#: A mark between an ASCII or Latin-1 letter or a digit and white space: there the tokenizer always parts pre-tokens.
+CLOSING = re.compile(rb"[.,;:!?](?=[ \n])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 #: Begins the tokenizer's special tokens, which it finds in texts before it lower-cases them.
 SPECIAL = b"<|"
 
 
 def encodable(text: bytes | None) -> list[bytes]:
-    """A text's words, its ASCII letters lower-cased unless that could make a special token."""
+    """A text's words, closing marks apart and ASCII letters lower-cased unless that could make a special token."""
     text = text or b""
-    return text.split() if SPECIAL in text else text.lower().split()
+    return text.split() if SPECIAL in text else CLOSING.sub(rb" \g<0>", text.lower()).split()
 
 
 class Encoder:
@@ -87,69 +89,45 @@ class Encoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids, self.first, self.n = Growing(np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), Growing(np.int64), Growing(np.int32)
-        self.codes = WordCodes(self.grow, self.restart, WORDS_KEPT)
-        self.runs: dict = {}
+        self.codes = WordCodes(self.grow, self.restart, WORDS_KEPT, self.retain)
 
     def restart(self):
         for g in (self.ids, self.first, self.n):
             g.clear()
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many each has."""
-        ids, n = [], []
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            joined = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.nonzero(self.closes[joined])[0] + 1
-            if len(ends) != len(some) or (len(joined) and ends[-1] != len(joined)):
-                each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                joined, ends = np.array([i for x in each for i in x], np.int64), np.cumsum([len(x) for x in each])
-            ids.append(joined)
-            n.append(np.diff(ends, prepend=0))
-        return np.concatenate(ids), np.concatenate(n)
-
-    def marks(self, run: str) -> list[int]:
-        if run not in self.runs:
-            self.runs[run] = self.tokenizer.encode(run, add_special_tokens=False).ids if run else []
-        return self.runs[run]
+    def retain(self, kept: np.ndarray):
+        n = self.n.all[kept]
+        self.ids.put(self.ids.all[spread(self.first.all[kept], n)])
+        self.first.put(np.cumsum(n, dtype=np.int64) - n)
+        self.n.put(n)
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, encoded one by one, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As each, for words of letters alone."""
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.nonzero(self.closes[ids])[0] + 1
+            good = len(ends) == len(some) and ends[-1] == len(ids)
+            parts.append((ids, np.diff(ends, prepend=0)) if good else self.each(some))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def grow(self, words):
-        """Keeps the ids of fresh words. A word's closing marks are set aside; what is left is encoded once, unless it is known as a word."""
-        known, bases, need = self.codes.index, {}, {"plain": [], "other": []}
-        fresh_from = self.n.n
-        parts = []
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            base = t.rstrip(MARKS)
-            if not base or not base[-1].isalnum():
-                base = t
-            parts.append((base, t[len(base) :]))
-            if base not in bases:
-                code = known.get(base.encode()) if len(base) < len(t) else None
-                bases[base] = code if code is not None and code < fresh_from else -1
-                if bases[base] < 0:
-                    need["plain" if base.isalpha() else "other"].append(base)
-        held = {}
-        if need["plain"]:
-            ids, n = self.encode(need["plain"])
-            ends = np.cumsum(n)
-            ids = ids.tolist()
-            held = {b: ids[e - k : e] for b, e, k in zip(need["plain"], ends.tolist(), n.tolist())}
-        if need["other"]:
-            held |= {b: e.ids for b, e in zip(need["other"], self.tokenizer.encode_batch_fast(need["other"], add_special_tokens=False))}
-        all_ids, all_first, all_n = self.ids.all, self.first.all, self.n.all
-        flat, counts = [], []
-        for base, run in parts:
-            code = bases[base]
-            ids = held[base] if code < 0 else all_ids[all_first[code] : all_first[code] + all_n[code]].tolist()
-            more = self.marks(run) if run else ()
-            flat += ids
-            flat += more
-            counts.append(len(ids) + len(more))
-        n = np.array(counts, np.int64)
+        """Keeps the ids of fresh words."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        ids, n = (np.concatenate(x) for x in zip(self.joined(list(itertools.compress(texts, plain))), self.each(list(itertools.compress(texts, ~plain)))))
+        back = np.argsort(np.concatenate([np.nonzero(plain)[0], np.nonzero(~plain)[0]]), kind="stable")
+        first = (np.cumsum(n) - n)[back]
+        n = n[back]
         self.first.extend(self.ids.n + np.cumsum(n) - n)
         self.n.extend(n)
-        self.ids.extend(np.array(flat, self.ids.held.dtype))
+        self.ids.extend(ids[spread(first, n)])
 
     def __call__(self, texts: list, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and how many each text has."""
@@ -163,6 +141,16 @@ class Encoder:
         return np.insert(flat, ends, end), np.diff(np.concatenate([[0], ends])) + 1
 
 
+#: Encoders of a Python worker by their file: what one task has encoded, the worker's next tasks don't encode again.
+held_encoders: dict[str, Encoder] = {}
+
+
+def held_encoder(path: str) -> Encoder:
+    if path not in held_encoders:
+        held_encoders[path] = Encoder(path)
+    return held_encoders[path]
+
+
 def cuts(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
     """For each text the ends of its chunks, counted from the text's start."""
     g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -210,7 +198,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
     short_batches(spark)
 
     def encode(batches):
-        encoder, seen = Encoder(tokenizer), set()
+        encoder, seen = held_encoder(tokenizer), set()
         for batch in batches:
             keys, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(raw):
