@@ -60,6 +60,11 @@ def repeated(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def distinct_share(words: list[bytes], block: int = 500) -> float:
+    """Mean share of distinct words in the text's blocks of `block` words, each block counting by its length; no words: 0."""
+    return sum(len(set(words[a : a + block])) for a in range(0, len(words), block)) / max(len(words), 1)
+
+
 def statistics(text: bytes | None) -> tuple[list, list]:
     """The base statistics (exact integers, as in BASE) and the trees' features (as in FEATURES)."""
     raw = text or b""
@@ -77,7 +82,7 @@ def statistics(text: bytes | None) -> tuple[list, list]:
     again = repeated(words)
     upper, lower = len(joined.translate(None, NOT_UPPER)), len(joined.translate(None, NOT_LOWER))
     k = max(n, 1)
-    feats = [n, chars / k, symbols / k, dup / max(lines, 1), again / k, sum(map(bytes.__eq__, words, words[1:])) / k, len(set(words[:500])) / max(min(n, 500), 1), upper / max(upper + lower, 1), len(joined.translate(None, NOT_DIGIT)) / max(chars, 1), len(SIGN.findall(joined)) / k, n / max(lines, 1)]
+    feats = [n, chars / k, symbols / k, dup / max(lines, 1), again / k, sum(map(bytes.__eq__, words, words[1:])) / k, distinct_share(words), upper / max(upper + lower, 1), len(joined.translate(None, NOT_DIGIT)) / max(chars, 1), len(SIGN.findall(joined)) / k, n / max(lines, 1)]
     return [n, chars, symbols, dup, again], feats
 
 
