@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_path, short_batches
+from millrace.llm.common import shared_path, short_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 #: Records a file holds at most.
@@ -186,18 +186,29 @@ def summary(f: dict, block: bytes) -> tuple:
     return (int(page) if page else None, f["WARC-Target-URI"], f["WARC-Refers-To"], f["WARC-Type"], f["WARC-Record-ID"], f["WARC-Refers-To-Digest"], f["WARC-Block-Digest"], digest(block) == f["WARC-Block-Digest"], notes.get("title"), notes.get("lang"), int(notes["links"]) if "links" in notes else None, notes.get("source-status"), notes.get("source-header"), text)
 
 
+def once_each(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
+    """Rows without repeats of key and address; of repeats, the least markup. Only keys and addresses are shuffled to find repeats, and markup of repeats alone."""
+    again = written(pages.groupBy(key, url).count().where("count > 1").select(F.col(key).alias("__key"), F.col(url).alias("__url")), "repeated")
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col(url).eqNullSafe(F.col("__url"))
+    least = pages.join(again, same, "left_semi").groupBy(key, url).agg(F.min(markup).alias(markup))
+    return pages.join(again, same, "left_anti").unionByName(least)
+
+
 def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """A row for each response: its ids and digests, its metadata and its plain text, read back from the written WARC files.
 
     Null addresses and markup are empty; a null key stays null; rows that repeat key and address share a response id and
-    give one row; an empty table gives no rows; other columns are ignored.
+    give one row, of the least markup; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    once = pages.select(key, url, markup).dropDuplicates([key, url])
-    write(responses(once, key, url, markup), f"{folder}/source")
-    write(derived(spark, f"{folder}/source/kind=response") if not once.isEmpty() else responses(once, key, url, markup), f"{folder}/derived")
-    rows = summaries(spark, f"{folder}/derived") if not once.isEmpty() else spark.createDataFrame([], SUMMARY)
+    once = once_each(pages.select(key, url, markup), key, url, markup)
+    if pages.isEmpty():
+        rows = spark.createDataFrame([], SUMMARY)
+    else:
+        write(responses(once, key, url, markup), f"{folder}/source")
+        write(derived(spark, f"{folder}/source/kind=response"), f"{folder}/derived")
+        rows = summaries(spark, f"{folder}/derived")
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     return rows.groupBy("response_id").agg(
         F.max("page_id").alias(key), F.max("url").alias(url), F.max("source_digest").alias("source_digest"),
