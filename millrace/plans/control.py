@@ -101,12 +101,12 @@ def current_score_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH j AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS created_at FROM orders), e AS (SELECT user_id AS id, max(ts) AS at FROM events WHERE event_type = 'signup' GROUP BY 1)
-SELECT j.id, coalesce(e.at, created_at) AS entered_at, coalesce(e.at, created_at) < TIMESTAMP '{NOW}' - INTERVAL 15 DAYS AS expired FROM j LEFT JOIN e ON j.id = e.id WHERE j.id <= 2000""")
+SELECT j.id, coalesce(e.at, created_at) AS entered_at, coalesce(e.at, created_at) < TIMESTAMP '{NOW}' - INTERVAL 15 DAYS AS expired FROM j LEFT JOIN e ON j.id = e.id""")
 def inbox_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When postings entered the inbox, and which have been there for too long."""
     from millrace.tables import table
 
-    jobs = table(spark, sf_dir, "orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit("inbox").alias("status"), F.lit(False).alias("staged"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.lit("inbox").alias("status"), F.lit(False).alias("staged"))
     entered = control.inbox_entry(jobs, events(spark, sf_dir).where("event_type = 'signup'").select(F.col("user_id").alias("id"), F.col("ts").alias("at")))
     gone = control.expired(entered, now()).select("id", F.lit(True).alias("expired"))
     return entered.join(gone, "id", "left").select("id", "entered_at", F.coalesce("expired", F.lit(False)).alias("expired"))

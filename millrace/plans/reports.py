@@ -57,15 +57,15 @@ def readiness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.join(rest, "one").select("repeated_lines", "unpriced", "stale_open", "ownerless")
 
 
-@query("""WITH e AS (SELECT event_id AS id, user_id AS job_id, CASE WHEN event_type = 'error' THEN 'legacy' WHEN event_type IN ('view', 'click') THEN 'aim_fit' ELSE 'experience_fit' END AS family, ts AS created_at, event_id % 6 = 0 AS stale, event_id % 4 <> 0 AS passed FROM events WHERE user_id % 3 <> 0 OR event_type = 'error'),
+@query("""WITH e AS (SELECT event_id AS id, user_id AS job_id, CASE WHEN event_type = 'error' OR user_id % 3 = 0 THEN 'legacy' WHEN event_type IN ('view', 'click') THEN 'aim_fit' ELSE 'experience_fit' END AS family, ts AS created_at, event_id % 6 = 0 AS stale, event_id % 4 <> 0 AS passed FROM events),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, family ORDER BY created_at DESC, id DESC) AS rn FROM e) WHERE rn = 1),
 j AS (SELECT job_id, max(id) FILTER (family = 'aim_fit') AS aim, bool_or(stale) FILTER (family = 'aim_fit') AS aim_stale, max(id) FILTER (family = 'legacy') AS old, bool_or(stale) FILTER (family = 'legacy') AS old_stale, max(id) FILTER (family = 'experience_fit') AS ex FROM n GROUP BY 1)
 SELECT job_id, CASE WHEN aim IS NOT NULL THEN 'staged' WHEN old IS NOT NULL THEN 'legacy' ELSE 'unscored' END AS mode, CASE WHEN aim IS NOT NULL THEN CASE WHEN aim_stale THEN 'stale_replay_needed' ELSE 'current' END WHEN old IS NULL THEN 'unscored' WHEN old_stale THEN 'stale_replay_needed' ELSE 'current' END AS aim_state, CASE WHEN aim IS NULL OR ex IS NULL THEN 'unscored' ELSE 'stale_replay_needed' END AS experience_state FROM j""")
 def score_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which scores count; none of these experience scores names an aim score, so none is current."""
     e = F.col("event_id")
-    family = F.when(F.col("event_type") == "error", "legacy").when(F.col("event_type").isin("view", "click"), "aim_fit").otherwise("experience_fit")
-    ledger = events(spark, sf_dir).where("user_id % 3 <> 0 or event_type = 'error'").select(e.alias("id"), F.col("user_id").alias("job_id"), family.alias("family"), F.col("ts").alias("created_at"), F.when(e % 6 == 0, F.col("ts")).alias("stale_at"), F.lit(None).cast("string").alias("stale_reason"), (e % 4 != 0).alias("passed"), F.lit(None).cast("long").alias("source_event_id"))
+    family = F.when((F.col("event_type") == "error") | (F.col("user_id") % 3 == 0), "legacy").when(F.col("event_type").isin("view", "click"), "aim_fit").otherwise("experience_fit")
+    ledger = events(spark, sf_dir).select(e.alias("id"), F.col("user_id").alias("job_id"), family.alias("family"), F.col("ts").alias("created_at"), F.when(e % 6 == 0, F.col("ts")).alias("stale_at"), F.lit(None).cast("string").alias("stale_reason"), (e % 4 != 0).alias("passed"), F.lit(None).cast("long").alias("source_event_id"))
     return authority.staged_authority(ledger).select("job_id", "mode", "aim_state", "experience_state")
 
 

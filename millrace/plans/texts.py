@@ -88,10 +88,10 @@ RULES = [("Thin role rejected", ["than", "thand"], []), ("Ending role rejected",
 RULES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9_])({'|'.join(w)})([^A-Za-z0-9_]|$)')" + (f" AND NOT regexp_matches(t, '(?i)(^|[^A-Za-z0-9_])({'|'.join(u)})([^A-Za-z0-9_]|$)')" if u else "") + f" THEN '{r}'" for r, w, u in RULES) + " END"
 
 
-@query(f"SELECT doc_id, {RULES_SQL} IS NULL AS passes, coalesce({RULES_SQL}, 'Passed regex pre-filter') AS reason FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)")
+@query(f"SELECT doc_id, {RULES_SQL} IS NULL AS passes, coalesce({RULES_SQL}, 'Passed regex pre-filter') AS reason FROM (SELECT doc_id, text AS t FROM documents)")
 def first_matching_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered title rules, the title being the text's first sixty characters (as a field of the record, not as a cut of the work)."""
-    reason = classifiers.first_rule(F.substring("text", 1, 60), RULES)
+    """Ordered rules over whole texts: the first that holds gives the reason."""
+    reason = classifiers.first_rule(F.col("text"), RULES)
     return table(spark, sf_dir, "documents").select("doc_id", reason.isNull().alias("passes"), F.coalesce(reason, F.lit(classifiers.PASSED)).alias("reason"))
 
 
