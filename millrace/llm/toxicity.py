@@ -2,29 +2,35 @@
 
 A word's probability under a class is its discounted continuation count (distinct words before it in texts of the
 class, so copies of a text add nothing), then backs off over ever shorter beginnings, of eight to two letters, whose counts
-are distinct word types with that beginning. What a step hands down is parted by counts of both classes together with
-those of the whole corpus, and the mass handed down is the same for both classes, so what neither class has seen tells
+are distinct word types with that beginning. What a step hands down is parted by the same counts over the whole corpus,
+all of its words and beginnings, and the mass handed down is the same for both classes, so what neither class has seen tells
 for neither. A text's evidence is the log-likelihood ratio per word, over the text and over its strongest windows of
 the lengths in WINDOWS, a word repeated at once counting once; a logistic fit on labelled texts that the counts left out turns them into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, short_batches, slices, spread, sums, written
 
 #: At most so many labelled texts of each class give the class counts, and so many of both the calibration.
 COUNT_ROWS = 4000
 FIT_ROWS = 4000
+#: Pairs of words that a task gathers before it hands them on, when it counts the corpus, and the groups that they are dealt to.
+TASK_PAIRS = 2_000_000
+BUCKETS = 1024
 WINDOWS = (3, 12)
 THRESHOLD = 0.3
 LEVELS = (8, 7, 6, 5, 4, 3, 2)
@@ -116,8 +122,8 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return counts - np.select([counts <= 1, counts == 2], [counts, d2], d3).astype(float)
 
 
-def level(found: tuple[dict, dict], shared: dict, above, begin) -> dict:
-    """{unit: (toxic, ordinary)} of one level. above(unit) gives the probabilities one level down and begin(unit) the units that share them."""
+def level(found: tuple[dict, dict], shared: dict, above) -> dict:
+    """{unit: (toxic, ordinary)} of one level. shared: {unit: its share of what units one level down hand on}; above(unit) gives the probabilities one level down."""
     kept = []
     total = []
     for c in found:
@@ -127,43 +133,39 @@ def level(found: tuple[dict, dict], shared: dict, above, begin) -> dict:
         total.append((less.sum(), sum(c.values())))
     lam = 1 - sum(a for a, _ in total) / max(sum(b for _, b in total), 1)
     lam = min(max(lam, 0.05), 0.95)
-    group: Counter = Counter()
-    for w, n in shared.items():
-        group[begin(w)] += n
     out = {}
-    for w, n in shared.items():
+    for w, part in shared.items():
         down = above(w)
-        part = n / group[begin(w)]
         out[w] = tuple((1 - lam) * kept[c].get(w, 0.0) / max(total[c][0], 1e-9) + lam * part * down[c] for c in (0, 1))
     return out
 
 
-def fit_ratios(continuations: tuple[dict, dict], corpus: dict) -> tuple[dict, dict]:
-    """continuations: {word: distinct words before it} of toxic and ordinary texts; corpus: {word: occurrences in all texts}."""
+def start(word: str) -> str:
+    """The longest of the beginnings that a word backs off to; one-letter words have none."""
+    return next((word[:k] for k in LEVELS if len(word) >= k), "")
+
+
+def fit_probabilities(continuations: tuple[dict, dict], shares: dict, start_shares: dict) -> tuple[dict, dict]:
+    """({word: probabilities}, {beginning: probabilities}) of toxic and ordinary texts.
+
+    continuations: {word: distinct words before it} of toxic and ordinary texts; shares, start_shares: see corpus_shares.
+    """
     types = [[Counter() for _ in LEVELS] for _ in (0, 1)]
     for c in (0, 1):
         for w in continuations[c]:
             for i, k in enumerate(LEVELS):
                 if len(w) >= k:
                     types[c][i][w[:k]] += 1
-    probs: list[dict] = []
-    flat = lambda _: (1.0, 1.0)
-    ratio_starts: dict = {}
-    last, prev_k = None, 0
+    starts: dict = {"": (1.0, 1.0)}
     for i in range(len(LEVELS) - 1, -1, -1):
-        k = LEVELS[i]
-        shared = types[0][i] + types[1][i]
-        made = level((types[0][i], types[1][i]), shared, flat if last is None else (lambda u, p=last, j=prev_k: p[u[:j]]), (lambda _: "") if last is None else (lambda u, j=prev_k: u[:j]))
-        probs.append(made)
-        ratio_starts |= {u: math.log(a / b) for u, (a, b) in made.items()}
-        last, prev_k = made, k
-    by_length = dict(zip(sorted(LEVELS), probs))
-    known = {w for c in continuations for w, n in c.items() if n > 1}
-    start = lambda w: next((w[:k] for k in LEVELS if len(w) >= k), "")
-    down = lambda w: by_length[len(start(w))][start(w)] if start(w) else (1.0, 1.0)
-    shared = {w: corpus.get(w, 0) + continuations[0].get(w, 0) + continuations[1].get(w, 0) for c in continuations for w in c}
-    made = level(continuations, shared, down, start)
-    return {w: math.log(made[w][0] / made[w][1]) for w in known}, ratio_starts
+        last = LEVELS[i + 1] if i + 1 < len(LEVELS) else 0
+        starts |= level((types[0][i], types[1][i]), {u: start_shares[u] for u in types[0][i] + types[1][i]}, lambda u, k=last: starts[u[:k]])
+    words = level(continuations, shares, lambda w: starts[start(w)])
+    return words, starts
+
+
+def ratios(probabilities: dict) -> dict:
+    return {w: math.log(a / b) for w, (a, b) in probabilities.items()}
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple:
@@ -185,24 +187,132 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple:
     return (*np.maximum(w[:-1], 0.0).tolist(), float(w[-1]))
 
 
-def corpus_counts(docs: DataFrame, text: str, vocabulary: set) -> dict:
-    """Occurrences in all texts of the words of a bounded vocabulary: counted within each batch, then summed by word."""
+class Sequences:
+    """Texts as runs of numbered units, the pieces of written words that `units` gives; `grow` is called with new units."""
 
-    def setup():
-        def count(texts):
-            held: Counter = Counter()
-            for raw, n in Counter(w for t in texts for w in (t or b"").split()).items():
-                for u in units(raw.decode("utf-8", "replace")):
-                    if u in vocabulary:
-                        held[u] += n
-            empty = [[]] * (len(texts) - 1)
-            return {"word": [list(held), *empty], "n": [list(held.values()), *empty]} if texts else {"word": [], "n": []}
+    def __init__(self, grow, restart):
+        self.index: dict = {}
+        self.grow_units, self.restart_units = grow, restart
+        self.flat, self.at, self.n = Growing(np.int64), Growing(np.int64), Growing(np.int64)
+        self.codes = WordCodes(self.grow, self.restart)
 
-        return count
+    def restart(self):
+        self.index = {}
+        for held in (self.flat, self.at, self.n):
+            held.clear()
+        self.restart_units()
 
-    counted = map_texts(docs, text, setup, [("word", T.ArrayType(T.StringType())), ("n", T.ArrayType(T.LongType()))], [])
-    rows = counted.select(F.explode(F.arrays_zip("word", "n")).alias("z")).groupBy("z.word").agg(F.sum("z.n").alias("n"))
-    return {r.word: r.n for r in rows.collect()}
+    def grow(self, words):
+        parts = [units(w.decode("utf-8", "replace")) for w in words]
+        before, n = len(self.index), np.array([len(p) for p in parts], np.int64)
+        codes = [self.index.setdefault(u, len(self.index)) for p in parts for u in p]
+        self.at.extend(self.flat.n + np.cumsum(n) - n)
+        self.n.extend(n)
+        self.flat.extend(np.array(codes, np.int64))
+        self.grow_units(list(islice(reversed(self.index), len(self.index) - before))[::-1])
+
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of written words, written words of each text, numbers of units, units of each written word)."""
+        words, lengths = [], []
+        for t in texts:
+            w = (t or b"").split()
+            words += w
+            lengths.append(len(w))
+        codes = self.codes(words)
+        n = self.n.all[codes]
+        return codes, np.array(lengths, np.int64), self.flat.all[spread(self.at.all[codes], n)], n
+
+
+def before_each(coded: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The unit before each unit of a text; -1 for a text's first."""
+    before = np.concatenate([[-1], coded[:-1]])[: len(coded)]
+    per_text = sums(n, lengths).astype(np.int64)
+    before[(np.cumsum(per_text) - per_text)[per_text > 0]] = -1
+    return before
+
+
+def corpus_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n): every word of all texts and the number of distinct words before it, as a written table.
+
+    A task hands on the distinct pairs of every TASK_PAIRS it meets, in BUCKETS by both words, a word once with all words
+    before it. These are told apart by hashes of 40 bits, which can merge only words before the same word.
+    """
+    short_batches(docs.sparkSession)
+
+    def run(batches):
+        names: list = []
+        hashes = Growing(np.int64)
+        held: list = []
+
+        def grow(new):
+            names.extend(new)
+            hashes.extend(np.array([int.from_bytes(hashlib.blake2b(u.encode("utf-8", "replace"), digest_size=5).digest(), "little") for u in new], np.int64))
+
+        def flush():
+            pairs = np.unique(np.concatenate(held))
+            held.clear()
+            word, before = pairs >> 32, np.concatenate([[0], hashes.all])[pairs & 0xFFFFFFFF]
+            bucket = (hashes.all[word] + 131 * (before & 7)) % BUCKETS
+            order = np.argsort(bucket, kind="stable")  # words stay together within a bucket
+            word, before, bucket = word[order], before[order], bucket[order]
+            at = np.nonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
+            n = np.diff(np.append(at, len(word))).astype(np.int32)
+            used, which = np.unique(word[at], return_inverse=True)
+            words = pa.array([names[i] for i in used.tolist()], pa.string()).take(pa.array(which))
+            packed = before.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            some, row = np.unique(bucket[at], return_index=True)
+            ends = np.append(row, len(at)).astype(np.int32)
+            cuts = np.append(at[row], len(word)) * 5
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (words, pa.array(n))]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists, pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["bucket", "word", "n", "before"])
+
+        def restart():
+            names.clear()
+            hashes.clear()
+
+        read = Sequences(grow, restart)
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            for a, b in slices(raw):
+                if held and (sum(map(len, held)) >= TASK_PAIRS or len(read.codes.index) > read.codes.limit):
+                    yield flush()
+                _, lengths, coded, n = read(raw[a:b])
+                if len(coded):
+                    held.append(np.unique(coded << 32 | before_each(coded, n, lengths) + 1))
+        if held:
+            yield flush()
+
+    def count(rows):
+        words = pa.chunked_array([c.flatten() for c in rows.column("word").chunks]).combine_chunks().dictionary_encode()
+        n = np.concatenate([c.flatten().to_numpy() for c in rows.column("n").chunks])
+        packed = np.frombuffer(b"".join(rows.column("before").to_pylist()), np.uint8).reshape(-1, 5)
+        before = np.pad(packed, ((0, 0), (0, 3))).view("<i8")[:, 0]
+        pairs = np.unique(np.repeat(words.indices.to_numpy().astype(np.int64), n) << 40 | before)
+        return pa.table([words.dictionary, pa.array(np.bincount(pairs >> 40, minlength=len(words.dictionary)))], names=["word", "n"])
+
+    sent = docs.select(F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, "bucket int, word array<string>, n array<int>, before binary")
+    return written(sent.groupBy("bucket").applyInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def corpus_shares(words: DataFrame, needed: DataFrame, seen: DataFrame) -> tuple[dict, dict]:
+    """What backing off needs of all words' counts, for the rows of needed (word) and for beginnings of the rows of seen (word).
+
+    words: (word, n). First {word: its part of the counts of all words with the same longest beginning}, then {beginning:
+    its part of the word types of all beginnings of its length that share the beginning one level down}. All other
+    words and beginnings count in the whole; their own part tells for neither class, as it is the same factor in both.
+    """
+    first = lambda w: F.coalesce(*[F.when(F.length(w) >= k, F.substring(w, 1, k)) for k in LEVELS], F.lit(""))
+    cuts = lambda w: F.explode(F.filter(F.array(*[F.when(F.length(w) >= k, F.substring(w, 1, k)) for k in LEVELS]), lambda x: x.isNotNull()))
+    of_start = words.groupBy(first("word").alias("start")).agg(F.sum("n").alias("total"))
+    rows = words.join(needed, "word").withColumn("start", first("word")).join(of_start, "start").select("word", F.col("n") / F.col("total"))
+    types = written(words.select(cuts("word").alias("start")).groupBy("start").agg(F.count("*").alias("n")), "beginnings")
+    below = {k: (LEVELS[i + 1] if i + 1 < len(LEVELS) else 0) for i, k in enumerate(LEVELS)}
+    k = F.length("start")
+    types = types.withColumn("k", k).withColumn("below", F.substring("start", F.lit(1), F.create_map(*[F.lit(x) for kv in below.items() for x in kv])[k]))
+    whole = types.groupBy("k", "below").agg(F.sum("n").alias("total"))
+    wanted = seen.select(cuts("word").alias("start")).distinct()
+    starts = types.join(wanted, "start").join(whole, ["k", "below"]).select("start", F.col("n") / F.col("total"))
+    return tuple(dict(zip(*(c.to_pylist() for c in df.toArrow().columns))) for df in (rows, starts))
 
 
 def texts_of(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,13 +331,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     pairs = map_texts(texts_of(docs, counted, key, text), "__text", lambda: word_pairs, [("before", T.ArrayType(T.StringType())), ("word", T.ArrayType(T.StringType()))], ["y"])
     pairs = pairs.select("y", F.explode(F.arrays_zip("before", "word")).alias("z")).select("y", "z.before", "z.word").distinct()
     found: tuple[dict, dict] = ({}, {})
-    for r in pairs.groupBy("y", "word").count().toLocalIterator():
+    pairs = written(pairs, "labelled-pairs")
+    counts = pairs.groupBy("y", "word").count()
+    for r in counts.toLocalIterator():
         found[1 - r.y][r.word] = r["count"]
     if not found[0] or not found[1]:
         return Model()
-    frequent = {w for c in found for w, n in c.items() if n > 1}
-    words, starts = fit_ratios(found, corpus_counts(docs, text, frequent))
-    model = Model(words, starts)
+    needed = counts.where("count > 1").select("word").distinct()
+    words, starts = fit_probabilities(found, *corpus_shares(corpus_words(docs, text), needed, counts.select("word").distinct()))
+    model = Model(ratios(words), ratios({u: p for u, p in starts.items() if u}))
     held = texts_of(docs, sample_rows(known.where("fold = 0"), key, fit_rows), key, text)
     if held.isEmpty():
         held = texts_of(docs, counted, key, text)

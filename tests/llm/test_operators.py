@@ -122,6 +122,16 @@ def test_toxicity_ignores_copies_and_repeats():
     assert x[0, 1] == x[1, 1] == 5 / 3 and x[2, 1] == 1 / 3 and not x[3].any()
 
 
+def test_toxicity_counts_the_whole_corpus(spark):
+    docs = spark.createDataFrame([(1, "bad apple. A bad cat"), (2, "the bad apply of it"), (3, "unlabelled appleton; the apple"), (4, None), (5, "the apple")], "doc_id long, text string")
+    words = toxicity.corpus_words(docs, "text")
+    want = {"bad": 3, "apple": 2, "a": 1, "cat": 1, "the": 2, "apply": 1, "of": 1, "it": 1, "unlabelled": 1, "appleton": 1}
+    assert {r.word: r.n for r in words.collect()} == want
+    needed = spark.createDataFrame([("apple",), ("a",), ("bad",)], "word string")
+    shares, starts = toxicity.corpus_shares(words, needed, needed)
+    assert shares == {"apple": 1, "a": 1, "bad": 1} and starts == {"ap": 3 / 9, "app": 1, "appl": 1, "apple": 2 / 3, "ba": 1 / 9, "bad": 1}
+
+
 def test_quality_classifier_held_out(spark, sf_dir, odd, empty):
     docs, labels = labelled(spark, sf_dir)
     fold = "crc32(cast(doc_id as string)) % 5"
