@@ -1,7 +1,8 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
 
-A word's probability under a class is its discounted continuation count (distinct words before it in texts of the
-class, so copies of a text add nothing), then backs off over ever shorter beginnings, of eight to two letters, whose counts
+A word's probability after another is the pair's discounted count (of distinct surroundings in texts of the class, so
+copies of a text add nothing), which backs off to the word's discounted continuation count (distinct words before it in texts
+of the class), then over ever shorter beginnings, of eight to two letters, whose counts
 are distinct word types with that beginning. What a step hands down is parted by the same counts over the whole corpus,
 all of its words and beginnings, and the mass handed down is the same for both classes, so what neither class has seen tells
 for neither. A text's evidence is the log-likelihood ratio per word, over the text and over its strongest windows of
@@ -33,6 +34,8 @@ TASK_PAIRS = 2_000_000
 BUCKETS = 1024
 WINDOWS = (3, 12)
 THRESHOLD = 0.3
+#: Pairs of words are counted by distinct words so many places before and after them.
+AROUND = 4
 LEVELS = (8, 7, 6, 5, 4, 3, 2)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -41,12 +44,33 @@ def units(word: str) -> list[str]:
     return LETTERS.findall(word.lower())
 
 
+class Pairs:
+    """Log-likelihood ratios of pairs (word before, word); the text's start is a word too, ''. Held as sorted arrays, as there may be very many."""
+
+    def __init__(self, before: list = (), words: list = (), llr=()):
+        self.ids = {w: i for i, w in enumerate(dict.fromkeys([*before, *words]))}
+        keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in zip(before, words)], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.llr = keys[order], np.asarray(llr, np.float64)[order]
+
+    def put(self, before: np.ndarray, words: np.ndarray, llr: np.ndarray) -> None:
+        """Sets llr where the pair of these ids (-1: none) is known."""
+        if not len(self.keys):
+            return
+        both = np.nonzero((before >= 0) & (words >= 0))[0]
+        keys = before[both] << 32 | words[both]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        llr[both[hit]] = self.llr[at[hit]]
+
+
 @dataclass
 class Model:
-    """words, starts: log-likelihood ratios of known words and of word beginnings; weights: of the text's and each window's evidence, then the constant."""
+    """words, starts: log-likelihood ratios of known words and of word beginnings; pairs: of known words after a known word; weights: of the text's and each window's evidence, then the constant."""
 
     words: dict = field(default_factory=dict)
     starts: dict = field(default_factory=dict)
+    pairs: Pairs = field(default_factory=lambda: Pairs())
     weights: tuple = (0.0, 0.0, 0.0, -2.0)
     windows: tuple = WINDOWS
 
@@ -60,35 +84,33 @@ class Model:
 
 
 class Scorer:
-    """Evidence of texts, with what each written word adds kept for words met before."""
+    """Evidence of texts, with what each word adds kept for words met before."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.llr, self.n = Growing(np.float64), Growing(np.int64)
-        self.codes = WordCodes(self.grow, self.restart)
+        self.llr, self.ids = Growing(np.float64), Growing(np.int64)
+        self.read = Sequences(self.grow, self.restart)
 
     def restart(self):
         self.llr.clear()
-        self.n.clear()
+        self.ids.clear()
 
     def grow(self, words):
-        parts = [units(w.decode("utf-8", "replace")) for w in words]
-        self.llr.extend(np.array([sum(map(self.model.word, p)) for p in parts], np.float64))
-        self.n.extend(np.array([len(p) for p in parts], np.int64))
+        self.llr.extend(np.array([self.model.word(w) for w in words], np.float64))
+        self.ids.extend(np.array([self.model.pairs.ids.get(w, -1) for w in words], np.int64))
 
     def evidence(self, texts: list) -> np.ndarray:
-        words, lengths = [], []
-        for t in texts:
-            w = (t or b"").split()
-            words += w
-            lengths.append(len(w))
-        codes, lengths = self.codes(words), np.array(lengths, np.int64)
-        llr = self.llr.all[codes]
+        codes, lengths, coded, n = self.read(texts)
+        of_unit, ids = self.llr.all[coded], self.ids.all[coded]
+        first = self.model.pairs.ids.get("", -1)
+        before = before_each(coded, n, lengths)
+        self.model.pairs.put(np.where(before < 0, first, self.ids.all[before]) if len(coded) else ids, ids, of_unit)
+        llr = sums(of_unit, n)
         if len(codes):
             again = np.concatenate([[False], codes[1:] == codes[:-1]])
             again[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # a text's first word
             llr[again] = 0.0  # a word said twice in a row is evidence once
-        whole = sums(llr, lengths) / np.maximum(sums(self.n.all[codes], lengths), 1)
+        whole = sums(llr, lengths) / np.maximum(sums(n, lengths), 1)
         best, at = np.zeros((len(texts), len(self.model.windows))), 0
         for i, n in enumerate(lengths):
             if n:
@@ -103,19 +125,20 @@ class Scorer:
 
 
 def word_pairs(texts: list) -> dict:
-    """Distinct (word before, word) of each text; the text's start counts as a word."""
-    out = {"before": [], "word": []}
+    """Distinct (word before, word, words around) of each text; the text's start counts as a word."""
+    out = {"before": [], "word": [], "around": []}
     for t in texts:
         w = units((t or b"").decode("utf-8", "replace"))
-        pairs = dict.fromkeys(zip(["", *w], w))
-        out["before"].append([a for a, _ in pairs])
-        out["word"].append([b for _, b in pairs])
+        padded = [*[""] * (AROUND + 1), *w, *[""] * AROUND]
+        pairs = dict.fromkeys(zip(padded[AROUND:], w, (f"{a} {b}" for a, b in zip(padded, padded[2 * AROUND + 1 :]))))
+        for k, held in zip(out, zip(*pairs) if pairs else ((), (), ())):
+            out[k].append(list(held))
     return out
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Absolute discounts for counts of 1, 2 and more, by counts of counts; a count of 1 is given up whole."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def discounts(counts: np.ndarray, n: list | None = None) -> np.ndarray:
+    """Counts less absolute discounts for 1, 2 and more, by counts of counts (n: of 1 to 4); a count of 1 is given up whole."""
+    n = n or [int((counts == k).sum()) for k in (1, 2, 3, 4)]
     y = n[0] / max(n[0] + 2 * n[1], 1)
     d2 = min(max(2 - 3 * y * n[2] / max(n[1], 1), 0.5), 1.9)
     d3 = min(max(3 - 4 * y * n[3] / max(n[2], 1), 0.5), 2.5)
@@ -168,6 +191,28 @@ def ratios(probabilities: dict) -> dict:
     return {w: math.log(a / b) for w, (a, b) in probabilities.items()}
 
 
+def pair_ratios(pairs: DataFrame, words: dict, starts: dict) -> Pairs:
+    """The highest order: discounted counts of pairs among those with their word before, backed off to the word's own probability.
+
+    pairs: (y, before, word, n). The mass handed down after a word is the same for both classes, so a pair that neither
+    keeps tells what its word tells. A class that keeps no pair after a word hands down all.
+    """
+    by = pairs.groupBy("before", "word").agg(*[F.sum(F.when(F.col("y") == 1 - c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+    of_n = {(1 - r.y, r.n): r["count"] for r in pairs.where("n <= 4").groupBy("y", "n").count().collect()}
+    of_n = [[of_n.get((c, k), 0) for k in (1, 2, 3, 4)] for c in (0, 1)]
+    kept = by.where("n0 > 1 or n1 > 1").join(pairs.groupBy("before").agg(F.sum("n").alias("total")), "before").toArrow()
+    if not kept.num_rows:
+        return Pairs()
+    before, word = kept["before"].to_pylist(), kept["word"].to_pylist()
+    _, at = np.unique(kept["before"].combine_chunks().dictionary_encode().indices.to_numpy(), return_inverse=True)
+    less = [discounts(kept[f"n{c}"].to_numpy().astype(float), of_n[c]) * (kept[f"n{c}"].to_numpy() > 1) for c in (0, 1)]
+    whole = [np.bincount(at, x)[at] for x in less]
+    lam = np.clip(1 - (whole[0] + whole[1]) / kept["total"].to_numpy(), 0.05, 0.95)
+    down = [np.array([words[w][c] if w in words else starts[start(w)][c] for w in word]) for c in (0, 1)]
+    p = [np.where(whole[c] > 0, (1 - lam) * less[c] / np.maximum(whole[c], 1e-9) + lam * down[c], down[c]) for c in (0, 1)]
+    return Pairs(before, word, np.log(p[0] / p[1]))
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple:
     """Logistic weights by Newton's method, with a ridge and some ordinary texts without evidence either way."""
     k = x.shape[1] + 1
@@ -328,8 +373,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key])
     known = known.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(4)))
     counted = sample_rows(known.where("fold > 0 and y = 1"), key, count_rows).unionByName(sample_rows(known.where("fold > 0 and y = 0"), key, count_rows))
-    pairs = map_texts(texts_of(docs, counted, key, text), "__text", lambda: word_pairs, [("before", T.ArrayType(T.StringType())), ("word", T.ArrayType(T.StringType()))], ["y"])
-    pairs = pairs.select("y", F.explode(F.arrays_zip("before", "word")).alias("z")).select("y", "z.before", "z.word").distinct()
+    pairs = map_texts(texts_of(docs, counted, key, text), "__text", lambda: word_pairs, [(c, T.ArrayType(T.StringType())) for c in ("before", "word", "around")], ["y"])
+    pairs = pairs.select("y", F.explode(F.arrays_zip("before", "word", "around")).alias("z")).select("y", "z.before", "z.word", F.xxhash64("z.around").alias("around")).distinct().groupBy("y", "before", "word").agg(F.count("*").alias("n"))
     found: tuple[dict, dict] = ({}, {})
     pairs = written(pairs, "labelled-pairs")
     counts = pairs.groupBy("y", "word").count()
@@ -337,9 +382,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         found[1 - r.y][r.word] = r["count"]
     if not found[0] or not found[1]:
         return Model()
-    needed = counts.where("count > 1").select("word").distinct()
+    needed = counts.where("count > 1").select("word").union(pairs.where("n > 1").select("word")).distinct()
     words, starts = fit_probabilities(found, *corpus_shares(corpus_words(docs, text), needed, counts.select("word").distinct()))
-    model = Model(ratios(words), ratios({u: p for u, p in starts.items() if u}))
+    model = Model(ratios(words), ratios({u: p for u, p in starts.items() if u}), pair_ratios(pairs, words, starts))
     held = texts_of(docs, sample_rows(known.where("fold = 0"), key, fit_rows), key, text)
     if held.isEmpty():
         held = texts_of(docs, counted, key, text)

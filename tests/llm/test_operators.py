@@ -122,6 +122,25 @@ def test_toxicity_ignores_copies_and_repeats():
     assert x[0, 1] == x[1, 1] == 5 / 3 and x[2, 1] == 1 / 3 and not x[3].any()
 
 
+def test_toxicity_of_common_words_together(spark):
+    rng = np.random.default_rng(11)
+    common = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(60)]
+    texts = [[common[k] for k in rng.integers(0, 60, 40)] for _ in range(600)]
+    for i, t in enumerate(texts):
+        for _ in range(3):
+            at = int(rng.integers(len(t)))
+            t[at:at] = common[:3] if i % 5 == 0 else [common[k] for k in rng.permutation([0, 1, 2])[: 1 + i % 2]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 5 else 1) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 450"), labels)
+    ids = model.pairs.ids
+    alone, llr = [model.word(w) for w in common[1:3]], np.zeros(2)
+    model.pairs.put(np.array([ids[w] for w in common[:2]]), np.array([ids[w] for w in common[1:3]]), llr)
+    assert (llr > np.array(alone) + 1).all()
+    rows = toxicity.score(docs.where("doc_id >= 450"), model).collect()
+    assert np.mean([r.predicted == 1 for r in rows if r.doc_id % 5 == 0]) > 0.9 and np.mean([r.predicted == 0 for r in rows if r.doc_id % 5]) > 0.9
+
+
 def test_toxicity_counts_the_whole_corpus(spark):
     docs = spark.createDataFrame([(1, "bad apple. A bad cat"), (2, "the bad apply of it"), (3, "unlabelled appleton; the apple"), (4, None), (5, "the apple")], "doc_id long, text string")
     words = toxicity.corpus_words(docs, "text")
