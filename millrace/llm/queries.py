@@ -43,7 +43,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(table(spark, sf_dir, "pages"))
+    return warc.derivatives(table(spark, sf_dir, "pages"), captures=True)
 
 
 def op8_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

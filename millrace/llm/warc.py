@@ -77,7 +77,7 @@ def name_of(*parts: str) -> str:
 def response(page_id, url: str | None, markup: str | None) -> str:
     payload = (markup or "").encode("utf-8", "replace")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", name_of("response", str(page_id), url or "")), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Page-ID", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", digest(payload))]
+    fields = [("WARC-Record-ID", name_of("response", str(page_id), url or "", digest(payload))), ("WARC-Date", DATE), ("WARC-Target-URI", url or ""), ("WARC-Page-ID", "" if page_id is None else str(page_id)), ("WARC-Payload-Digest", digest(payload))]
     return record("response", fields, "application/http; msgtype=response", head + payload)
 
 
@@ -188,23 +188,28 @@ def summary(f: dict, block: bytes) -> tuple:
     return (int(page) if page else None, f["WARC-Target-URI"], f["WARC-Refers-To"], f["WARC-Type"], f["WARC-Record-ID"], f["WARC-Refers-To-Digest"], f["WARC-Block-Digest"], digest(block) == f["WARC-Block-Digest"], notes.get("title"), notes.get("lang"), int(notes["links"]) if "links" in notes else None, notes.get("source-status"), notes.get("source-header"), text)
 
 
-def once_each(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
-    """Rows without repeats of key and address; of repeats, the least markup. Only keys and addresses are shuffled to find repeats, and markup of repeats alone."""
+def once_each(pages: DataFrame, key: str, url: str, markup: str, captures: bool) -> DataFrame:
+    """Rows without repeats of key, address and markup or, without captures, of key and address, of which the least markup stays.
+
+    Only keys and addresses are shuffled to find repeats, and markup of repeats alone.
+    """
     again = written(pages.groupBy(key, url).count().where("count > 1").select(F.col(key).alias("__key"), F.col(url).alias("__url")), "repeated")
     same = F.col(key).eqNullSafe(F.col("__key")) & F.col(url).eqNullSafe(F.col("__url"))
-    least = pages.join(again, same, "left_semi").groupBy(key, url).agg(F.min(markup).alias(markup))
-    return pages.join(again, same, "left_anti").unionByName(least)
+    repeats = pages.join(again, same, "left_semi")
+    once = repeats.distinct() if captures else repeats.groupBy(key, url).agg(F.min(markup).alias(markup))
+    return pages.join(again, same, "left_anti").unionByName(once)
 
 
-def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
+def derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html", captures: bool = False) -> DataFrame:
     """A row for each response: its ids and digests, its metadata and its plain text, read back from the written WARC files.
 
-    Null addresses and markup are empty; a null key stays null; rows that repeat key and address share a response id and
-    give one row, of the least markup; an empty table gives no rows; other columns are ignored.
+    Null addresses and markup are empty; a null key stays null; an empty table gives no rows; other columns are ignored.
+    captures: each different markup of a key and address is a response; else they give one row, of the least markup.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    once = once_each(pages.select(key, url, markup), key, url, markup)
+    sent = pages.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (url, markup)])
+    once = once_each(sent, key, url, markup, captures)
     if pages.isEmpty():
         rows = spark.createDataFrame([], SUMMARY)
     else:

@@ -312,6 +312,16 @@ def test_warc_files_are_whole_and_linked(spark, tmp_path):
     assert warc.plain(pages[0][2]) == ("One\nTwo l", 1)
 
 
+def test_warc_keeps_every_capture(spark, tmp_path):
+    from millrace.llm import queries
+
+    rows = [(1, "u", "first"), (1, "u", "second"), (1, "u", "second"), (None, None, "a"), (None, None, "b"), (None, "", "b"), (2, "v", None), (2, "v", ""), (3, "w", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = queries.op7_warc_derivatives(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.url, r.text) for r in made) == [(0, "", "a"), (0, "", "b"), (1, "u", "first"), (1, "u", "second"), (2, "v", ""), (3, "w", "x")]
+    assert len({r.response_id for r in made}) == 6 and all(r.sound for r in made)
+
+
 # 8
 
 
