@@ -3,8 +3,8 @@
 Vectors are compared within their label (and dimension) only. Equal vectors become one class. The classes of a label are dealt
 into shards of about `shard` vectors; a task builds a shard's layered graph. Every shard's vectors are then looked up in
 their own graph and in those of the label's other shards (each pair of shards once: links are symmetric). A beam that is
-full of links is widened, and a sample of the look-ups is audited against a scan of the shard: until the audit
-passes all beams are widened; the widest beam is the shard itself. Links found are verified by cosine in double
+full of links is widened, and a sample of the look-ups with LINKS true links to other vectors is audited against a scan of
+the shard: until the audit passes all beams are widened. Where links are too rare for that, every look-up is scanned. Links found are verified by cosine in double
 precision; a task hands on a count and a local component for each vector, never the pairs.
 """
 
@@ -26,7 +26,8 @@ SHARD = 8192
 DEGREE = 12
 BUILD_BEAM = 40
 BEAM = 32
-AUDIT = 64
+#: An audit draws look-ups until it has seen so many true links.
+LINKS = 200
 RECALL = 0.99
 BATCH = 256
 
@@ -178,12 +179,15 @@ class Graph:
             made.layers.append(layer)
 
 
-def near_pairs(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """For each query the shard's vectors at `cosine` or nearer. x, queries: unit vectors in double precision."""
+def near_pairs(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float, own: bool = False) -> list[np.ndarray]:
+    """For each query the shard's vectors at `cosine` or nearer. x, queries: unit vectors in double precision; own: the queries are x, and a vector's link to itself proves nothing."""
     q32, loose = queries.astype(np.float32), cosine - 1e-4
     out: list = [None] * len(queries)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = [np.nonzero(r >= cosine)[0] for r in queries[sample] @ x.T]
+
+    def exact(which):
+        for q in which:
+            found = out[q]
+            out[q] = np.unique(found[(x[found] * queries[q]).sum(axis=1) >= cosine]) if len(found) else found
 
     def scan(which):
         for a in range(0, len(which), BATCH):
@@ -205,14 +209,26 @@ def near_pairs(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float)
         if full:
             look(np.array(full), 4 * width)
 
+    truth: dict = {}
+    order, n_true = np.random.default_rng(len(queries)).permutation(len(queries)), 0
+    for a in range(0, len(order), BATCH):
+        part = order[a : a + BATCH]
+        scan(part)
+        exact(part)
+        truth |= {q: out[q] for q in part.tolist()}
+        n_true += sum(len(out[q]) - own for q in part)
+        if n_true >= LINKS:
+            break
+    if len(truth) == len(queries):
+        return out
     width = BEAM
     while True:
         look(np.arange(len(queries)), width)
-        for q in range(len(queries)):
-            found = out[q]
-            out[q] = np.unique(found[(x[found] * queries[q]).sum(axis=1) >= cosine]) if len(found) else found
-        hit = sum(len(np.intersect1d(out[s], t)) for s, t in zip(sample, truth))
-        if 4 * width >= len(x) or hit >= RECALL * sum(map(len, truth)):
+        exact(range(len(queries)))
+        hit = sum(len(np.intersect1d(out[q], t)) - (own and q in out[q]) for q, t in truth.items())
+        if 4 * width >= len(x) or hit >= RECALL * n_true:
+            for q, t in truth.items():
+                out[q] = t
             return out
         width *= 2
 
@@ -226,7 +242,7 @@ def join_shards(a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.
         from_ = np.repeat(np.arange(len(found)), [len(f) for f in found]) + at
         return np.column_stack([from_, np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64) + to])
 
-    links = edges(near_pairs(a["graph"], a["x"], other["x"], cosine), shift, 0)
+    links = edges(near_pairs(a["graph"], a["x"], other["x"], cosine, b is None), shift, 0)
     if b is not None:
         links = np.concatenate([links, edges(near_pairs(b["graph"], b["x"], a["x"], cosine), 0, shift)])
     links = np.sort(links[links[:, 0] != links[:, 1]], axis=1)  # found from either end or both, a link counts once

@@ -357,6 +357,44 @@ def test_graph_finds_neighbours():
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, best)]) > 0.9
 
 
+def test_audits_see_true_links():
+    rng = np.random.default_rng(12)
+    a, b = (hnsw_dedup.unit(rng.normal(size=(600, 16))) for _ in "ab")
+    b[::60] = a[::60]
+
+    class Blind:
+        """Finds a vector itself, and no other."""
+
+        def __init__(self, x):
+            self.x = x.astype(np.float32)
+
+        def search(self, queries, width):
+            sims = queries @ self.x.T
+            at = sims.argmax(axis=1)
+            own = sims.max(axis=1) > 1 - 1e-6
+            at[np.isin(at, np.nonzero(np.isin(np.arange(len(self.x)) % 60, 0))[0])] = -1
+            ids = np.where(own, at, -1)[:, None]
+            return ids, np.where(ids >= 0, 1.0, -np.inf).astype(np.float32)
+
+    across = hnsw_dedup.near_pairs(Blind(a), a, b, 0.93)
+    assert [f.tolist() for f in across] == [np.nonzero(r >= 0.93)[0].tolist() for r in b @ a.T] and sum(map(len, across)) >= 10
+    a[1::60] = a[2::60]
+    within = hnsw_dedup.near_pairs(Blind(a), a, a, 0.93, True)
+    assert [f.tolist() for f in within] == [np.nonzero(r >= 0.93)[0].tolist() for r in a @ a.T]
+
+
+def test_embeddings_of_several_large_shards(spark):
+    rng = np.random.default_rng(13)
+    for copies in (30, 900):
+        x = rng.normal(size=(1500, 16))
+        x[-copies:] = x[rng.integers(0, 1500 - copies, copies)] + rng.normal(scale=0.12, size=(copies, 16))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.93).sum(axis=1) - 1
+        table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: r.n_links for r in hnsw_dedup.near_duplicates(table, shard=400).collect()}
+        assert all(got[i] <= near[i] for i in range(1500)) and sum(got.values()) >= 0.99 * near.sum() > 0
+
+
 # 9
 
 
