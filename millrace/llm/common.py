@@ -11,18 +11,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters that part words: space and U+0009 to U+000D. bytes.split() parts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that is handed to Python; texts may be long, so batches are short.
-BATCH_ROWS = 500
+SPACE = r"[\x20\x09-\x0D]*"
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 2 << 20
-#: Words that a task remembers before it starts afresh.
+#: Words that a task remembers before it starts afresh, and their bytes.
 CACHE_WORDS = 400_000
+CACHE_BYTES = 16 << 20
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +54,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get, by rows and bytes, and lets workers on shared disks import this package."""
+def workers_import(spark: SparkSession) -> None:
+    """Lets workers on shared disks import this package."""
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def remainder(col: str, n: int):
@@ -66,52 +66,78 @@ def remainder(col: str, n: int):
     return F.crc32(F.col(col).cast("string")) % n
 
 
-def slices(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Index ranges of about SLICE_BYTES each; a longer text is a slice of its own."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or b"")
-        if held >= SLICE_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with about SLICE_BYTES of a binary column each; a longer value is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + SLICE_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def words_in(texts: Sequence[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts as one binary array, and how many each text has."""
+    data = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts], b""]), np.uint8)
+    white = WHITE[data]
+    edges = np.nonzero(white[1:] != white[:-1])[0] + 1  # where words begin and end, in turn
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum(np.array([len(t or b"") for t in texts], np.int64) + 1)
+    return runs(data[~white], np.cumsum(lengths) - lengths), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def runs(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes cut at `starts`, the first of which is 0, as a binary array."""
+    offsets = np.append(starts, len(data) if len(starts) else 0).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class WordCodes:
     """Numbers words as they are met; `grow` is called with new words and extends what is kept per number.
 
-    At most `limit` words are remembered between slices. Then `restart` is called and numbering starts at 0 again or, if
-    there is a `retain`, the words met most often stay: it is called with their numbers in rising order, which become 0, 1, ...
+    At most about `limit` words of `limit_bytes` together are remembered between slices. Then `restart` is called and
+    numbering starts at 0 again or, if there is a `retain`, the words met most often stay: it is called with their
+    numbers in rising order, which become 0, 1, ...
     """
 
-    def __init__(self, grow: Callable[[list], None], restart: Callable[[], None], limit: int = CACHE_WORDS, retain: Callable[[np.ndarray], None] | None = None):
-        self.grow, self.restart, self.limit, self.retain = grow, restart, limit, retain
+    def __init__(self, grow: Callable[[list], None], restart: Callable[[], None], limit: int = CACHE_WORDS, retain: Callable[[np.ndarray], None] | None = None, limit_bytes: int = CACHE_BYTES):
+        self.grow, self.restart, self.limit, self.retain, self.limit_bytes = grow, restart, limit, retain, limit_bytes
         self.index: dict = defaultdict(count().__next__)
         self.met = np.zeros(0, np.int64)
+        self.n_bytes = 0
 
     def shrink(self) -> None:
+        self.n_bytes = 0
         if self.retain is None:
             self.index = defaultdict(count().__next__)
             return self.restart()
-        often = np.argsort(-self.met, kind="stable")[: self.limit // 3]
-        kept = np.sort(often[self.met[often] > 1])
         words = list(self.index)
+        often = np.argsort(-self.met, kind="stable")[: self.limit // 3]
+        often = often[self.met[often] > 1]
+        size = np.cumsum([len(words[i]) for i in often.tolist()])
+        kept = np.sort(often[size <= self.limit_bytes // 3])
         self.index = defaultdict(count(len(kept)).__next__, zip([words[i] for i in kept.tolist()], range(len(kept))))
+        self.n_bytes = sum(map(len, self.index))
         self.met = self.met[kept] // 2
         self.retain(kept)
 
-    def __call__(self, words: list) -> np.ndarray:
-        if len(self.index) > self.limit:
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        if len(self.index) > self.limit or self.n_bytes > self.limit_bytes:
             self.shrink()
         before = len(self.index)
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))  # an unknown word gets the next number
+        coded = words.dictionary_encode()
+        each, of_each = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        codes = np.fromiter(map(self.index.__getitem__, each), np.int64, len(each))  # an unknown word gets the next number
         fresh = len(self.index) - before
         if fresh:
-            self.grow(list(islice(reversed(self.index), fresh))[::-1])
+            new = list(islice(reversed(self.index), fresh))[::-1]
+            self.n_bytes += sum(map(len, new))
+            self.grow(new)
         if self.retain is not None:
-            self.met = np.bincount(codes, minlength=len(self.index)) + np.pad(self.met, (0, len(self.index) - len(self.met)))
-        return codes
+            self.met = np.pad(self.met, (0, len(self.index) - len(self.met)))
+            self.met[codes] += np.bincount(of_each, minlength=len(each))
+        return codes[of_each]
 
 
 class Growing:
@@ -158,9 +184,9 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dict]], fields: Iterable[tuple[str, T.DataType]], keep: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
-    """Adds columns made from a text column, batch by batch.
+    """Adds columns made from a text column, slice by slice.
 
-    setup() is called once a task and returns a function from a list of UTF-8 texts (None for null) to the new columns.
+    setup() is called once a task and returns a function from a list of UTF-8 texts (None for null) to the new columns, as lists or Arrow arrays.
     keep: the input columns that stay (default: all). A new column replaces an input column of its name.
     key: the function also gets a 64-bit hash of this column for every text.
     """
@@ -168,24 +194,19 @@ def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dic
     new = [n for n, _ in fields]
     stay = [c for c in (keep if keep is not None else df.columns) if c not in new]
     schema = T.StructType([df.schema[c] for c in stay] + [T.StructField(n, t) for n, t in fields])
-    short_batches(df.sparkSession)
+    workers_import(df.sparkSession)
     extra = [F.xxhash64(F.col(f"`{key}`").cast("string")).alias("__key")] if key else []
     sent = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").cast("string").cast("binary").alias("__text"), *extra)
 
     def run(batches):
         work = setup()
-        kinds = None
+        kinds = [arrow_type(t) for _, t in fields]
         for batch in batches:
-            raw = batch.column(len(stay)).to_pylist()
-            keys = batch.column(len(stay) + 1).to_numpy(zero_copy_only=False) if key else None
-            out: dict[str, list] = {n: [] for n in new}
-            for a, b in slices(raw):
-                made = work(raw[a:b], keys[a:b]) if key else work(raw[a:b])
-                for n in new:
-                    out[n].extend(made[n])
-            kinds = kinds or [arrow_type(t) for _, t in fields]
-            arrays = [batch.column(i) for i in range(len(stay))] + [pa.array(out[n], type=k) for n, k in zip(new, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*stay, *new])
+            for part in slices(batch, len(stay)):
+                texts = part.column(len(stay)).to_pylist()
+                made = work(texts, part.column(len(stay) + 1).to_numpy(zero_copy_only=False)) if key else work(texts)
+                arrays = [part.column(i) for i in range(len(stay))] + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], type=k) for n, k in zip(new, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*stay, *new])
 
     return sent.mapInArrow(run, schema)
 

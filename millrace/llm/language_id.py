@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums, words_in
 from millrace.llm.toxicity import texts_of
 
 #: At most so many labelled texts are learned from; a fifth of them calibrates.
@@ -87,9 +87,8 @@ class Scorer:
 
     def logits(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Untempered logits, and whether a text has any letter."""
-        parts = [(t or b"").split() for t in texts]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        codes = self.codes([w for p in parts for w in p])
+        words, lengths = words_in(texts)
+        codes = self.codes(words)
         n = sums(self.n.all[codes], lengths)
         return sums(self.rows.all[codes], lengths) / np.maximum(n, 1)[:, None] + self.model.bias, n > 0
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums, words_in
 from millrace.llm.toxicity import texts_of
 
 #: At most so many labelled texts of each class are learned from.
@@ -69,9 +69,8 @@ class Features:
 
     def ids(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(4 x words) bucket ids of all words of the texts: word, word pair, shape, shape pair (a pair belongs to its first word; -1 at a text's end), and word counts."""
-        parts = [(t or b"").split() for t in texts]
-        n = np.array([len(p) for p in parts], np.int64)
-        codes = self.codes([w for p in parts for w in p])
+        words, n = words_in(texts)
+        codes = self.codes(words)
         if not len(codes):
             return np.zeros((4, 0), np.int64), n
         last = np.zeros(len(codes), bool)
