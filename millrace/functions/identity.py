@@ -70,3 +70,55 @@ def canonical_json(s: pd.Series) -> pd.Series:
             return None
 
     return s.map(one)
+
+
+#: Kinds of identities and the fields that each one hashes.
+IDENTITIES = {
+    "aim_trusted_metadata_v1": ("company", "title", "location"),
+    "aim_source_identity_v1": ("sourceJdHash", "trustedMetadataHash"),
+    "aim_extraction_identity_v1": ("sourceIdentity", "questionRegistryVersion", "questionRegistryHash", "promptContractVersion", "promptContractHash", "responseContractVersion", "responseContractHash", "packetStrategyVersion", "packetStrategyHash", "canonicalizationVersion", "anonymizationPolicyVersion", "anonymizationPolicyHash", "extractorSemanticVersion"),
+    "aim_model_metadata_projection_v1": ("fields",),
+    "aim_base_membership_v1": ("packetStrategyHash", "baseOrdinal", "sortedQuestionIds"),
+    "aim_packet_manifest_v1": ("baseOrdinal", "physicalOrdinal", "orderedQuestionIds", "modelVisibleMetadataProjectionHash"),
+    "aim_packet_plan_v1": ("orderedPacketManifestHashes",),
+    "aim_packet_checkpoint_v1": ("extractionIdentity", "packetPlanHash", "packetManifestHash"),
+    "aim_evidence_v1": ("source", "field", "exactQuote", "orderedOccurrences"),
+    "aim_factual_vector_v1": ("scope", "sourceIdentity", "trustedMetadataHash", "questionRegistryHash", "promptContractHash", "responseContractHash", "packetStrategyHash", "canonicalizationVersion", "anonymizationPolicyVersion", "anonymizationPolicyHash", "extractorSemanticVersion", "orderedAnswers", "sourceOrderedEvidenceCatalog"),
+    "aim_local_policy_facts_v1": ("sourceIdentity", "trustedMetadataHash", "orderedLocalTriggerCodes"),
+    "aim_local_policy_scoring_identity_v1": ("localPolicyFactsHash", "scoringPolicyVersion", "scoringPolicyHash", "resultBuilderSemanticVersion"),
+    "aim_scoring_identity_v1": ("factualVectorHash", "trustedMetadataHash", "scoringPolicyVersion", "scoringPolicyHash", "resultBuilderSemanticVersion"),
+    "aim_semantic_result_v1": ("resultVariant", "extractionIdentity", "scoringIdentity", "deterministicResult"),
+    "aim_batch_item_input_v2": ("stage", "protocolVersion", "exportSchemaVersion", "sourceIdentity", "extractionIdentity", "scoringPolicyHash", "runnerProtocolHash"),
+    "aim_result_item_v2": ("itemWithoutResultHash",),
+    "aim_result_envelope_v2": ("envelopeWithoutResultHash",),
+    "aim_extraction_failure_resolution_v1": ("inputHash", "extractionIdentity", "runnerProtocolHash"),
+    "aim_builder_failure_resolution_v1": ("inputHash", "extractionIdentity", "scoringPolicyHash", "resultBuilderSemanticVersion", "runnerProtocolHash"),
+    "aim_failure_retry_series_v1": ("jobId", "failureResolutionIdentity", "failureCode"),
+    "aim_safe_failure_suppression_v1": ("retrySeriesKey", "permanence"),
+}
+
+
+def identity(kind: str, **fields: Column) -> Column:
+    """sha256 over the canonical JSON of a kind's fields and its name; nulls are written. fields: exactly those of the kind."""
+    if set(fields) != set(IDENTITIES[kind]):
+        raise ValueError(f"{kind} takes {', '.join(IDENTITIES[kind])}")
+    row = F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in sorted(fields.items())])
+    return F.sha2(canonical_json(F.to_json(row, {"ignoreNullFields": "false"})), 256)
+
+
+def ordered_occurrences(occurrences: Column) -> Column:
+    """Occurrences by their start and end, once each."""
+    return F.array_sort(F.array_distinct(occurrences))
+
+
+def criterion_id(input_hash: Column, classification: Column, start: Column, end: Column) -> Column:
+    """An id for a criterion by where it stands; null without a proper hash and span."""
+    good = input_hash.rlike("^[a-f0-9]{64}$") & (start >= 0) & (end > start)
+    raw = F.concat(input_hash, F.lit("\x00"), classification, F.lit("\x00"), start.cast("string"), F.lit("\x00"), end.cast("string"))
+    return F.when(good, F.concat(F.lit("criterion-"), F.substring(F.sha2(raw, 256), 1, 32)))
+
+
+def requirement_id(requirement: Column, classification: Column) -> Column:
+    """An id for a requirement by its words, whatever their case, spacing and closing marks."""
+    plain = F.lower(F.regexp_replace(F.trim(F.regexp_replace(text.compatible(requirement), r"\s+", " ")), "[.;:,]+$", ""))
+    return F.concat(F.lit("req-"), F.substring(F.sha2(F.concat(classification, F.lit("\x00"), plain), 256), 1, 24))

@@ -174,3 +174,57 @@ def unescaped(s: pd.Series) -> pd.Series:
 def scoring_text(c: Column) -> Column:
     """Composed text with \\n line ends; null where it holds NUL."""
     return F.when(~F.contains(c, F.lit("\x00")), F.regexp_replace(composed(c), "\r\n?", "\n"))
+
+
+#: Words that are written short in titles and queries, and legal words of employers' names.
+SHORT_TITLES = (("pbm", "partner business manager"), ("mgr", "manager"), ("manger", "manager"), ("csm", "customer success manager"))
+SHORT_QUERIES = (("mgr", "manager"), ("pbm", "partner business manager"))
+EMPLOYER_WORDS = "incorporated inc llc ltd corp corporation company".split()
+
+
+def spelt_out(c: Column, short: tuple) -> Column:
+    for word, whole in short:
+        c = F.regexp_replace(c, rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", whole)
+    return c
+
+
+def role_title(c: Column) -> Column:
+    """A title's words in compatibility form, with short words spelt out; + # and - stay."""
+    bare = F.regexp_replace(F.lower(compatible(F.coalesce(c, F.lit("")))), "[‐‑‒–—―]", "-")
+    return F.trim(F.regexp_replace(spelt_out(bare, SHORT_TITLES), "[^a-z0-9+#-]+", " "))
+
+
+def query_key(c: Column) -> Column:
+    """A search query as words parted by `_`, short ones spelt out; `all` if there is none."""
+    bare = F.regexp_replace(decomposed(F.coalesce(c, F.lit(""))), r"[̀-ͯ]", "")
+    key = F.regexp_replace(F.regexp_replace(spelt_out(F.lower(bare), SHORT_QUERIES), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(key, F.lit("")), F.lit("all"))
+
+
+def employer(c: Column) -> Column:
+    """An employer's words in any script, without legal ones."""
+    said = F.split(F.regexp_replace(F.regexp_replace(F.lower(composed(F.coalesce(c, F.lit("")))), "&", " and "), r"[^\p{L}\p{N}]+", " "), " ")
+    return F.array_join(F.filter(said, lambda w: (w != "") & ~w.isin(EMPLOYER_WORDS)), " ")
+
+
+def employer_text(name: str) -> str:
+    """As employer, for a name at hand."""
+    bare = re.sub(r"[\W_]+", " ", unicodedata.normalize("NFC", name).lower().replace("&", " and "))
+    return " ".join(w for w in bare.split() if w not in EMPLOYER_WORDS)
+
+
+def company_stem(c: Column) -> Column:
+    """A company's ASCII words without one legal word at the end."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "&", " and "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(bare, r"\s+(?:incorporated|inc|llc|ltd|corporation|corp)$", ""))
+
+
+def canonical_text(c: Column) -> Column:
+    """Text as it is hashed: composed, with line ends as one character; null where it holds U+0000 or isn't valid UTF-8."""
+    good = F.is_valid_utf8(c) & ~F.contains(c, F.lit("\x00"))
+    return F.when(good, F.regexp_replace(composed(c), "\r\n?", "\n"))
+
+
+def in_reading_order(c: Column) -> Column:
+    """A key that sorts names as readers do, whatever their case and accents."""
+    return F.collate(c, "UNICODE_CI_AI")

@@ -104,3 +104,51 @@ def board_overlap(boards: DataFrame, known: DataFrame, least: int = 2) -> DataFr
     """New boards (slug, titles array<string>) that share at least two titles with known postings of the company (slug, titles)."""
     fresh = boards.join(known.select(F.col("slug").alias("s"), F.col("titles").alias("t")), F.col("slug") == F.col("s"))
     return fresh.where(F.size(F.array_intersect("titles", "t")) >= least).select("slug")
+
+
+#: How old a held posting may be, how many candidates a posting is held against, and spellings of places in old keys.
+DAYS, MOST = 45, 50
+OLD_PLACES = ("unknown", "remote", "mn", "st paul", "us")
+
+
+def block_keys(p: DataFrame) -> Column:
+    """Keys of which two postings must share one to be compared: identity, address, fingerprints of title, company and place in their forms, and three letters of the company with the title's first long word."""
+    title, company = F.col("title"), F.col("company")
+    whole = [identity.fingerprint(title, company, F.col("location")), *[identity.fingerprint(title, company, place, 2) for place in (F.col("location"), *map(F.lit, OLD_PLACES))], identity.fingerprint(title, company, version=3)]
+    word = F.element_at(F.filter(F.split("title_key", " "), lambda w: F.length(w) > 2), 1)
+    stem = F.lower(F.substring(F.regexp_replace(company, "[^A-Za-z0-9]", ""), 1, 3))
+    loose = F.when((F.length(stem) == 3) & word.isNotNull(), F.concat(F.lit("near|"), stem, F.lit("|"), word))
+    own = identity.posting_identity(F.col("url"), F.col("source"), F.col("source_id"))
+    return F.array_distinct(F.array_compact(F.array(own, F.concat(F.lit("url|"), F.lower("address")), *whole, loose)))
+
+
+def matches_held(incoming: DataFrame, held: DataFrame, now: Column, days: int = DAYS, most: int = MOST) -> DataFrame:
+    """(id, match, why): the newest held posting of the last days that each incoming one repeats, if any.
+
+    Both: id, title, company, location, description, url, source, source_id; held also created_at. Postings are compared if they share a block
+    key, with the newest `most` held ones; the same source and id, own address or requisition prove identity, else company, title, place
+    and a long description's words must agree. A syndicator's copy needs title and description alone.
+    """
+    new = with_identity(incoming)
+    old = with_identity(held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days))))
+    new, old = new.withColumn("keys", block_keys(new)).withColumn("sure", sure_keys(new)), old.withColumn("keys", block_keys(old)).withColumn("sure", sure_keys(old))
+    keyed = old.select(F.col("id").alias("match"), "created_at", F.explode("keys").alias("key"))
+    # A key's newest `most` are enough: no posting is held against more of them.
+    newest = Window.partitionBy("key").orderBy(F.col("created_at").desc(), F.col("match"))
+    keyed = keyed.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most).drop("__n")
+    pairs = new.select("id", F.explode("keys").alias("key")).join(keyed, "key").groupBy("id", "match").agg(F.max("created_at").alias("created_at"))
+    ranked = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("created_at").desc(), "match"))).where(F.col("__n") <= most).drop("__n")
+    cols = ["company_key", "title_key", "place", "signature", "sure"]
+    side = lambda df, key, mark: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in cols])
+    both = ranked.join(side(new, "id", "n"), "id").join(side(old, "match", "o"), "match")
+    n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
+    begins = lambda a, b: a.startswith(F.concat(b, F.lit(" "))) & (b != "")
+    title = (n("title_key") == o("title_key")) | begins(n("title_key"), o("title_key")) | begins(o("title_key"), n("title_key"))
+    place = (n("place") == o("place")) | (n("place") == "unknown") | (o("place") == "unknown")
+    words = F.coalesce(n("signature") == o("signature"), F.lit(False))
+    why = F.when(F.arrays_overlap(n("sure"), o("sure")), "identity").when((n("company_key") == o("company_key")) & title & place & words, "description")
+    found = both.withColumn("why", why).where("why is not null").select("id", "match", "created_at", "why")
+    label = lambda df, key: df.where("signature is not null and title_key <> ''").select(F.col("id").alias(key), "title_key", "signature", F.coalesce(F.col("company").rlike(SYNDICATORS), F.lit(False)).alias(f"s_{key}"), *(["created_at"] if key == "match" else []))
+    copies = label(new, "id").join(first_per_key(label(old, "match"), ["title_key", "signature", "s_match"], [F.col("created_at").desc(), F.col("match")]), ["title_key", "signature"]).where("s_id or s_match")
+    every = found.withColumn("__r", F.lit(0)).unionByName(copies.select("id", "match", "created_at", F.lit("syndication").alias("why"), F.lit(1).alias("__r")))
+    return first_per_key(every, ["id"], [F.col("__r"), F.col("created_at").desc(), F.col("match")]).select("id", "match", "why")
