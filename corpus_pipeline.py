@@ -27,9 +27,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies, as it is."""
-    gone = simhash_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The document of the smallest id of each group of near copies, as it is; rows without an id stay.
+
+    Rows that share an id are told apart by their texts: each goes or stays with its own group, and of rows that repeat
+    both one stays.
+    """
+    coded = docs.withColumn("__text_code", F.xxhash64("text"))
+    found = written(simhash_dedup.near_duplicates(coded, carry=["__text_code"]), "near-copies").select(F.col("doc_id").alias("__id"), F.col("__text_code").alias("__code"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_code").eqNullSafe(F.col("__code"))
+    stay = coded.join(found.where("not kept").select("__id", "__code").distinct(), same, "left_anti")
+    repeats = written(found.where("kept and __id is not null").groupBy("__id", "__code").count().where("count > 1").select("__id", "__code"), "repeated-ids")
+    once = stay.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "__text_code"])
+    return stay.join(repeats, same, "left_anti").unionByName(once).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
