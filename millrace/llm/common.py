@@ -12,18 +12,21 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The characters that part words: space and U+0009 to U+000D. bytes.split() parts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]*"
+BATCH_BYTES = 6 << 20
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 2 << 20
 #: Words that a task remembers before it starts afresh, and their bytes.
 CACHE_WORDS = 400_000
 CACHE_BYTES = 16 << 20
+#: A classifier learns from labelled texts of so many bytes at most.
+FIT_BYTES = 64 << 20
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -55,10 +58,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Lets workers on shared disks import this package."""
+    """Lets workers on shared disks import this package, and holds the Arrow batches they get to BATCH_BYTES, whatever their rows."""
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def remainder(col: str, n: int):
@@ -216,6 +220,25 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     return pa.list_(arrow_type(t.elementType)) if isinstance(t, T.ArrayType) else simple[t.typeName()]
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows, the first by a hash of the key: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(n)
+def labelled(rows: DataFrame, key: str, label: str, name: str) -> DataFrame:
+    """(key, name): one label a key; of rows that repeat a key the least label counts. Null keys and labels are left out."""
+    return rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias(name))
+
+
+def sample_rows(df: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
+    """At most n rows, of each value of `by` if it is given, the first by a hash of the key: the same rows whatever the partitioning."""
+    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
+    if by is None:
+        return df.orderBy(*order).limit(n)
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+
+def texts_of(docs: DataFrame, rows: DataFrame, key: str, text: str, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """(__id, __text, columns of rows): texts of a bounded set of labelled rows, which is small enough to be sent to every executor, of most_bytes at most in the order of the sample.
+
+    Of rows that repeat an id the least text is taken.
+    """
+    met = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(rows.withColumnRenamed(key, "__id")), "__id")
+    once = met.groupBy("__id").agg(*[F.min(c).alias(c) for c in met.columns if c != "__id"])
+    upto = F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(Window.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id"))
+    return once.withColumn("__upto", upto).where(F.col("__upto") <= most_bytes).drop("__upto")

@@ -4,40 +4,43 @@ A word's probability after another is the pair's discounted count (of distinct s
 copies of a text add nothing), which backs off to the word's discounted continuation count (distinct words before it in texts
 of the class), then over ever shorter beginnings, of eight to two letters, whose counts
 are distinct word types with that beginning. What a step hands down is parted by the same counts over the whole corpus,
-all of its words and beginnings, and the mass handed down is the same for both classes, so what neither class has seen tells
-for neither. A text's evidence is the log-likelihood ratio per word, over the text and over its strongest windows of
+all of its words and beginnings (distinct words before each word by a sketch of 256 bits, whose standard error is about 17%), and the mass handed down is the
+same for both classes, so what neither class has seen tells for neither. A text's evidence is the log-likelihood ratio per word, over the text and over its strongest windows of
 the lengths in WINDOWS, a word repeated at once counting once; a logistic fit on labelled texts that the counts left out turns them into a probability.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, short_batches, slices, spread, sums, written
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, slices, spread, sums, texts_of, words_in, workers_import, written
 
 #: At most so many labelled texts of each class give the class counts, and so many of both the calibration.
 COUNT_ROWS = 4000
 FIT_ROWS = 4000
-#: Pairs of words that a task gathers before it hands them on, when it counts the corpus, and the groups that they are dealt to.
-TASK_PAIRS = 2_000_000
-BUCKETS = 1024
+#: Units whose words before a task gathers, when it counts the corpus, before it hands them on.
+TASK_UNITS = 100_000
+#: Sketch of the words before a word: sets of SLOTS bits; set k gets a share 3 / 4 ** (k + 1) of all words, the last one the rest.
+SETS, SLOTS = 8, 32
+FULL = 28
 WINDOWS = (3, 12)
 THRESHOLD = 0.3
 #: Pairs of words are counted by distinct words so many places before and after them.
 AROUND = 4
 LEVELS = (8, 7, 6, 5, 4, 3, 2)
 LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS_OR_END = re.compile(r"[^\W\d_]+|\n")
 
 
 def units(word: str) -> list[str]:
@@ -74,13 +77,16 @@ class Model:
     weights: tuple = (0.0, 0.0, 0.0, -2.0)
     windows: tuple = WINDOWS
 
-    def word(self, w: str) -> float:
-        if w in self.words:
-            return self.words[w]
+    def ratios(self, words: list) -> np.ndarray:
+        """Each word's ratio, else that of its longest known beginning, else 0."""
+        out = list(map(self.words.get, words))
+        rest = [i for i, v in enumerate(out) if v is None]
         for k in LEVELS:
-            if len(w) >= k and w[:k] in self.starts:
-                return self.starts[w[:k]]
-        return 0.0
+            for i in rest:
+                if len(words[i]) >= k:
+                    out[i] = self.starts.get(words[i][:k])
+            rest = [i for i in rest if out[i] is None]
+        return np.array([0.0 if v is None else v for v in out], np.float64)
 
 
 class Scorer:
@@ -96,7 +102,7 @@ class Scorer:
         self.ids.clear()
 
     def grow(self, words):
-        self.llr.extend(np.array([self.model.word(w) for w in words], np.float64))
+        self.llr.extend(self.model.ratios(words))
         self.ids.extend(np.array([self.model.pairs.ids.get(w, -1) for w in words], np.int64))
 
     def evidence(self, texts: list) -> np.ndarray:
@@ -233,39 +239,37 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple:
 
 
 class Sequences:
-    """Texts as runs of numbered units, the pieces of written words that `units` gives; `grow` is called with new units."""
+    """Texts as runs of numbered units, the pieces of written words that `units` gives; `grow` is called with new units. Number 0 is a line end, which no text holds."""
 
     def __init__(self, grow, restart):
-        self.index: dict = {}
         self.grow_units, self.restart_units = grow, restart
         self.flat, self.at, self.n = Growing(np.int64), Growing(np.int64), Growing(np.int64)
         self.codes = WordCodes(self.grow, self.restart)
+        self.restart()
 
     def restart(self):
-        self.index = {}
+        self.index: dict = defaultdict(count().__next__, {})
         for held in (self.flat, self.at, self.n):
             held.clear()
         self.restart_units()
+        self.grow_units(["\n" for _ in range(self.index["\n"] + 1)])
 
     def grow(self, words):
-        parts = [units(w.decode("utf-8", "replace")) for w in words]
-        before, n = len(self.index), np.array([len(p) for p in parts], np.int64)
-        codes = [self.index.setdefault(u, len(self.index)) for p in parts for u in p]
+        parts = LETTERS_OR_END.findall(b"\n".join([*words, b""]).decode("utf-8", "replace").lower())
+        before = len(self.index)
+        codes = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        n = np.diff(np.nonzero(codes == 0)[0], prepend=-1) - 1
         self.at.extend(self.flat.n + np.cumsum(n) - n)
         self.n.extend(n)
-        self.flat.extend(np.array(codes, np.int64))
+        self.flat.extend(codes[codes > 0])
         self.grow_units(list(islice(reversed(self.index), len(self.index) - before))[::-1])
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(numbers of written words, written words of each text, numbers of units, units of each written word)."""
-        words, lengths = [], []
-        for t in texts:
-            w = (t or b"").split()
-            words += w
-            lengths.append(len(w))
+        words, lengths = words_in(texts)
         codes = self.codes(words)
         n = self.n.all[codes]
-        return codes, np.array(lengths, np.int64), self.flat.all[spread(self.at.all[codes], n)], n
+        return codes, lengths, self.flat.all[spread(self.at.all[codes], n)], n
 
 
 def before_each(coded: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -276,67 +280,73 @@ def before_each(coded: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.nda
     return before
 
 
+def slot(units: list[str]) -> np.ndarray:
+    """The bit of the sketch that each unit sets as a word before another."""
+    h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "replace")) for u in units], np.uint64)
+    x = h >> np.uint64(8)
+    level = sum(((x & np.uint64((1 << 2 * k) - 1)) == 0).astype(np.int64) for k in range(1, SETS))
+    return level * SLOTS + (h % np.uint64(SLOTS)).astype(np.int64)
+
+
+def distinct(sketch: list[Column]) -> Column:
+    """About how many different words set the bits of a sketch, as SETS * SLOTS / 64 longs: linear counts of the first set that isn't too full and those after it."""
+    ones = [F.bit_count(half) for c in sketch for half in (c.bitwiseAND(F.lit((1 << SLOTS) - 1)), F.shiftrightunsigned(c, SLOTS))]
+    table = F.array(*[F.lit(-SLOTS * math.log(1 - min(k, SLOTS - 0.5) / SLOTS)) for k in range(SLOTS + 1)])
+    counts = [F.element_at(table, o + 1) for o in ones]
+    found = F.lit(None).cast("double")
+    for k in range(SETS - 1, -1, -1):
+        here = float(4**k) * sum(counts[k + 1 :], counts[k])
+        found = here if k == SETS - 1 else F.when(ones[k] <= FULL, here).otherwise(found)
+    return F.greatest(F.round(found), F.lit(1.0)).cast("long")
+
+
 def corpus_words(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n): every word of all texts and the number of distinct words before it, as a written table.
+    """(word, n): every word of all texts and about how many distinct words stand before it, as a written table.
 
-    A task hands on the distinct pairs of every TASK_PAIRS it meets, in BUCKETS by both words, a word once with all words
-    before it. These are told apart by hashes of 40 bits, which can merge only words before the same word.
+    A task hands on one sketch a word for every TASK_UNITS words it meets; sketches of a word are put together by `or`, so
+    what is shuffled is bounded by the words of each task and not by their pairs. The text's start is a word too.
     """
-    short_batches(docs.sparkSession)
+    workers_import(docs.sparkSession)
+    names = [f"s{k}" for k in range(SETS * SLOTS // 64)]
 
     def run(batches):
-        names: list = []
-        hashes = Growing(np.int64)
-        held: list = []
+        words: list = []
+        slots = Growing(np.int64)
+        seen = np.zeros((TASK_UNITS + TASK_UNITS // 4, SETS * SLOTS), bool)
+        start = slot([""])
 
         def grow(new):
-            names.extend(new)
-            hashes.extend(np.array([int.from_bytes(hashlib.blake2b(u.encode("utf-8", "replace"), digest_size=5).digest(), "little") for u in new], np.int64))
-
-        def flush():
-            pairs = np.unique(np.concatenate(held))
-            held.clear()
-            word, before = pairs >> 32, np.concatenate([[0], hashes.all])[pairs & 0xFFFFFFFF]
-            bucket = (hashes.all[word] + 131 * (before & 7)) % BUCKETS
-            order = np.argsort(bucket, kind="stable")  # words stay together within a bucket
-            word, before, bucket = word[order], before[order], bucket[order]
-            at = np.nonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
-            n = np.diff(np.append(at, len(word))).astype(np.int32)
-            used, which = np.unique(word[at], return_inverse=True)
-            words = pa.array([names[i] for i in used.tolist()], pa.string()).take(pa.array(which))
-            packed = before.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            some, row = np.unique(bucket[at], return_index=True)
-            ends = np.append(row, len(at)).astype(np.int32)
-            cuts = np.append(at[row], len(word)) * 5
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (words, pa.array(n))]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists, pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["bucket", "word", "n", "before"])
+            words.extend(new)
+            slots.extend(slot(new))
 
         def restart():
-            names.clear()
-            hashes.clear()
+            words.clear()
+            slots.clear()
+
+        def flush():
+            some = np.nonzero(seen[: len(words)].any(axis=1))[0]
+            packed = np.packbits(seen[some], axis=1, bitorder="little").view("<i8")
+            seen[: len(words)] = False
+            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in some.tolist()], pa.string()), *[pa.array(c) for c in packed.T]], names=["word", *names])
 
         read = Sequences(grow, restart)
         for batch in batches:
-            raw = batch.column(0).to_pylist()
-            for a, b in slices(raw):
-                if held and (sum(map(len, held)) >= TASK_PAIRS or len(read.codes.index) > read.codes.limit):
+            for part in slices(batch, 0):
+                if len(words) > TASK_UNITS:
                     yield flush()
-                _, lengths, coded, n = read(raw[a:b])
-                if len(coded):
-                    held.append(np.unique(coded << 32 | before_each(coded, n, lengths) + 1))
-        if held:
-            yield flush()
+                    read.codes.shrink()
+                _, lengths, coded, n = read(part.column(0).to_pylist())
+                if len(words) > len(seen):
+                    held = seen
+                    seen = np.zeros((max(len(words), 2 * len(held)), SETS * SLOTS), bool)
+                    seen[: len(held)] = held
+                before = before_each(coded, n, lengths)
+                seen[coded, np.where(before < 0, start, slots.all[before])] = True
+        yield flush()
 
-    def count(rows):
-        words = pa.chunked_array([c.flatten() for c in rows.column("word").chunks]).combine_chunks().dictionary_encode()
-        n = np.concatenate([c.flatten().to_numpy() for c in rows.column("n").chunks])
-        packed = np.frombuffer(b"".join(rows.column("before").to_pylist()), np.uint8).reshape(-1, 5)
-        before = np.pad(packed, ((0, 0), (0, 3))).view("<i8")[:, 0]
-        pairs = np.unique(np.repeat(words.indices.to_numpy().astype(np.int64), n) << 40 | before)
-        return pa.table([words.dictionary, pa.array(np.bincount(pairs >> 40, minlength=len(words.dictionary)))], names=["word", "n"])
-
-    sent = docs.select(F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, "bucket int, word array<string>, n array<int>, before binary")
-    return written(sent.groupBy("bucket").applyInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    sent = docs.select(F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, ", ".join(["word string", *[f"{c} long" for c in names]]))
+    whole = sent.groupBy("word").agg(*[F.bit_or(c).alias(c) for c in names])
+    return written(whole.select("word", distinct([F.col(c) for c in names]).alias("n")), "words")
 
 
 def corpus_shares(words: DataFrame, needed: DataFrame, seen: DataFrame) -> tuple[dict, dict]:
@@ -360,17 +370,12 @@ def corpus_shares(words: DataFrame, needed: DataFrame, seen: DataFrame) -> tuple
     return tuple(dict(zip(*(c.to_pylist() for c in df.toArrow().columns))) for df in (rows, starts))
 
 
-def texts_of(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts of a bounded set of labelled rows, which is small enough to be sent to every executor."""
-    return docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(rows.withColumnRenamed(key, "__id")), "__id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from rows of labels with a label of 0 or 1, of which at most 2 * count_rows + fit_rows texts are used.
+    """Learns from rows of labels with a label of 0 or 1, of which at most 2 * count_rows + fit_rows texts are used; of rows that repeat a key the least label and the least text count.
 
     Without labelled rows of both classes, every text scores the same, about 0.1.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key])
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).groupBy(key).agg(F.min("y").alias("y"))
     known = known.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(4)))
     counted = sample_rows(known.where("fold > 0 and y = 1"), key, count_rows).unionByName(sample_rows(known.where("fold > 0 and y = 0"), key, count_rows))
     pairs = map_texts(texts_of(docs, counted, key, text), "__text", lambda: word_pairs, [(c, T.ArrayType(T.StringType())) for c in ("before", "word", "around")], ["y"])
