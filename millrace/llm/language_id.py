@@ -2,7 +2,8 @@
 
 A word's subwords (1 to 4 letters, with word ends marked) are hashed to rows of an embedding table; a text is the
 mean of its subwords' rows, and a linear softmax over it gives the languages. Both tables are trained by stochastic
-gradient descent in numpy on whole texts and short runs of words. As the softmax input is linear in the subwords, the
+gradient descent in numpy on whole texts and short runs of words; each row's and weight's step is divided by the root of its
+squared gradients so far, as subwords are met unequally often. As the softmax input is linear in the subwords, the
 two tables are multiplied once after training, so that scoring adds one short row per subword. A temperature, fitted
 on texts left out of the training, calibrates the probabilities; the rejection threshold is the smallest confidence
 above which those texts are more often right than wrong, at most REJECT_MOST.
@@ -18,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums, words_in
-from millrace.llm.toxicity import texts_of
+from millrace.llm.common import Growing, WordCodes, labelled, map_texts, sample_rows, sums, texts_of, words_in
 
-#: At most so many labelled texts are learned from; a fifth of them calibrates.
-FIT_ROWS = 2500
+#: At most so many labelled texts of each language are learned from; a fifth of them calibrates.
+FIT_ROWS = 650
 BUCKETS = 1 << 12
 WIDTH = 16
 SIZES = (1, 2, 3, 4)
@@ -182,9 +182,9 @@ def rejection(confidence: np.ndarray, right: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """Learns from at most `rows` texts with a known language; none: every text gets `und`."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.col(lang).alias("__lang")).dropDuplicates([key])
-    held = texts_of(docs, sample_rows(known, key, rows), key, text).dropDuplicates(["__id"]).orderBy("__id").collect()
+    """Learns from at most `rows` texts of each language that is known of any row; none: every text gets `und`. Of rows that repeat a key the least language and the least text count."""
+    known = labelled(docs.where(F.col(text).isNotNull()), key, lang, "__lang")
+    held = texts_of(docs, sample_rows(known, key, rows, "__lang"), key, text).where("__text is not null").orderBy("__id").collect()
     return train([r["__text"].encode("utf-8", "replace") for r in held], [r["__lang"] for r in held])
 
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums, words_in
-from millrace.llm.toxicity import texts_of
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, sums, texts_of, words_in
 
 #: At most so many labelled texts of each class are learned from.
 FIT_ROWS = 3000
@@ -129,10 +128,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Learns from at most `rows` labelled texts of each class; without any, every text scores a half."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key])
+    """Learns from at most `rows` labelled texts of each class; without any, every text scores a half. Of rows that repeat a key the least label and the least text count."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).groupBy(key).agg(F.min("y").alias("y"))
     chosen = sample_rows(known.where("y = 1"), key, rows).unionByName(sample_rows(known.where("y = 0"), key, rows))
-    held = texts_of(docs, chosen, key, text).dropDuplicates(["__id"]).orderBy("__id").collect()
+    held = texts_of(docs, chosen, key, text).orderBy("__id").collect()
     return train([(r["__text"] or "").encode("utf-8", "replace") for r in held], [r["y"] for r in held])
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts, sample_rows
-from millrace.llm.toxicity import texts_of
+from millrace.llm.common import map_texts, sample_rows, texts_of
 
 FIT_ROWS = 3000
 THRESHOLD = 0.3
@@ -171,11 +170,11 @@ def boost(x: np.ndarray, y: np.ndarray, directions: list[int], n_trees: int = 60
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Trees:
-    """Learns from at most `rows` labelled texts of each class; without any, every text scores a half."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key])
+    """Learns from at most `rows` labelled texts of each class; without any, every text scores a half. Of rows that repeat a key the least label and the least text count."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")).groupBy(key).agg(F.min("y").alias("y"))
     chosen = sample_rows(known.where("y = 1"), key, rows).unionByName(sample_rows(known.where("y = 0"), key, rows))
     made = map_texts(texts_of(docs, chosen, key, text), "__text", lambda: lambda texts: {"x": [statistics(t)[1] for t in texts]}, [("x", T.ArrayType(T.DoubleType()))], ["__id", "y"])
-    held = made.dropDuplicates(["__id"]).orderBy("__id").collect()
+    held = made.orderBy("__id").collect()
     return boost(np.array([r.x for r in held], float).reshape(-1, len(FEATURES)), np.array([r.y for r in held], float), list(FEATURES.values()))
 
 
