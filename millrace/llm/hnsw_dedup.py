@@ -4,8 +4,9 @@ Vectors are compared within their label (and dimension) only. Equal vectors beco
 into shards of about `shard` vectors; a task builds a shard's layered graph. Every shard's vectors are then looked up in
 their own graph and in those of the label's other shards (each pair of shards once: links are symmetric). A beam that is
 full of links is widened, and a sample of the look-ups with LINKS true links to other vectors is audited against a scan of
-the shard: until the audit passes all beams are widened. Where links are too rare for that, every look-up is scanned. Links found are verified by cosine in double
-precision; a task hands on a count and a local component for each vector, never the pairs.
+the shard: until the audit passes beams are widened. Where links are too rare for that, every look-up is scanned. Links
+found are verified by cosine in double precision. Look-ups are made and counted some at a time; a task holds a count and a
+local component for each vector, never the pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import short_batches, written
+from millrace.llm.common import workers_import, written
 from millrace.llm.components import components
 
 COSINE = 0.93
@@ -30,6 +31,10 @@ BEAM = 32
 LINKS = 200
 RECALL = 0.99
 BATCH = 256
+#: Copies of a vector beyond which its rows are dealt over SALTS keys.
+HOT = 20_000
+SALTS = 64
+PARTS = ("ids", "codes", "mult", "x", "graph")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -179,87 +184,93 @@ class Graph:
             made.layers.append(layer)
 
 
-def near_pairs(graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float, own: bool = False) -> list[np.ndarray]:
-    """For each query the shard's vectors at `cosine` or nearer. x, queries: unit vectors in double precision; own: the queries are x, and a vector's link to itself proves nothing."""
-    q32, loose = queries.astype(np.float32), cosine - 1e-4
-    out: list = [None] * len(queries)
-
-    def exact(which):
-        for q in which:
-            found = out[q]
-            out[q] = np.unique(found[(x[found] * queries[q]).sum(axis=1) >= cosine]) if len(found) else found
-
-    def scan(which):
-        for a in range(0, len(which), BATCH):
-            part = which[a : a + BATCH]
-            for q, row in zip(part, q32[part] @ graph.x.T):
-                out[q] = np.nonzero(row >= loose)[0]
-
-    def look(which, width):
-        if 4 * width >= len(x):
-            return scan(which)
-        full = []
-        for a in range(0, len(which), BATCH):
-            part = which[a : a + BATCH]
-            ids, sims = graph.search(q32[part], width)
-            for q, i, s in zip(part, ids, sims):
-                out[q] = i[(s >= loose) & (i >= 0)]
-                if len(out[q]) >= width - 1:
-                    full.append(q)
-        if full:
-            look(np.array(full), 4 * width)
-
-    truth: dict = {}
-    order, n_true = np.random.default_rng(len(queries)).permutation(len(queries)), 0
-    for a in range(0, len(order), BATCH):
-        part = order[a : a + BATCH]
-        scan(part)
-        exact(part)
-        truth |= {q: out[q] for q in part.tolist()}
-        n_true += sum(len(out[q]) - own for q in part)
-        if n_true >= LINKS:
-            break
-    if len(truth) == len(queries):
-        return out
-    width = BEAM
-    while True:
-        look(np.arange(len(queries)), width)
-        exact(range(len(queries)))
-        hit = sum(len(np.intersect1d(out[q], t)) - (own and q in out[q]) for q, t in truth.items())
-        if 4 * width >= len(x) or hit >= RECALL * n_true:
-            for q, t in truth.items():
-                out[q] = t
-            return out
-        width *= 2
-
-
-def join_shards(a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, counts, roots) of the vectors with links, within shard a or between a and b; counts are of original vectors."""
-    ids, mult = (a["ids"], a["mult"]) if b is None else (np.concatenate([a["ids"], b["ids"]]), np.concatenate([a["mult"], b["mult"]]))
-    other, shift = (a, 0) if b is None else (b, len(a["ids"]))
-
-    def edges(found, at, to):
-        from_ = np.repeat(np.arange(len(found)), [len(f) for f in found]) + at
-        return np.column_stack([from_, np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64) + to])
-
-    links = edges(near_pairs(a["graph"], a["x"], other["x"], cosine, b is None), shift, 0)
-    if b is not None:
-        links = np.concatenate([links, edges(near_pairs(b["graph"], b["x"], a["x"], cosine), 0, shift)])
-    links = np.sort(links[links[:, 0] != links[:, 1]], axis=1)  # found from either end or both, a link counts once
-    links = np.unique(links[:, 0] * len(ids) + links[:, 1])
-    low, high = links // max(len(ids), 1), links % max(len(ids), 1)
-    n = (np.bincount(low, mult[high], len(ids)) + np.bincount(high, mult[low], len(ids))).astype(np.int64)
+class LookUp:
+    """Links of queries to a shard's vectors. x, queries: unit vectors in double precision; own: the queries are x, and a vector's link to itself proves nothing."""
+
+    def __init__(self, graph: Graph, x: np.ndarray, queries: np.ndarray, cosine: float, own: bool = False):
+        self.graph, self.x, self.queries, self.cosine, self.own = graph, x, queries, cosine, own
+        self.q32, self.width, self.recall = queries.astype(np.float32), BEAM, 1.0
+
+    def exact(self, q: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (q, found) that link in double precision, by q."""
+        good = np.zeros(len(q), bool)
+        for a in range(0, len(q), 1 << 14):
+            part = slice(a, a + (1 << 14))
+            good[part] = np.einsum("ij,ij->i", self.x[found[part]], self.queries[q[part]]) >= self.cosine
+        if self.own:
+            good &= q != found
+        order = np.argsort(q[good], kind="stable")
+        return q[good][order], found[good][order]
+
+    def scanned(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q, found = np.nonzero(self.q32[which] @ self.graph.x.T >= self.cosine - 1e-4)
+        return self.exact(which[q], found)
+
+    def searched(self, which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if 4 * width >= len(self.x):
+            return self.scanned(which)
+        ids, sims = self.graph.search(self.q32[which], width)
+        good = (sims >= self.cosine - 1e-4) & (ids >= 0)
+        full = good.sum(axis=1) >= width - 1
+        q, at = np.nonzero(good & ~full[:, None])
+        found = self.exact(which[q], ids[q, at])
+        if not full.any():
+            return found
+        return tuple(np.concatenate(x) for x in zip(found, self.searched(which[full], 4 * width)))
+
+    def batches(self):
+        """(queries, linked vectors), some queries at a time: first the audited ones, by a scan, then all others by beams that the audit found wide enough."""
+        order = np.random.default_rng(len(self.queries)).permutation(len(self.queries))
+        n_true, audited, truth = 0, 0, []
+        while audited < len(order) and n_true < LINKS:
+            q, found = self.scanned(order[audited : audited + BATCH])
+            audited, n_true = audited + BATCH, n_true + len(q)
+            truth.append((q, found))
+            yield q, found
+        if audited >= len(order):
+            return
+        q, found = (np.concatenate(x) for x in zip(*truth))
+        want = q * len(self.x) + found
+        while 4 * self.width < len(self.x):
+            got = [self.searched(order[a : a + BATCH], self.width) for a in range(0, audited, BATCH)]
+            self.recall = np.isin(np.concatenate([q * len(self.x) + f for q, f in got]), want).sum() / len(want)
+            if self.recall >= RECALL:
+                break
+            self.width, self.recall = 2 * self.width, 1.0
+        for a in range(audited, len(order), BATCH):
+            yield self.searched(order[a : a + BATCH], self.width)
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a[i] and b[i]; every set's root is its smallest member."""
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while True:
+            over = root[root]
+            if (over == root).all():
+                break
+            root[:] = over
+
+
+def join_shards(a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, codes, counts, roots) of the vectors with links, within shard a or between a and b; counts are of original vectors."""
+    both = [a] if b is None else [a, b]
+    ids, codes, mult = (np.concatenate([x[c] for x in both]) for c in ("ids", "codes", "mult"))
     rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(ids)] = np.arange(len(ids))
-    least = rank.copy()
-    while True:  # the smallest rank of each component spreads along its links
-        before = least.copy()
-        np.minimum.at(least, low, before[high])
-        np.minimum.at(least, high, before[low])
-        if (least == before).all():
-            break
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    root, n = np.arange(len(ids)), np.zeros(len(ids))
+    look = LookUp(a["graph"], a["x"], both[-1]["x"], cosine, b is None)
+    for q, found in look.batches():
+        q = q + (0 if b is None else len(a["ids"]))
+        n += np.bincount(q, mult[found], len(ids))
+        if b is not None:
+            n += np.bincount(found, mult[q], len(ids))
+        unite(root, rank[q], rank[found])
     some = np.nonzero(n)[0]
-    return ids[some], n[some], np.sort(ids)[least[some]]
+    return ids[some], codes[some], n[some].astype(np.int64), np.sort(ids)[root[rank[some]]]
 
 
 def valid(vector: str):
@@ -272,31 +283,35 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     n_links: other rows at `cosine` or nearer with the same label; component_id: the smallest key reachable by links. A null
     label, and a vector that is null, empty, zero or has null or non-finite components, links with nothing, and vectors
-    of different lengths don't link; a null key has no links and a null component. Keys must not repeat.
+    of different lengths don't link; a null key has no links and a null component. Rows that repeat a key each have their
+    own links, and share a component.
     """
     spark = vectors.sparkSession
-    short_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    workers_import(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & valid("v"))
-    classes = written(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("v")), "vectors")
+    rows = rows.withColumn("good", F.col("id").isNotNull() & F.col("label").isNotNull() & valid("v"))
+    # Equal vectors have equal codes; two 64-bit hashes tell different ones apart.
+    rows = rows.withColumn("code", F.xxhash64("v", F.lit(1))).withColumn("code2", F.xxhash64(F.lit(2), F.reverse("v")))
+    good = rows.where("good")
+    classes = good.groupBy("label", "code", "code2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("dim", F.size("v")), "vectors")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("long").alias("n_shards"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("n_shards")))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep", "code"), F.col("n_shards")))
 
     def build(key, held):
-        ids = held.column("rep").to_numpy()
-        order = np.argsort(ids)
-        y = unit(np.array(held.column("v").to_pylist(), np.float64)[order])
-        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), ids[order].tobytes(), held.column("mult").to_numpy()[order].tobytes(), y.tobytes(), Graph(ids[order], y).dump()]
-        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=["label", "dim", "shard", "ids", "mult", "x", "graph"])
-
-    shards = written(dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard long, ids binary, mult binary, x binary, graph binary"), "graphs")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a pair of shards
-    left = shards.select("label", "dim", *[F.col(c).alias(f"{c}_a") for c in ("shard", "ids", "mult", "x", "graph")])
-    right = shards.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("shard", "ids", "mult", "x", "graph")])
-    same = left.select("shard_a", *[f"{c}_a" for c in ("ids", "mult", "x", "graph")], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in ("ids", "mult", "x", "graph")], "dim")
-    cross = left.join(right, ["label", "dim"]).where("shard_a < shard_b").select("shard_a", *[f"{c}_{s}" for s in "ab" for c in ("ids", "mult", "x", "graph")], "dim")
+        ids, codes = held.column("rep").to_numpy(), held.column("code").to_numpy()
+        order = np.lexsort((codes, ids))
+        y = unit(held.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order])
+        values = [key[0].as_py(), key[1].as_py(), key[2].as_py(), *(x[order].tobytes() for x in (ids, codes, held.column("mult").to_numpy())), y.tobytes(), Graph(ids[order], y).dump()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=["label", "dim", "shard", *PARTS])
+
+    made = dealt.select("label", "dim", "shard", "rep", "code", "mult", "v").groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard long, ids binary, codes binary, mult binary, x binary, graph binary")
+    shards = written(made, "graphs")
+    left = shards.select("label", "dim", *[F.col(c).alias(f"{c}_a") for c in ("shard", *PARTS)])
+    right = shards.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("shard", *PARTS)])
+    same = left.select("shard_a", *[f"{c}_a" for c in PARTS], *[F.lit(None).cast("binary").alias(f"{c}_b") for c in PARTS], "dim")
+    cross = left.join(right, ["label", "dim"]).where("shard_a < shard_b").select("shard_a", *[f"{c}_{s}" for s in "ab" for c in PARTS], "dim")
     pairs = same.unionByName(cross).drop("shard_a").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("ids_a", "ids_b"))
 
     def look_up(batches):
@@ -304,19 +319,27 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             if row[f"ids_{s}"] is None:
                 return None
             x = np.frombuffer(row[f"x_{s}"], np.float64).reshape(-1, row["dim"])
-            return {"ids": np.frombuffer(row[f"ids_{s}"], np.int64), "mult": np.frombuffer(row[f"mult_{s}"], np.int64), "x": x, "graph": Graph.load(row[f"graph_{s}"], x)}
+            return {c: np.frombuffer(row[f"{c}_{s}"], np.int64) for c in ("ids", "codes", "mult")} | {"x": x, "graph": Graph.load(row[f"graph_{s}"], x)}
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, n, roots = join_shards(side(row, "a"), side(row, "b"), cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(roots, pa.int64())], names=["rep", "n", "root"])
-
-    found = written(pairs.mapInArrow(look_up, "rep long, n long, root long"), "links")
-    short_batches(spark)
-    tied = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "rep", "left").join(tied, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = good.join(named, ["label", "v"]).select("id", "n_links", "component_id")
-    alone = rows.where(~(F.col("id").isNotNull() & F.col("label").isNotNull() & valid("v"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+            for i in range(batch.num_rows):  # a row is a pair of shards
+                row = batch.slice(i, 1).to_pylist()[0]
+                made = join_shards(side(row, "a"), side(row, "b"), cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["rep", "code", "n", "root"])
+
+    found = written(pairs.mapInArrow(look_up, "rep long, code long, n long, root long"), "links")
+    # Rows that repeat a key tie the classes that they stand in.
+    repeats = good.join(good.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").select("id", "label", "code", "code2")
+    ties = repeats.join(classes.select("label", "code", "code2", "rep"), ["label", "code", "code2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    tied = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(ties)).withColumnRenamed("node", "rep")
+    counts = found.groupBy("rep", "code").agg(F.sum("n").alias("n"))
+    named = classes.join(counts, ["rep", "code"], "left").join(tied, "rep", "left")
+    named = named.select("label", "code", "code2", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Vectors with very many copies are dealt over SALTS keys.
+    hot = written(named.where(F.col("mult") > HOT).select("label", "code", "code2", F.lit(True).alias("hot")), "hot-vectors")
+    salted = named.withColumn("salt", F.explode(F.when(F.col("mult") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    held = good.select("id", "label", "code", "code2").join(hot, ["label", "code", "code2"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    joined = held.join(salted, ["label", "code", "code2", "salt"]).select("id", "n_links", "component_id")
+    alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.unionByName(alone)
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
