@@ -1,9 +1,9 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 Each source's documents form a stream of words in a hashed order, which is cut into blocks of `block` words. The
-mix is a row of shards of slots, one block a slot. A shard gives each source the whole part of its expected slots
-and draws the rest from the multinomial of the remainders (residual multinomial draws), so totals stay within a few
-slots a shard of the targets. Slot j of a source takes, in pass j div n over its n blocks, the block at
+mix is a row of shards of slots, one block a slot. Every slot of a source falls in a shard drawn by a hash, so a source's
+counts over the shards are a multinomial draw of its slots, and a shard of a given length has multinomial counts of
+sources; each source's slots add up to its target. Slot j of a source takes, in pass j div n over its n blocks, the block at
 permutation(j mod n), a swap-or-not shuffle of its own for each source and pass; slots beyond `most` passes stay
 empty. Slots and blocks meet in an equi-join on (source, block), so a source with a third of all rows is spread over
 as many keys as it has blocks. Word offsets are two-level prefix sums over about sqrt(rows) hashed buckets a source.
@@ -11,12 +11,13 @@ as many keys as it has blocks. Word offsets are two-level prefix sums over about
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, written
+from millrace.llm.common import SPACE, WORD, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 128
@@ -25,6 +26,8 @@ MOST = 3
 SEED = 17
 ROUNDS = 24
 PRIME = 2147483647
+#: Slots whose shards one row draws.
+DRAWS = 65_536
 
 
 def hashed(*parts) -> Column:
@@ -58,22 +61,19 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return per.withColumn("slots", slots).select("source", "source_no", "source_size", "weight", "target", "n_blocks", "slots")
 
 
-def shard_counts(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(source_no, shard, n, first): how many slots of a shard a source has, and the number of its first such slot."""
-    total = sources.agg(F.sum("slots").alias("total"), F.sort_array(F.collect_list(F.struct("source_no", "slots"))).alias("all")).where("total > 0")
-    total = total.withColumn("long", F.greatest(F.lit(shard), F.ceil(F.sqrt("total"))).cast("long")).withColumn("shards", F.ceil(F.col("total") / F.col("long")).cast("long"))
-    each = total.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    each = each.withColumn("len", F.least(F.col("long"), F.col("total") - F.col("shard") * F.col("long")))
-    # Whole parts: len * slots div total; remainders as a running array of upper ends that sum to left * total.
-    exact = F.expr("transform(all, x -> struct(x.source_no as source_no, (len * x.slots) div total as whole, (len * x.slots) % total as part))")
-    each = each.withColumn("parts", exact).withColumn("left", F.expr("len - aggregate(parts, 0L, (a, x) -> a + x.whole)"))
-    ends = F.expr("transform(sequence(1, size(parts)), i -> struct(parts[i - 1].source_no as source_no, aggregate(slice(parts, 1, i), 0L, (a, x) -> a + x.part) as upto))")
-    each = each.withColumn("ends", ends)
-    drawn = each.where("left > 0").withColumn("r", F.explode(F.expr("sequence(0L, left - 1)")))
-    drawn = drawn.withColumn("u", F.pmod(hashed(seed, "draw", F.col("shard"), F.col("r")), F.col("left") * F.col("total")))
-    drawn = drawn.select("shard", F.expr("filter(ends, x -> u < x.upto)[0].source_no").alias("source_no"), F.lit(1).cast("long").alias("n"))
-    whole = each.select("shard", F.explode("parts").alias("p")).select("shard", "p.source_no", F.col("p.whole").alias("n"))
-    counts = whole.unionByName(drawn).groupBy("source_no", "shard").agg(F.sum("n").alias("n"))
+def n_shards(sources: DataFrame, shard: int = SHARD) -> int:
+    """How many shards the mix has: of about `shard` slots, or the root of all slots if that is more."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    return max(1, math.ceil(total / max(shard, math.ceil(math.sqrt(total)))))
+
+
+def shard_counts(sources: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """(source_no, shard, n, first): multinomial counts of a shard's slots by source, and the number of the source's first such slot."""
+    some = sources.where("slots > 0").select("source_no", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {DRAWS})")).alias("part"))
+    some = some.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "part")  # few rows, but each makes many
+    each = some.select("source_no", F.explode(F.expr(f"sequence(part * {DRAWS}, least(slots, (part + 1) * {DRAWS}) - 1)")).alias("j"))
+    drawn = each.select("source_no", F.pmod(hashed(seed, "draw", F.col("source_no"), F.col("j")), F.lit(shards)).alias("shard"))
+    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
     first = F.sum("n").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return counts.withColumn("first", F.coalesce(first, F.lit(0)).cast("long"))
 
@@ -100,7 +100,7 @@ def slots(sources: DataFrame, most: int = MOST, shard: int = SHARD, seed: int =
     passes = sources.where("n_blocks > 0").select("source_no", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).alias("pass"))
     keyed = passes.withColumn("keys", F.transform(rounds, lambda r: F.pmod(hashed(seed, "key", F.col("source_no"), F.col("pass"), r), F.col("n_blocks"))))
     keyed = keyed.withColumn("salts", F.transform(rounds, lambda r: F.pmod(hashed(seed, "salt", F.col("source_no"), F.col("pass"), r), F.lit(PRIME)))).drop("n_blocks")
-    each = shard_counts(sources, shard, seed).where("n > 0").join(sources.select("source_no", "n_blocks"), "source_no")
+    each = shard_counts(sources, n_shards(sources, shard), seed).join(sources.select("source_no", "n_blocks"), "source_no")
     each = each.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "shard")  # few rows, but each makes many
     each = each.select("source_no", "n_blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     each = each.where(F.col("slot") < most * F.col("n_blocks")).withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
@@ -108,10 +108,10 @@ def slots(sources: DataFrame, most: int = MOST, shard: int = SHARD, seed: int =
     return each.select("source_no", "shard", "slot", "pass", permuted(F.col("at"), F.col("n_blocks"), F.col("keys"), F.col("salts")).alias("block"))
 
 
-def offsets(sized: DataFrame, key: str, n_buckets: int, seed: int = SEED) -> DataFrame:
-    """Adds start: words of the source before a row, in the order of hashed buckets and, within one, of key and size."""
+def offsets(sized: DataFrame, key: str, n_buckets: int, seed: int = SEED, then: Sequence[str] = ()) -> DataFrame:
+    """Adds start: words of the source before a row, in the order of hashed buckets and, within one, of key, size and the columns in `then`."""
     held = sized.withColumn("bucket", F.pmod(hashed(seed, "order", F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(n_buckets)))
-    inner = Window.partitionBy("source_no", "bucket").orderBy(F.col(key).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source_no", "bucket").orderBy(F.col(key).asc_nulls_last(), "size", *then).rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     per = sized.withColumn("bucket", F.pmod(hashed(seed, "order", F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(n_buckets))).groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     base = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -124,9 +124,9 @@ def buckets_for(rows: int) -> int:
     return 1 << max(4, (rows.bit_length() + 1) // 2)
 
 
-def taken_spans(sized: DataFrame, sources: DataFrame, key: str, rows: int, block: int, most: int, shard: int, seed: int) -> DataFrame:
+def taken_spans(sized: DataFrame, sources: DataFrame, key: str, rows: int, block: int, most: int, shard: int, seed: int, then: Sequence[str] = ()) -> DataFrame:
     """Rows of documents with words, one for each block of theirs and pass that takes it: key, source_no, start, size, block, pass, lo, n (words from lo in the document)."""
-    placed = offsets(sized.where("size > 0"), key, buckets_for(rows), seed)
+    placed = offsets(sized.where("size > 0"), key, buckets_for(rows), seed, then)
     span = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     lo = F.greatest(F.col("block") * block, F.col("start"))
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
@@ -160,22 +160,26 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", weights: Sequence[int] = WEIGHTS, block: int = BLOCK, most: int = MOST, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row for each document and pass with words taken in it, with the columns of docs.
 
-    The text is whole where all its words are taken, and else the taken words, parted by spaces; the length column, if there
-    is one, follows it. Rows that repeat another's key and text are mixed once; texts without words take no part.
+    The text is whole where all its words are taken, and else the taken words with the white space behind each; the length
+    column, if there is one, follows it. Rows that are equal are mixed each for itself; texts without words take no part.
     """
-    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    docs = docs.withColumn("__row", row).dropDuplicates([key, "__row"])
-    sized, rows = sized_rows(docs, key, text, source, [F.col("__row")])
+    docs = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    repeats = written(docs.groupBy(key, "__row").count().where("count > 1").select(F.col(key).alias("__key"), F.col("__row").alias("__again"), "count"), "repeated")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__row") == F.col("__again"))
+    docs = docs.join(repeats, same, "left_anti").withColumn("__copies", F.lit(1).cast("long")).unionByName(
+        docs.join(repeats, same).drop("__key", "__again").withColumnRenamed("count", "__copies").dropDuplicates([key, "__row"]))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    sized, rows = sized_rows(docs, key, text, source, [F.col("__row"), copies])
     sources = written(targets(sized, weights, most, block), "targets")
-    named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("__id", "__row", "source_no", "size")
-    spans = taken_spans(named, sources, "__id", rows, block, most, shard, seed)
-    took = spans.groupBy("__id", "__row", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("__spans"), (F.sum("n") < F.col("size")).alias("__partly"))
+    named = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("__id", "__row", "__copy", "source_no", "size")
+    spans = taken_spans(named, sources, "__id", rows, block, most, shard, seed, ("__row", "__copy"))
+    took = spans.groupBy("__id", "__row", "__copy", "pass", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("__spans"), (F.sum("n") < F.col("size")).alias("__partly"))
     took = took.select("__id", F.col("__row").alias("__r"), "__spans", "__partly")
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD + SPACE), F.lit(0))
     held = docs.join(took, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r"))).withColumn("__words", F.when(F.col("__partly"), words))
-    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["lo"] + 1).cast("int"), s["n"].cast("int")))), "")
     held = held.withColumn("__out", F.when(F.col("__partly"), part).otherwise(F.col(f"`{text}`")))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns if c != "__row"} | {text: F.col("__out")}
+    columns = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("__row", "__copies")} | {text: F.col("__out")}
     if length in columns:
         columns[length] = F.length("__out").cast(docs.schema[length].dataType)
     return held.select(*[e.alias(c) for c, e in columns.items()])
@@ -204,11 +208,7 @@ src AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * n_blocks /
   SELECT source, source_no, source_size, CASE WHEN held THEN CAST({most} * source_size AS DOUBLE) ELSE least((SELECT arg_min(level, turn) FROM hd WHERE NOT held) * weight, CAST({most} * source_size AS DOUBLE)) END AS target,
   (source_size + {block - 1}) // {block} AS n_blocks FROM hd)),
 tot AS (SELECT *, CAST(ceil(total / long) AS BIGINT) AS shards FROM (SELECT CAST(sum(slots) AS BIGINT) AS total, CAST(greatest({shard}, ceil(sqrt(sum(slots)))) AS BIGINT) AS long FROM src) WHERE total > 0),
-sh AS (SELECT total, shard, least(long, total - shard * long) AS len FROM (SELECT *, unnest(range(shards)) AS shard FROM tot)),
-pt AS (SELECT shard, total, source_no, (len * slots) // total AS whole, (len * slots) % total AS part, len FROM sh, src),
-en AS (SELECT *, sum(part) OVER (PARTITION BY shard ORDER BY source_no) AS upto, len - sum(whole) OVER (PARTITION BY shard) AS remaining FROM pt),
-dr AS (SELECT shard, r, {h("'" + str(seed) + "'", "'draw'", 'shard', 'r')} % (CAST(remaining AS BIGINT) * total) AS u FROM (SELECT DISTINCT shard, total, remaining, unnest(range(CAST(remaining AS BIGINT))) AS r FROM en)),
-cn AS (SELECT source_no, shard, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source_no, shard, whole AS n FROM pt UNION ALL SELECT source_no, dr.shard, 1 FROM dr JOIN en ON dr.shard = en.shard AND u < upto AND u >= upto - part) GROUP BY 1, 2),
+cn AS (SELECT source_no, shard, count(*) AS n FROM (SELECT source_no, {h("'" + str(seed) + "'", "'draw'", 'source_no', 'j')} % shards AS shard FROM (SELECT source_no, unnest(range(slots)) AS j FROM src), tot) GROUP BY 1, 2),
 sl AS (SELECT source_no, n_blocks, unnest(range(first, first + n)) AS slot FROM (SELECT cn.*, n_blocks, CAST(coalesce(sum(n) OVER (PARTITION BY source_no ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM cn JOIN src USING (source_no)) WHERE n > 0),
 k AS (SELECT source_no, pass, [{h("'" + str(seed) + "'", "'key'", 'source_no', 'pass', 'r')} % n_blocks for r in range(1, {ROUNDS + 1})] AS keys,
   [{h("'" + str(seed) + "'", "'salt'", 'source_no', 'pass', 'r')} % {PRIME} for r in range(1, {ROUNDS + 1})] AS salts
