@@ -12,6 +12,7 @@ holder makes 65 rows however many hold the key, and each word ties its group to
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts, short_batches, written
+from millrace.llm.common import map_texts, workers_import, written
 from millrace.llm.components import components
 
 RADIUS = 2
 BUCKET = 64
+#: Copies of a fingerprint beyond which its rows are dealt over SALTS keys.
+HOT = 20_000
+SALTS = 64
 #: Relative costs of a probe row and of a candidate that is verified.
 PROBE_COST, VERIFY_COST = 1.0, 0.2
 LAYOUTS = (2, 3, 4)
@@ -47,9 +51,9 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long): a row for each input row; null and wordless texts have fingerprint 0."""
-    return map_texts(docs, text, lambda: lambda texts: {"fp": [fingerprint(t) for t in texts]}, [("fp", T.LongType())], [key])
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carried columns, fp long): a row for each input row; null and wordless texts have fingerprint 0."""
+    return map_texts(docs, text, lambda: lambda texts: {"fp": [fingerprint(t) for t in texts]}, [("fp", T.LongType())], [key, *carry])
 
 
 def bit_moments(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -65,7 +69,7 @@ def bit_moments(classes: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(j, -1), pa.int32()), pa.array(np.append(held[i, j], n).astype(np.int64))], names=["i", "j", "n"])
 
-    short_batches(classes.sparkSession)
+    workers_import(classes.sparkSession)
     rows = classes.select("fp").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both, n = np.zeros((64, 64)), 0
     for r in rows:
@@ -161,24 +165,28 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     met = held.select("rep", F.explode(F.array(F.col("fp"), *flips)).alias("word"))
     least = met.groupBy("word").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("word", "b")
     hubs = met.join(least, "word").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    if radius < 2:
-        raise ValueError("the crowded keys' way is for a radius of 2")
     return near.unionByName(hubs)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(key, fingerprint, component_id, kept): component_id is the smallest key reachable by links, kept its row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, fingerprint, component_id, kept, carried columns): component_id is the smallest key reachable by links, kept its row.
 
     Null texts and texts without words have fingerprint 0 and are linked like any other; a null key stays out of the
     links and has a null component_id and kept true; repeated keys count as one; an empty table gives no rows. Other
     columns are ignored.
     """
-    prints = written(fingerprints(docs, key, text).withColumnRenamed(key, "__id"), "fingerprints")
+    if radius != RADIUS:
+        raise ValueError(f"links are complete for a radius of {RADIUS} alone")
+    prints = written(fingerprints(docs, key, text, carry).withColumnRenamed(key, "__id"), "fingerprints")
     classes = written(prints.where("__id is not null").groupBy("fp").agg(F.min("__id").alias("rep")), "classes")
     tied = components(links(classes, radius, bucket)).withColumnRenamed("node", "rep")
     named = classes.join(tied, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left").withColumn("component_id", F.when(F.col("__id").isNotNull(), F.col("component_id")))
-    return out.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    hot = written(prints.groupBy("fp").count().where(F.col("count") > HOT).select("fp", F.lit(True).alias("hot")), "hot-fingerprints")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    named = named.join(hot, "fp", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    dealt = prints.join(hot, "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    out = dealt.join(named, ["fp", "salt"], "left").withColumn("component_id", F.when(F.col("__id").isNotNull(), F.col("component_id")))
+    return out.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(True)).alias("kept"), *carry)
 
 
 def brute_force(rows: list[tuple[int, bytes | None]], radius: int = RADIUS) -> dict[int, tuple[str, int]]:
