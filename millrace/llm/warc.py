@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_path, short_batches, written
+from millrace.llm.common import shared_path, workers_import, written
 
 DATE = "2024-01-01T00:00:00Z"
-#: Records a file holds at most.
-FILE_ROWS = 2000
+#: Records a file holds at most, so that files of long pages stay far below the 2 GB that Spark's binary reader takes.
+FILE_ROWS = 500
 END = "\r\n\r\n"
 #: How hard the sink's gzip tries; the files are read once and again by this package, so time counts before size.
 GZIP_LEVEL = "BEST_SPEED"
@@ -126,7 +126,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", markup:
             made = [response(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array(["response"] * len(made)), pa.array(made, pa.string())], names=["kind", "value"])
 
-    short_batches(pages.sparkSession)
+    workers_import(pages.sparkSession)
     return pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(markup).cast("string")).mapInArrow(run, "kind string, value string")
 
 
@@ -139,22 +139,17 @@ def derived(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                parsed = parse(raw)
+            for i in range(batch.num_rows):
+                parsed = parse(batch.column(0)[i].as_py())
                 for a in range(0, len(parsed), 200):
                     made = [r for f, b in parsed[a : a + 200] if f["WARC-Type"] == "response" for r in derive(f, b)]
                     if made:
                         yield pa.RecordBatch.from_arrays([pa.array(["metadata", "conversion"] * (len(made) // 2)), pa.array(made, pa.string())], names=["kind", "value"])
 
-    one_file_at_a_time(spark)
+    workers_import(spark)
     return files(spark, folder).mapInArrow(run, "kind string, value string")
 
 
-def one_file_at_a_time(spark: SparkSession) -> None:
-    short_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-
-
 SUMMARY = "page_id long, url string, response_id string, kind string, record_id string, source_digest string, digest string, sound boolean, title string, lang string, n_links long, source_status string, source_header string, text string"
 
 
@@ -163,15 +158,15 @@ def summaries(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                parsed = parse(raw)
+            for i in range(batch.num_rows):
+                parsed = parse(batch.column(0)[i].as_py())
                 for a in range(0, len(parsed), 200):
                     rows = [summary(f, b) for f, b in parsed[a : a + 200] if "WARC-Refers-To" in f]
                     if rows:
                         kinds = [pa.int64(), *[pa.string()] * 6, pa.bool_(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 3]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SUMMARY.split(", ")])
 
-    one_file_at_a_time(spark)
+    workers_import(spark)
     return files(spark, folder).mapInArrow(run, SUMMARY)
 
 
