@@ -8,9 +8,10 @@ passages give equal chunks. Three Parquet tables in one folder are the file form
   manifest      part, n_docs, n_tokens, root (Merkle root over the part's documents)
 
 Rows go through one shuffle by digest; tasks drop what they have already sent, so a chunk in a third of all documents
-reaches its partition at most once a task. Reading checks every payload against its digest, every document against its
+reaches its partition few times a task, and lie there in digest order, so that one look back tells what is stored. A part has
+at most PART_ROWS documents. Reading checks every payload against its digest, every document against its
 root and every part against the manifest; checksums of documents are put together from those of their chunks, so payloads
-aren't moved again.
+aren't moved again. Chunks that more than HOT places hold are dealt over SALTS keys when places and checksums meet.
 """
 
 from __future__ import annotations
@@ -23,22 +24,26 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Growing, WordCodes, short_batches, slices, spread
+from millrace.llm.common import Growing, WordCodes, workers_import, slices, spread, words_in, written
 
 RUN = 8
 MEAN_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 END_ID = 1
 DIGEST = 16
-SEEN = 1_000_000
+SEEN = 500_000
+PART_ROWS = 50_000
+HOT = 20_000
+SALTS = 64
 #: Words that a task remembers.
 WORDS_KEPT = 450_000
 ROWS = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, payload binary"
-RECIPES = "part int, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
-MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+RECIPES = "part long, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "part long, n_docs long, n_tokens long, root binary"
 
 
 def digest(*parts: bytes) -> bytes:
@@ -69,10 +74,10 @@ CLOSING = re.compile(rb"[.,;:!?](?=[ \n])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x9
 SPECIAL = b"<|"
 
 
-def encodable(text: bytes | None) -> list[bytes]:
-    """A text's words, closing marks apart and ASCII letters lower-cased unless that could make a special token."""
+def encodable(text: bytes | None) -> bytes:
+    """A text with closing marks apart and ASCII letters lower-cased, unless that could make a special token."""
     text = text or b""
-    return text.split() if SPECIAL in text else CLOSING.sub(rb" \g<0>", text.lower()).split()
+    return text if SPECIAL in text else CLOSING.sub(rb" \g<0>", text.lower())
 
 
 class Encoder:
@@ -86,6 +91,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if any(plain(t) != plain("ab") + plain("cd") + plain(".") for t in ("ab cd.", "AB Cd .", "\nab\tcd  . ")):
+            raise ValueError("the tokenizer must lower-case texts and part them at white space and marks")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids, self.first, self.n = Growing(np.uint16 if len(self.closes) <= 1 << 16 else np.uint32), Growing(np.int64), Growing(np.int32)
@@ -131,9 +139,8 @@ class Encoder:
 
     def __call__(self, texts: list, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and how many each text has."""
-        parts = [encodable(t) for t in texts]
-        words = np.array([len(p) for p in parts], np.int64)
-        codes = self.codes([w for p in parts for w in p])
+        found, words = words_in([encodable(t) for t in texts])
+        codes = self.codes(found)
         n = self.n.all[codes].astype(np.int64)
         flat = self.ids.all[spread(self.first.all[codes], n)]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -195,15 +202,14 @@ def chunked(encoder: Encoder, texts: list, width: int) -> list[tuple[int, list[b
 def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", width: int = 2) -> None:
     """Encodes the whole texts and writes the store. A null text is empty; null keys come first; rows of equal keys are kept in the order of their digests."""
     spark = docs.sparkSession
-    short_batches(spark)
+    workers_import(spark)
 
     def encode(batches):
         encoder, seen = held_encoder(tokenizer), set()
         for batch in batches:
-            keys, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(raw):
+            for part in slices(batch, 1):
                 rows = []
-                for k, (n, digests, payloads) in zip(keys[a:b], chunked(encoder, raw[a:b], width)):
+                for k, (n, digests, payloads) in zip(part.column(0).to_pylist(), chunked(encoder, part.column(1).to_pylist(), width)):
                     rows.append(("recipe", merkle(digests), k, n, digests, None))
                     for d, p in zip(digests, payloads):
                         if d not in seen:
@@ -214,21 +220,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()))], names=["kind", "key", "doc_id", "n_tokens", "digests", "payload"])
 
     def once(batches):
-        seen = set()  # digests of one shuffle partition
+        last = None  # the key before, in a partition that is sorted by key and, within one, has chunks first
         for batch in batches:
-            keep = []
-            for kind, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keep.append(kind == "recipe" or k not in seen)
-                if kind == "chunk":
-                    seen.add(k)
-            yield batch.filter(pa.array(keep))
-
-    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(encode, ROWS)
+            if batch.num_rows:
+                keys = batch.column(1)
+                new = pc.not_equal(keys, pa.concat_arrays([pa.array([last], pa.binary()), keys.slice(0, len(keys) - 1)]))
+                last = keys[len(keys) - 1].as_py()
+                yield batch.filter(pc.or_(pc.equal(batch.column(0), "recipe"), pc.fill_null(new, True)))
+
+    if len(Encoder(tokenizer).closes) > 1 << 8 * width:
+        raise ValueError(f"ids of this vocabulary don't fit {width} bytes")
+    rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(encode, ROWS)
     deal = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
-    rows.repartition(deal).mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/rows")
+    rows.repartition(deal).sortWithinPartitions("key", "kind").mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/rows")
     held = spark.read.schema(ROWS).parquet(f"{folder}/rows").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", F.col("key").alias("root"))
     ordered = held.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    ordered.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/sorted")
+    place = F.monotonically_increasing_id()  # the partition's number and 33 bits for the row's place in it
+    part = F.shiftright(place, 33) * (1 << 24) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / PART_ROWS)
+    ordered.withColumn("part", part.cast("long")).write.parquet(f"{folder}/sorted")
     recipes = spark.read.schema(RECIPES.replace("start long, ", "")).parquet(f"{folder}/sorted")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("words")).select("part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
@@ -252,10 +261,10 @@ def manifest(recipes: DataFrame) -> DataFrame:
             made = [merkle(x["leaf"] for x in v) for v in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    short_batches(recipes.sparkSession)
-    made = recipes.select("part", "doc_id", "start", "n_tokens", "root").mapInArrow(leaves, "part int, start long, n_tokens long, leaf binary")
+    workers_import(recipes.sparkSession)
+    made = recipes.select("part", "doc_id", "start", "n_tokens", "root").mapInArrow(leaves, "part long, start long, n_tokens long, leaf binary")
     held = made.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "leaf"))).alias("leaves"))
-    return held.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
+    return held.mapInArrow(roots, "part long, n_docs long, n_tokens long, root binary")
 
 
 def crc_times(a: int, b: int) -> int:
@@ -311,7 +320,7 @@ def chunk_sums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
             crc = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // width for p in payloads], pa.int64()), pa.array(crc, pa.int64()), pa.array([digest(p) == k for k, p in zip(keys, payloads)], pa.bool_())], names=["digest", "n", "crc", "sound"])
 
-    short_batches(spark)
+    workers_import(spark)
     rows = spark.read.schema(ROWS).parquet(f"{folder}/rows").where("kind = 'chunk'").select("key", "payload")
     return rows.mapInArrow(run, "digest binary, n long, crc long, sound boolean")
 
@@ -319,7 +328,8 @@ def chunk_sums(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
 def read_sums(spark: SparkSession, folder: str, key: str = "doc_id", width: int = 2) -> DataFrame:
     """(key, start, n_tokens, ids_crc32, verified) of every document, from the files alone.
 
-    verified: all chunks are there and sound, their lengths add up and the document's root is that of its recipe.
+    verified: all chunks are there and sound, their lengths add up, the document's root is that of its recipe and the
+    part's documents give the root, the number of documents and the number of ids in the manifest.
     """
 
     def run(batches):
@@ -330,22 +340,29 @@ def read_sums(spark: SparkSession, folder: str, key: str = "doc_id", width: int
             count = np.array([len(parts) for parts in lists], np.int64)
             crc = join(np.array([p["crc"] or 0 for parts in lists for p in parts], np.int64), 4 * n, count) if len(n) else np.zeros(0)
             total = np.add.reduceat(n, np.cumsum(count) - count) if len(n) else n
-            for want, got, root, parts in zip(n_tokens, total.tolist(), batch.column(3).to_pylist(), lists):
-                good.append(got == want and all(p["sound"] for p in parts) and merkle(p["digest"] for p in parts) == root)
+            for want, got, root, parts, whole in zip(n_tokens, total.tolist(), batch.column(3).to_pylist(), lists, batch.column(5).to_pylist()):
+                good.append(whole and got == want and all(p["sound"] for p in parts) and merkle(p["digest"] for p in parts) == root)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(crc.astype(np.int64)), pa.array(good, pa.bool_())], names=[key, "start", "n_tokens", "ids_crc32", "verified"])
 
-    sums = chunk_sums(spark, folder, width)
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
-    places = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(sums, "digest", "left")
-    parts = places.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "crc", "sound"))).alias("parts"))
-    held = recipes.select("doc_id", "start", "n_tokens", "root").join(parts, "start").select("doc_id", "start", "n_tokens", "root", "parts")
+    places = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
+    hot = written(places.groupBy("digest").count().where(F.col("count") > HOT).select("digest", F.lit(True).alias("hot")), "hot-chunks")
+    dealt = places.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("start", "pos"), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sums = chunk_sums(spark, folder, width).join(hot, "digest", "left").withColumn("salt", F.explode(copies)).drop("hot")
+    met = dealt.drop("hot").join(sums, ["digest", "salt"], "left").drop("salt")
+    parts = met.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "crc", "sound"))).alias("parts"))
+    whole = written(verify(spark, folder), "verified-parts").where("not sound").select("part", F.lit(True).alias("broken"))
+    held = recipes.select("doc_id", "start", "n_tokens", "root", "part").join(whole, "part", "left").join(parts, "start").select("doc_id", "start", "n_tokens", "root", "parts", F.col("broken").isNull())
     return held.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, sound): whether each part's recipes still give the root in the manifest."""
-    now = manifest(spark.read.schema(RECIPES).parquet(f"{folder}/recipes")).select("part", F.col("root").alias("now"))
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").join(now, "part", "full").select("part", F.col("root").eqNullSafe(F.col("now")).alias("sound"))
+    """(part, sound): whether each part's recipes still give its row of the manifest."""
+    now = manifest(spark.read.schema(RECIPES).parquet(f"{folder}/recipes"))
+    then = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    same = F.struct("root", "n_docs", "n_tokens")
+    return then.select("part", same.alias("then")).join(now.select("part", same.alias("now")), "part", "full").select("part", F.col("then").eqNullSafe(F.col("now")).alias("sound"))
 
 
 def read_ids(spark: SparkSession, folder: str, key: str = "doc_id", width: int = 2) -> DataFrame:

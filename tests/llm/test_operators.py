@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 import zlib
 from collections import Counter
 
@@ -72,7 +73,7 @@ def test_pieces_are_drawn_by_their_share():
 
     every = dict(ways(" token"))
     total, n = sum(map(np.exp, every.values())), 40_000
-    ids, counts = piece_sampling.Sampler(v).sample(["token"] * n, np.arange(n))
+    ids, counts = piece_sampling.Sampler(v).sample([b"token"] * n, np.arange(n))
     ends = np.cumsum(counts)
     seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends - counts, ends))
     assert set(seen) <= set(every)
@@ -134,9 +135,9 @@ def test_toxicity_of_common_words_together(spark):
     labels = spark.createDataFrame([(i, 0 if i % 5 else 1) for i in range(600)], "doc_id long, toxic int")
     model = toxicity.fit(docs.where("doc_id < 450"), labels)
     ids = model.pairs.ids
-    alone, llr = [model.word(w) for w in common[1:3]], np.zeros(2)
+    alone, llr = model.ratios(common[1:3]), np.zeros(2)
     model.pairs.put(np.array([ids[w] for w in common[:2]]), np.array([ids[w] for w in common[1:3]]), llr)
-    assert (llr > np.array(alone) + 1).all()
+    assert (llr > alone + 1).all()
     rows = toxicity.score(docs.where("doc_id >= 450"), model).collect()
     assert np.mean([r.predicted == 1 for r in rows if r.doc_id % 5 == 0]) > 0.9 and np.mean([r.predicted == 0 for r in rows if r.doc_id % 5]) > 0.9
 
@@ -151,6 +152,13 @@ def test_toxicity_counts_the_whole_corpus(spark):
     assert shares == {"apple": 1, "a": 1, "bad": 1} and starts == {"ap": 3 / 9, "app": 1, "appl": 1, "apple": 2 / 3, "ba": 1 / 9, "bad": 1}
 
 
+def test_sketches_of_words_before(spark):
+    rows = [(f"{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghijklmnopqrst'[i // 20 % 20]}{'abcdefghijklmnopqrst'[i // 400]}x often",) for i in range(6000)]
+    rows += [(f"{'abcdefghijklmnopqrst'[i % 20]}{'abcdefghijklmnopqrst'[i // 20]}y seldom",) for i in range(120)] * 3
+    found = {r.word: r.n for r in toxicity.corpus_words(spark.createDataFrame(rows, "text string"), "text").collect()}
+    assert len(found) == 6122 and 0.5 < found["often"] / 6000 < 1.8 and 0.5 < found["seldom"] / 120 < 1.8 and found["aaax"] == 1
+
+
 def test_quality_classifier_held_out(spark, sf_dir, odd, empty):
     docs, labels = labelled(spark, sf_dir)
     fold = "crc32(cast(doc_id as string)) % 5"
@@ -376,11 +384,33 @@ def test_audits_see_true_links():
             ids = np.where(own, at, -1)[:, None]
             return ids, np.where(ids >= 0, 1.0, -np.inf).astype(np.float32)
 
-    across = hnsw_dedup.near_pairs(Blind(a), a, b, 0.93)
-    assert [f.tolist() for f in across] == [np.nonzero(r >= 0.93)[0].tolist() for r in b @ a.T] and sum(map(len, across)) >= 10
+    def pairs(look):
+        return sorted((int(q), int(f)) for q, found in zip(*map(np.concatenate, zip(*look.batches()))) for q, f in [(q, found)])
+
+    across = pairs(hnsw_dedup.LookUp(Blind(a), a, b, 0.93))
+    assert across == [tuple(p) for p in np.argwhere(b @ a.T >= 0.93).tolist()] and len(across) >= 10
     a[1::60] = a[2::60]
-    within = hnsw_dedup.near_pairs(Blind(a), a, a, 0.93, True)
-    assert [f.tolist() for f in within] == [np.nonzero(r >= 0.93)[0].tolist() for r in a @ a.T]
+    within = pairs(hnsw_dedup.LookUp(Blind(a), a, a, 0.93, True))
+    assert within == [tuple(p) for p in np.argwhere(a @ a.T >= 0.93).tolist() if p[0] != p[1]]
+
+
+def test_dense_groups_are_united_without_holding_pairs():
+    rng = np.random.default_rng(14)
+    x = hnsw_dedup.unit(rng.normal(size=16) + rng.normal(scale=0.02, size=(3000, 16)))
+    side = {"ids": np.arange(3000)[::-1].copy(), "codes": np.arange(3000), "mult": np.full(3000, 2), "x": x, "graph": hnsw_dedup.Graph(np.arange(3000), x)}
+    ids, codes, n, roots = hnsw_dedup.join_shards(side, None, 0.93)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert len(ids) == 3000 and (roots == 0).all() and (n <= 2 * want).all() and n.sum() >= 0.99 * 2 * want.sum()
+    root = np.arange(8)
+    hnsw_dedup.unite(root, np.array([7, 6, 1]), np.array([6, 5, 2]))
+    hnsw_dedup.unite(root, np.array([5]), np.array([2]))
+    assert root.tolist() == [0, 1, 1, 3, 4, 1, 1, 1]
+
+
+def test_repeated_vector_keys(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (6, [-1.0, 0.0], 0), (6, [-1.0, 0.0], 1)]
+    made = hnsw_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, made)) == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (5, 2, 1, False), (6, 0, 6, True), (6, 0, 6, True)]
 
 
 def test_embeddings_of_several_large_shards(spark):
@@ -459,3 +489,205 @@ def test_queries_are_registered():
 
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
     json.dumps(list(queries.ORACLES))
+
+
+def test_draws_stay_in_their_place_and_don_t_hang_on_what_was_met_before():
+    v = piece_sampling.Vocabulary(PIECES)
+    texts = ["some words, \n and Wörter ▁ 😀 \x00 é".encode(), b"token " * 30, b"\xff\xfe broken \xc3", b"a\n\n  b", b"\xed\xa0\x80"]
+    alone, n = piece_sampling.Sampler(v).sample(texts, np.arange(5))
+    assert [b == t for b, t in zip(v.decode(alone, n), texts)] == [True] * 5
+    late = piece_sampling.Sampler(v)
+    for k in range(20):
+        late.sample([" ".join(f"w{k}x{i}" for i in range(2000)).encode()], np.array([k]))
+    late.codes.shrink()
+    again, m = late.sample(texts, np.arange(5))
+    assert again.tolist() == alone.tolist() and m.tolist() == n.tolist()
+    real = piece_sampling.drawn
+    try:
+        piece_sampling.drawn = lambda keys, place, step: np.full(len(keys), piece_sampling.WHOLE - 1, np.uint32)
+        ids, n = late.sample(texts, np.arange(5))
+    finally:
+        piece_sampling.drawn = real
+    assert v.decode(ids, n) == texts
+
+
+def test_pieces_of_whole_texts_are_drawn_by_their_share_with_bytes():
+    v = piece_sampling.Vocabulary(PIECES)
+    unit = " ab€"  # the last has no piece of its own in most vocabularies
+
+    def ways(i=0):
+        if i == len(unit):
+            yield (), 0.0
+        for j in range(i + 1, len(unit) + 1):
+            if unit[i:j] in v.pieces:
+                first, w = (v.pieces[unit[i:j]][0],), v.pieces[unit[i:j]][1]
+            elif j == i + 1:
+                raw = unit[i].encode()
+                first, w = tuple(int(v.byte[b]) for b in raw), v.unknown * len(raw)
+            else:
+                continue
+            for rest, more in ways(j):
+                yield first + rest, w + more
+
+    every = dict(ways())
+    total, n = sum(map(np.exp, every.values())), 40_000
+    ids, counts = piece_sampling.Sampler(v).sample(["ab€".encode()] * n, np.arange(n))
+    ends = np.cumsum(counts)
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends - counts, ends))
+    assert set(seen) <= set(every)
+    assert max(abs(seen[k] / n - np.exp(w) / total) for k, w in every.items()) < 0.01
+
+
+def test_mix_counts_are_multinomial_and_meet_their_targets(spark):
+    sources = spark.createDataFrame([(1, 3_000), (2, 40_000), (3, 0), (4, 17_000)], "source_no long, slots long")
+    shards = mixing.n_shards(sources, 500)
+    rows = mixing.shard_counts(sources, shards).collect()
+    assert shards == 120
+    totals, by_shard = Counter(), Counter()
+    for r in rows:
+        totals[r.source_no] += r.n
+        by_shard[r.shard] += r.n
+    assert totals == {1: 3_000, 2: 40_000, 4: 17_000}
+    # Counts vary about their expectation as a multinomial's do: the sum of squares over expectations is near its degrees of freedom.
+    chi = sum((r.n - by_shard[r.shard] * totals[r.source_no] / 60_000) ** 2 / (by_shard[r.shard] * totals[r.source_no] / 60_000) for r in rows)
+    assert 0.7 < chi / ((shards - 1) * 2) < 1.3
+    for s in (1, 2, 4):
+        at = 0
+        for r in sorted((r for r in rows if r.source_no == s), key=lambda r: r.shard):
+            assert r.first == at
+            at += r.n
+
+
+def test_mixed_documents_keep_line_ends_and_repeats(spark):
+    text = "one two\n\nthree  four\tfive\n" * 20
+    rows = [(1, text, "a", None), (1, text, "a", None), (2, text, "a", "x"), (3, "w " * 300, "b", None), (4, None, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    out = mixing.mixed_documents(docs, block=8, shard=16).collect()
+    want = Counter()
+    for r in mixing.mix(docs, block=8, shard=16).collect():
+        want[r.doc_id] += r.taken
+    got = Counter()
+    for r in out:
+        got[r.doc_id] += len(r.text.split())
+        assert set(re.findall(r"\s+", r.text)) <= {" ", "  ", "\n", "\n\n", "\t"}
+    assert got == {k: v for k, v in want.items() if v} and any("\n\n" in r.text for r in out)
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty, sf_dir):
+    import corpus_pipeline
+
+    docs = odd.unionByName(odd).unionByName(spark.createDataFrame([(1, "another text of the first id, far from it", "en", "a", 40, "x", "y", "z", "s"), (None, "no id here", "en", "a", 10, None, None, None, None)], SCHEMA))
+    kept = corpus_pipeline.one_of_each(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == [(0, "no id her"), (1, "another t"), (1, "the quick"), (3, ""), (6, LONG[:9]), (7, "ein Satz "), (9, "x" * 9)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() >= 0 and stage(spark, empty, sf_dir).count() == 0
+    toxic = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert toxic.columns == docs.columns and toxic.count() == docs.count()
+
+
+def test_fits_take_the_least_of_clashing_labels_and_texts(spark, odd):
+    from millrace.llm import common
+
+    rows = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    assert sorted(map(tuple, common.labelled(rows, "doc_id", "quality", "y").collect())) == [(1, 0), (2, 1)]
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 50), (4, "other")], "doc_id long, text string")
+    held = common.texts_of(docs, common.labelled(rows, "doc_id", "quality", "y"), "doc_id", "text")
+    assert sorted((r["__id"], r["__text"][:2], r.y) for r in held.collect()) == [(1, "a", 0), (2, "xx", 1)]
+    assert common.texts_of(docs, common.labelled(rows, "doc_id", "quality", "y"), "doc_id", "text", most_bytes=10).count() <= 1
+    some = common.sample_rows(spark.range(100).selectExpr("id", "id % 3 as g"), "id", 5, "g")
+    assert some.groupBy("g").count().where("count = 5").count() == 3
+
+
+def naive_toxicity(model, text):
+    """The evidence of one text, unit by unit."""
+    words = [toxicity.units(w.decode()) for w in (text or b"").split()]
+    held, before, total = [], "", 0
+    pairs = dict(zip(model.pairs.keys.tolist(), model.pairs.llr.tolist()))
+    last = None
+    for raw, us in zip((text or b"").split(), words):
+        at = 0.0
+        for u in us:
+            known = model.pairs.ids.get(before, -1), model.pairs.ids.get(u, -1)
+            key = known[0] << 32 | known[1] if min(known) >= 0 else None
+            alone = model.words.get(u)
+            if alone is None:
+                alone = next((model.starts[u[:k]] for k in toxicity.LEVELS if len(u) >= k and u[:k] in model.starts), 0.0)
+            at += pairs.get(key, alone)
+            before, total = u, total + 1
+        held.append(0.0 if raw == last else at)
+        last = raw
+    best = [max([0.0, *(sum(held[i : i + k]) for i in range(max(1, len(held) - k + 1)))]) / k for k in model.windows]
+    return [sum(held) / max(total, 1), *best]
+
+
+def test_scorers_against_naive_ones():
+    rng = np.random.default_rng(21)
+    vocabulary = ["bad", "banker", "fine,", "Good!", "x1y", "éa", "--", "worse-off", "ok"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))).encode() for _ in range(60)] + [None, b"", b"bad"]
+    model = toxicity.Model({"bad": 2.0, "good": -1.0, "ok": -0.5}, {"ba": 0.7, "wo": 0.3, "fi": -0.2}, toxicity.Pairs(["", "bad", "good"], ["bad", "ok", "bad"], [3.0, 1.5, -2.0]))
+    got = toxicity.Scorer(model).evidence(texts)
+    assert np.allclose(got, [naive_toxicity(model, t) for t in texts])
+    table = rng.normal(size=(64, 2))
+    lang = language_id.Model(["a", "b"], table, np.array([0.1, -0.1]))
+    logits, some = language_id.Scorer(lang).logits(texts)
+    for t, x, s in zip(texts, logits, some):
+        ids = [i for w in (t or b"").split() for i in language_id.subwords([language_id.letters(w.decode())], 64)[0]]
+        assert s == bool(ids) and np.allclose(x, (table[ids].mean(axis=0) if ids else 0) + lang.bias)
+    weights = rng.normal(size=256).astype(np.float32)
+    quality = quality_classifier.Scorer(quality_classifier.Model(weights, 0.2))
+    features = quality_classifier.Features(256)
+    for t, p in zip(texts, quality.scores(texts)):
+        ids, n = features.ids([t])
+        assert np.isclose(p, 1 / (1 + np.exp(-(float(weights[ids[ids >= 0]].sum()) / max(int(n[0]), 1) + 0.2))))
+
+
+def test_warc_files_by_another_reader(spark, tmp_path):
+    from html.parser import HTMLParser
+
+    pages = [(i, f"http://a.example/{i}", f"<html><body><p>Page {i} &amp; more</p><div>Z\u00e4hl {'x ' * i}</div></body></html>") for i in range(40)] + [(99, "u", "<p>" + "long " * 200_000 + "</p>")]
+    folder = str(tmp_path / "w")
+    warc.write(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string")), folder)
+    warc.write(warc.derived(spark, f"{folder}/kind=response"), f"{folder}/made")
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words = []
+
+        def handle_data(self, data):
+            self.words += data.split()
+
+    found = Counter()
+    for f in (tmp_path / "w/made").rglob("part-*.gz"):
+        rest = gzip.decompress(f.read_bytes())
+        while rest:
+            head, _, rest = rest.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            block, rest = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) + 4 :]
+            found[fields["WARC-Type"]] += 1
+            if fields["WARC-Type"] == "conversion":
+                parser = Words()
+                parser.feed(dict((str(p[0]), p[2]) for p in pages)[fields["WARC-Page-ID"]])
+                assert block.decode().split() == parser.words
+    assert found == {"metadata": 41, "conversion": 41}
+
+
+def test_store_of_a_hot_passage_and_repeated_keys(spark, tmp_path):
+    shared = " ".join(f"passage{i}" for i in range(900))
+    rows = [(i, f"own{i} {shared if i % 3 == 0 else ''} tail{i}") for i in range(120)] + [(5, "again"), (None, "none"), (None, None)]
+    folder, before = str(tmp_path / "h"), (token_store.HOT, token_store.PART_ROWS)
+    try:
+        token_store.HOT, token_store.PART_ROWS = 10, 16
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, WORDS)
+        made = token_store.read_sums(spark, folder).collect()
+        parts = spark.read.parquet(f"{folder}/manifest").collect()
+    finally:
+        token_store.HOT, token_store.PART_ROWS = before
+    assert len(made) == 123 and all(r.verified for r in made) and max(p.n_docs for p in parts) <= 16 and sum(p.n_docs for p in parts) == 123
+    at = 0
+    for r in sorted(made, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    with pytest.raises(ValueError):
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "x"), WORDS, width=1)
