@@ -85,22 +85,40 @@ def test_identity(spark):
     assert 0 <= one(spark, [identity.jitter_millis(F.lit("task"), 1000)], "") <= 1000
 
 
-def test_pay():
-    assert facts.base_pay("Base Pay Range -$79,800 - $99,800") == "$79,800–$99,800 base"
-    assert facts.base_pay("The salary range is $80,000 to $120,000 OTE") is None
-    assert facts.base_pay("Base pay range: $4,000 - $5,000 per month") is None
-    assert facts.base_pay("Annual base salary range: $9,000 - $12,000") == "$9,000–$12,000 base"
-    assert facts.base_pay("base salary $50,000 - $60,000. Base salary $70,000 - $80,000") is None
-    assert facts.base_pay(None) is None
-
-
-def test_travel():
-    assert facts.stated_travel("Up to 25% travel required.") == "up to 25%"
-    assert facts.stated_travel("Travel 25-50% of the time.") == "25–50%"
-    assert facts.stated_travel("No travel. Some travel reimbursement of 50%.") == "none stated"
-    assert facts.stated_travel("Travel 10%. Elsewhere travel is 30%.") is None
-    assert facts.stated_travel("Occasional travel. Travel about 10 %.") == "about 10%"
-    assert facts.stated_travel("Travel 150% of the time.") is None
+def test_pay(spark):
+    cases = {
+        "For more information on our total rewards offerings, visit.\nBase Pay Range -$79,800 - $99,800": "$79,800–$99,800 base",
+        "The annual salary range for this role is $74000 to $98000 USD.": "$74,000–$98,000 base",
+        "Base compensation range: $141,000 USD – $211,500 USD.": "$141,000–$211,500 base",
+        "The salary range is $80,000 to $120,000 OTE": None,
+        "Salary range, including commission, is $125,000 - $150,000.": None,
+        "Base pay range: $4,000 - $5,000 per month": None,
+        "Base pay range: $2,400 - $3,100 biweekly.": None,
+        "Salary range of $1,500 to $1,900 a week.": None,
+        "Base pay range is $30 - $35 per hour.": None,
+        "Annual base salary range: $9,000 - $12,000": "$9,000–$12,000 base",
+        "Base salary range $9,000 - $12,000": None,
+        "base salary $50,000 - $60,000. Base salary $70,000 - $80,000": None,
+        "base salary $50,000 - $60,000. Again base salary $50,000 to $60,000": "$50,000–$60,000 base",
+        "Base salary $16,900.00 - $253,600.00": None,
+        "Base salary $90,000 - $60,000": None,
+        "Base salary $50,000.50 - $60,000.5 a year": "$50,000.50–$60,000.5 base",
+        "": None,
+    }
+    assert dict(zip(cases, many(spark, facts.posted_base_pay(F.col("v1")), list(cases)))) == cases
+    assert many(spark, facts.posted_base_pay(F.col("v1")), [None]) == [None]
+
+
+def test_travel(spark):
+    cases = {
+        "Up to 25% travel required.": "up to 25%", "Travel requirement: 25%": "25%", "Ability to travel approximately 30% of the time.": "approximately 30%", "as much  as 40% travel": "up to 40%", "approx 40% travel": "approximately 40%",
+        "Travel 25-50% of the time.": "25–50%", "This position involves 40% – 60% travel.": "40–60%", "Travel 20% - 20% annually.": "20%",
+        "No travel. Some travel reimbursement of 50%.": "none stated", "Travel is not required.": "none stated", "Minimal travel expected.": "minimal", "Some travel may be required.": None,
+        "Travel 10%. Elsewhere travel is 30%.": None, "Occasional travel. Travel about 10 %.": "about 10%", "Travel 150% of the time.": None, "Travel 60-40% of the time. No extras": None, "Minimal travel of 250%": None,
+        "We reimburse 100% of travel expenses.": None, "401k with 50% match; travel to conferences encouraged.": None, "This role requires up to 40% travel. We reimburse 100% of travel expenses.": "up to 40%", "Field work": None, "": None,
+    }
+    assert dict(zip(cases, many(spark, facts.posted_travel(F.col("v1")), list(cases)))) == cases
+    assert one(spark, [facts.matches(F.col("v1"), "a+")], "aabcaXa") == [(0, "aa"), (4, "a"), (6, "a")]
 
 
 def test_structured_pay_and_intervals(spark):
