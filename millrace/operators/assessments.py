@@ -312,8 +312,8 @@ def has_any(t: Column, words: Sequence[str]) -> Column:
 
 def agency_state(quoted: Column, company: Column, location: Column, policy: Policy) -> Column:
     """local_agency, not_local_or_not_agency or unknown, by quotes in lower case and the employer."""
-    local = has_any(quoted, policy.local_words) | places.any_option(quoted, places.is_near)
-    known = text.employer(company).isin([text.employer_text(a) for a in policy.agency_aliases] or [""]) & F.coalesce(places.any_option(location, places.is_near), F.lit(False))
+    local = has_any(quoted, policy.local_words) | places.any_kind(quoted, ["near"])
+    known = text.employer(company).isin([text.employer_text(a) for a in policy.agency_aliases] or [""]) & F.coalesce(places.any_kind(location, ["near"]), F.lit(False))
     wide = quoted.rlike(r"\b(?:national|nationwide|multi-state|global)\b")
     weak = F.when(has_any(quoted, policy.weak_agency_words), "not_local_or_not_agency").otherwise("unknown")
     return F.when(~has_any(quoted, policy.agency_words), weak).when(local | known, "local_agency").when(wide, "not_local_or_not_agency").otherwise("unknown")
