@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,15 @@ LONGEST, LEAST = 1200, 400
 BOUNDARY = re.compile(r"\n+|(?<=[.!?;])[ \t]+")
 
 
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def line_starts(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: list(accumulate((len(x) + 1 for x in t.split("\n")[:-1]), initial=0)), na_action="ignore")
+
+
 def located_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, start, line): every line with the place where it begins."""
-    lines = F.split(F.col(text), "\n", -1)
-    begins = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    zipped = F.transform(F.arrays_zip(lines.alias("line"), begins.alias("start")), lambda z: z)
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(zipped).alias("line_no", "z")).select(key, "line_no", "z.start", "z.line")
+    both = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), line_starts(F.col(text)).alias("start"))
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(both).alias("line_no", "z")).select(key, "line_no", "z.start", "z.line")
 
 
 def cut(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -87,12 +91,14 @@ def occurrences(text: pd.Series, quote: pd.Series) -> pd.Series:
 def requirement_lines(df: DataFrame, key: str, text: str, most: int = 32) -> DataFrame:
     """(key, start, line, mandatory): lines that state requirements, at most `most` a text, the first ones.
 
-    A line under a heading of requirements counts until the next heading; elsewhere a line counts if it says must, required or minimum.
+    A heading ends in a colon, or is a few words without a list mark. A line under a heading of requirements counts until the next heading; elsewhere a line counts if it says must, required or minimum.
     """
     from pyspark.sql import Window
 
-    lines = located_lines(df, key, text).withColumn("clean", F.trim(F.regexp_replace("line", r"^[\s•*\-–\d.)]+", "")))
-    heading = (F.length("clean").between(1, 80)) & (F.col("clean").rlike(r":\s*$") | F.col("clean").rlike(r"^[A-Z][A-Za-z' ]{2,60}$"))
+    mark = r"^\s*(?:[•*\-–]|\d{1,2}[.)](?=\s))\s*"
+    lines = located_lines(df, key, text).withColumn("clean", F.trim(F.regexp_replace("line", mark, "")))
+    titled = F.col("clean").rlike(r"^[A-Z][A-Za-z']*(?: [A-Za-z']+){0,4}$") & ~F.col("line").rlike(mark)
+    heading = (F.length("clean").between(1, 80)) & (F.col("clean").rlike(r":\s*$") | titled)
     asks = F.col("clean").rlike(r"(?i)\b(?:requirements?|qualifications?|must[- ]haves?|what you(?:'ll)? (?:bring|need)|preferred)\b")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("heading", heading).withColumn("section", F.last(F.when(heading, asks), ignorenulls=True).over(w)).withColumn("soft", F.last(F.when(heading, F.col("clean").rlike("(?i)preferred|nice")), ignorenulls=True).over(w))

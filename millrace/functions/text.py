@@ -172,8 +172,8 @@ def unescaped(s: pd.Series) -> pd.Series:
 
 
 def scoring_text(c: Column) -> Column:
-    """Composed text with \\n line ends; null where it holds NUL."""
-    return F.when(~F.contains(c, F.lit("\x00")), F.regexp_replace(composed(c), "\r\n?", "\n"))
+    """Composed text with \\n line ends; null where it holds U+0000 or isn't valid UTF-8."""
+    return F.when(F.is_valid_utf8(c) & ~F.contains(c, F.lit("\x00")), F.regexp_replace(composed(c), "\r\n?", "\n"))
 
 
 #: Words that are written short in titles and queries, and legal words of employers' names.
@@ -219,12 +219,6 @@ def company_stem(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+(?:incorporated|inc|llc|ltd|corporation|corp)$", ""))
 
 
-def canonical_text(c: Column) -> Column:
-    """Text as it is hashed: composed, with line ends as one character; null where it holds U+0000 or isn't valid UTF-8."""
-    good = F.is_valid_utf8(c) & ~F.contains(c, F.lit("\x00"))
-    return F.when(good, F.regexp_replace(composed(c), "\r\n?", "\n"))
-
-
 def in_reading_order(c: Column) -> Column:
     """A key that sorts names as readers do, whatever their case and accents."""
     return F.collate(c, "UNICODE_CI_AI")

@@ -29,11 +29,16 @@ def circuit_states(outcomes: DataFrame, provider: str = "provider", at: str = "a
 
 def budget_use(calls: DataFrame, limits: DataFrame, provider: str = "provider", at: str = "at") -> DataFrame:
     """Adds used_today, used_this_month and blocked to each call, the call itself included. limits (provider, daily, monthly; null: none)."""
-    day, month = F.to_date(at), F.date_trunc("month", at)
-    w = lambda unit: Window.partitionBy(provider, unit).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    used = calls.withColumn("__d", day).withColumn("__m", month).withColumn("used_today", F.count("*").over(w("__d"))).withColumn("used_this_month", F.count("*").over(w("__m")))
+    # Hours' sums are added up first, so that a window over single calls spans an hour at most.
+    hour = F.date_trunc("hour", at)
+    sums = calls.groupBy(F.col(provider).alias("__p"), hour.alias("__h")).agg(F.count("*").alias("__n"))
+    before = lambda unit: F.coalesce(F.sum("__n").over(Window.partitionBy("__p", unit).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__p", "__h", before(F.to_date("__h")).alias("__day"), before(F.date_trunc("month", "__h")).alias("__month"))
+    inside = F.count("*").over(Window.partitionBy(provider, "__hour").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    used = calls.withColumn("__hour", hour).withColumn("__in", inside)
+    used = used.join(sums, F.col(provider).eqNullSafe(F.col("__p")) & (F.col("__hour") == F.col("__h"))).withColumn("used_today", F.col("__day") + F.col("__in")).withColumn("used_this_month", F.col("__month") + F.col("__in"))
     over = F.coalesce(F.col("used_today") > F.col("daily"), F.lit(False)) | F.coalesce(F.col("used_this_month") > F.col("monthly"), F.lit(False))
-    return used.join(limits, provider, "left").withColumn("blocked", over).drop("__d", "__m", "daily", "monthly")
+    return used.join(limits, provider, "left").withColumn("blocked", over).drop("__p", "__h", "__hour", "__in", "__day", "__month", "daily", "monthly")
 
 
 def next_run(key: Column, status: Column, finished: Column, cadence_minutes: Column, retry_at: Column, continue_minutes: Column, retry_minutes: int = 30, jitter_minutes: int = 30) -> Column:
@@ -73,7 +78,7 @@ def invalidate(ledger: DataFrame, stale_ids: DataFrame, key: str, at: Column, re
     """Marks the still valid rows of the given keys as stale."""
     hit = ledger.join(stale_ids.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left")
     mark = F.col("__k").isNotNull() & F.col("stale_at").isNull()
-    return hit.withColumn("stale_at", F.when(mark, at).otherwise(F.col("stale_at"))).withColumn("stale_reason", F.when(mark, F.lit(reason)).otherwise(F.col("stale_reason"))).drop("__k")
+    return hit.withColumns({"stale_at": F.when(mark, at).otherwise(F.col("stale_at")), "stale_reason": F.when(mark, F.lit(reason)).otherwise(F.col("stale_reason"))}).drop("__k")
 
 
 def current_scores(events: DataFrame, extractions: DataFrame, aim_hash: str, experience_hash: str) -> tuple[DataFrame, DataFrame]:

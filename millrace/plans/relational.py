@@ -132,6 +132,12 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1-%')")
+def without_urgent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1-"))
+    return missing_keys(table(spark, sf_dir, "customer"), urgent.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
 @query("SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))

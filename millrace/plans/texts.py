@@ -79,7 +79,13 @@ def language_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", *out)
 
 
-@query()
+FOREIGN_SQL = " OR ".join(f"(hits_{k} >= 5 AND kinds_{k} >= 3 AND hits_{k} >= greatest(hits_en * 1.25, hits_en + 2))" for k in classifiers.PROFILES)
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(regexp_replace(text, '(?i)(https?://|www\\.)[^\\s]+', ' ', 'g')), '\\p{{L}}+') AS tokens FROM documents),
+c AS (SELECT doc_id, len(tokens) AS n, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, len(regexp_extract_all(text, '[\\p{{Cyrillic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Arabic}}\\p{{Hangul}}\\p{{Greek}}\\p{{Hebrew}}]')) AS other,
+{", ".join(f"len(list_filter(tokens, lambda x: list_contains({marker_sql(w)}, x))) AS hits_{k}, len(list_distinct(list_filter(tokens, lambda x: list_contains({marker_sql(w)}, x)))) AS kinds_{k}" for k, w in [("en", classifiers.ENGLISH), *classifiers.PROFILES.items()])} FROM t)
+SELECT doc_id, (other >= 6 AND (other / greatest(letters, 1) >= 0.65 OR (other / greatest(letters, 1) >= 0.3 AND hits_en < 4))) OR (n >= 8 AND ({FOREIGN_SQL})) AS is_foreign FROM c""")
 def foreign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", classifiers.foreign_language(F.col("text")).alias("is_foreign"))
 
@@ -101,7 +107,7 @@ def scorable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.scorable", "q.reason")
 
 
-@query()
+@query("""SELECT doc_id, '$' || format('{:,}', 50000 + doc_id % 40000) || '–$95,000 base' AS pay, 'up to ' || (doc_id % 90 + 10) || '%' AS travel FROM documents""")
 def stated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay and travel of texts to which a statement of them is added."""
     said = F.concat(F.col("text"), F.lit(". Base pay range $"), F.format_number(F.lit(50_000) + F.col("doc_id") % 40_000, 0), F.lit(" - $95,000. Travel up to "), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("% of the time."))
@@ -122,16 +128,21 @@ def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each benchmark passage is found word for word. Passages are looked up by their first eight words, not against every document."""
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.slice(words(F.col("text")), 2, 4).alias("lead"))
-    b = b.withColumn("k", F.xxhash64(F.array_join("lead", " ")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
-    runs = F.expr("transform(sequence(0, greatest(size(w) - 4, 0)), i -> xxhash64(array_join(slice(w, i + 1, 4), ' ')))")
+    """In how many documents each benchmark passage is found word for word.
+
+    A passage of six words or more is looked up by its second to fifth word, which a text that holds it has as whole words;
+    shorter ones, which may begin and end within words, are held against every text.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    long = b.where(F.size("w") >= 6).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("k"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
+    runs = F.expr("transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(array_join(slice(w, i, 4), ' ')))")
     places = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k"))
-    found = places.join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    whole = found.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b.select("item_id", "passage"), "item_id")
-    return whole.where(F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    found = places.join(long.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    whole = found.join(d.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = d.select("doc_id", "text").join(b.where(F.size("w") < 6).select("item_id", "passage"), F.contains("text", "passage")).select("item_id", "doc_id")
+    return whole.unionByName(short).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, sum(CASE WHEN role = 'assistant' THEN 2 WHEN role = 'user' THEN 1 ELSE 0 END) AS units, CAST(floor((20 * sum(CASE WHEN role = 'assistant' THEN 2 WHEN role = 'user' THEN 1 ELSE 0 END) + count(*)) / (2.0 * count(*))) AS INTEGER) AS points, CASE WHEN bool_or(role = 'system') THEN 'Does not meet' ELSE 'Partially qualified' END AS label FROM conversations GROUP BY 1""")

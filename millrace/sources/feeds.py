@@ -18,8 +18,9 @@ FIELDS = ("title", "company", "description", "location", "url", "source", "sourc
 
 
 def at(record: Column, path: str) -> Column:
-    """A trimmed text field; null where it is absent, blank or no scalar."""
-    return F.nullif(F.trim(F.get_json_object(record, f"$.{path}")), F.lit(""))
+    """A trimmed text field; null where it is absent, blank or no scalar. A null in a list reads as `null`."""
+    found = F.nullif(F.trim(F.get_json_object(record, f"$.{path}")), F.lit(""))
+    return F.nullif(found, F.lit("null")) if "[" in path else found
 
 
 def when_posted(text: Column, now: Column) -> Column:

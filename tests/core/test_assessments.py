@@ -121,7 +121,7 @@ def test_names_and_identities(spark):
     assert many(spark, text.query_key(v), ["Account Mgr!", "", None]) == ["account_manager", "all", "all"]
     assert many(spark, text.employer(v), ["Müller & Söhne, Inc.", None]) == ["müller and söhne", ""] and text.employer_text("Müller & Söhne, Inc.") == "müller and söhne"
     assert many(spark, text.company_stem(v), ["Prompt Health, Inc.", "Inc"]) == ["prompt health", "inc"]
-    assert many(spark, text.canonical_text(v), ["a\r\nb\rc", "x\x00"]) == ["a\nb\nc", None]
+    assert many(spark, text.scoring_text(v), ["a\r\nb\rc", "x\x00"]) == ["a\nb\nc", None]
     df = spark.createDataFrame([("Äpfel",), ("zebra",), ("apfel2",), ("Banana",)], "v1 string")
     assert [r.v1 for r in df.orderBy(text.in_reading_order(v)).collect()] == ["Äpfel", "apfel2", "Banana", "zebra"]
     want = hashlib.sha256(json.dumps({"company": "A/é", "kind": "aim_trusted_metadata_v1", "location": None, "title": "t\"\n"}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
