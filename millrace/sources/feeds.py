@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.facts import structured_base_pay
 from millrace.functions.text import title_case
 from millrace.functions.times import epoch_instant
 
@@ -144,3 +145,13 @@ def normalised_boards(boards: DataFrame, now: Column) -> DataFrame:
 def new_only(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """Postings whose (source, source_id) hasn't been observed."""
     return postings.dropDuplicates(["source", "source_id"]).join(seen.select("source", "source_id"), ["source", "source_id"], "left_anti")
+
+
+def board_detail(detail: Column) -> Column:
+    """struct<description, company, location, compensation> of a board's posting in detail (JSON): a description in two parts or one, work locations, structured pay."""
+    two = F.nullif(F.concat_ws("\n\n", at(detail, "description.company"), at(detail, "description.role")), F.lit(""))
+    whole = F.get_json_object(detail, "$.description")
+    sites = F.filter(F.from_json(F.get_json_object(detail, "$.workLocations"), "array<string>"), lambda s: F.coalesce(s != "", F.lit(False)))
+    ranges = F.from_json(F.get_json_object(detail, "$.payRangeDetails"), "array<struct<currency:string,frequency:string,rangeStart:double,rangeEnd:double>>")
+    pay = structured_base_pay(F.transform(ranges, lambda r: F.struct(r["currency"].alias("currency"), r["frequency"].alias("frequency"), r["rangeStart"].alias("range_start"), r["rangeEnd"].alias("range_end"))))
+    return F.struct(F.coalesce(two, F.when(~whole.startswith("{"), whole), F.lit("")).alias("description"), at(detail, "companyName").alias("company"), F.nullif(F.array_join(sites, "; "), F.lit("")).alias("location"), pay.alias("compensation"))
