@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import classifiers, identity, paths, places, text
-from millrace.operators import assessments, dedup, freshness, maintenance, queues
+from millrace.operators import assessments, dedup, freshness, maintenance, queues, requirements
 from millrace.plans.registry import query
 from millrace.tables import table
 
@@ -274,3 +274,54 @@ def held_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9+#-]+', ' ', 'g')) AS title, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'all') AS family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS stem FROM part""")
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.role_title(F.col("p_name")).alias("title"), text.query_key(F.col("p_type")).alias("family"), text.company_stem(F.col("p_brand")).alias("stem"))
+
+
+NEEDS = ["Valid driver's license", "Must pass a background check", "RN license", "Design partner certification programs", "Five years as a regional manager", "Lead a team", "P&L ownership", "Own national accounts", "Bachelor degree", "Curiosity"]
+SCOPES = ["drivers_license", "administrative_eligibility", "personal_credential", "partner_certification_program", "formal_management_title_tenure", "people_leadership", "financial_authority", "enterprise_account_ownership", "bachelors_degree", "unrestricted"]
+
+
+@query(f"SELECT c_custkey, {nth_sql(SCOPES, 'c_custkey')} AS scope, CASE WHEN c_custkey % 10 < 2 THEN 'administrative_only' ELSE 'none' END AS administrative FROM customer")
+def requirement_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = requirements.requirement_scope(nth(NEEDS, F.col("c_custkey")))
+    return table(spark, sf_dir, "customer").select("c_custkey", found["scope"].alias("scope"), found["administrative"].alias("administrative"))
+
+
+@query("""WITH q AS (SELECT DISTINCT l_orderkey AS job_id, list_extract(['A', 'B', 'C', 'D', 'E'], CAST(l_partkey % 5 AS INT) + 1) AS question FROM lineitem), y AS (SELECT job_id, bool_or(question = 'A') AS a, bool_or(question = 'B') AS b, bool_or(question IN ('C', 'D')) AS c FROM q GROUP BY 1)
+SELECT job_id, unnest(['A', 'B', 'C', 'D']) AS question FROM y WHERE a AND NOT (b AND c)""")
+def broken_answer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as answers: questions of a rule (A needs B and one of C and D) that the answers break."""
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), nth(["A", "B", "C", "D", "E"], F.col("l_partkey")).alias("question"), F.lit("yes").alias("answer")).distinct()
+    return requirements.broken_closures(answers, spark.createDataFrame([("A", [["B"], ["C", "D"]])], "antecedent string, all array<array<string>>"))
+
+
+@query("""SELECT o_orderkey, CAST(unnest([1, 2, 3]) AS INTEGER) AS number, unnest([CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unsupported' END, 'yes', 'unsupported']) AS answer, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'quote ' || o_orderkey ELSE '' END, 'a' || chr(10) || 'b', '']) AS evidence FROM orders""")
+def numbered_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as replies to three questions: one answered in line, one with its evidence below, one left out."""
+    n = F.col("o_orderkey")
+    first = F.when(n % 3 == 0, F.concat(F.lit("1. Yes - quote "), n)).when(n % 3 == 1, "1) no").otherwise("| 1 | not found |")
+    replies = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(first, F.lit("\n2. yes: a\n b\n")).alias("reply"))
+    return requirements.numbered_answers(replies, "o_orderkey", "reply", 3, {"yes": "yes", "no": "no", "not found": "unsupported"}, "unsupported")
+
+
+@query("""SELECT c_custkey, unnest(['Cold calls of ' || c_custkey, 'Staffing firms']) AS rule, unnest(['selling_motion', 'employer']) AS dimension, unnest([NULL, CASE WHEN c_custkey % 2 = 0 THEN 'too broad' END]) AS conflict FROM customer""")
+def preference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("DO REJECT:\n- Cold calls of "), F.col("c_custkey"), F.lit("\n- Expired posts\nPREFER:\n- Travel\nREJECT: Staffing firms"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", said.alias("t"))
+    made = requirements.preference_rules(rows, "c_custkey", "t", [("^Staffing", "too broad")])
+    return made.select("c_custkey", "rule", "dimension", F.when(F.col("c_custkey") % 2 == 0, F.col("conflict")).alias("conflict"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'rejected_hard_stop' ELSE 'survivor' END AS decision, CAST(CASE WHEN p_size % 5 <> 0 THEN list_extract([40, 34, 26], CAST(p_partkey % 3 AS INT) + 1) + 12 + 14 + list_extract([15, 0], CAST(p_partkey % 2 AS INT) + 1) END AS INTEGER) AS score FROM part""")
+def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    stops = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("inside_sales"))).otherwise(F.array().cast("array<string>"))
+    bands = {"coreWork": nth(["exceptional_archetype", "strong_fit", "unclear"], n), "buildingAutonomy": F.lit("unclear"), "productIndustry": F.lit("interesting_technology"), "travel": nth(["international", "none_or_unstated"], n)}
+    d = requirements.rubric_decision(stops, bands)
+    return table(spark, sf_dir, "part").select("p_partkey", d["decision"].alias("decision"), d["score"].alias("score"))
+
+
+@query("SELECT l_orderkey AS parent_id, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY 1")
+def nested_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their items nested, parted into the rows of two tables; here the children's sums by parent."""
+    nested = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct("l_partkey", "l_linenumber")).alias("items"))
+    return requirements.with_children(nested, "id", "items")[1].groupBy("parent_id").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
