@@ -35,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or tempfile.mkdtemp(prefix="millrace-")
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where it is unset and the session is a local one, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    found = found or tempfile.mkdtemp(prefix="millrace-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
