@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import Growing, WordCodes, labelled, map_texts, sample_rows, sums, texts_of, words_in
 
 #: At most so many labelled texts of each language are learned from; a fifth of them calibrates.
-FIT_ROWS = 650
+FIT_ROWS = 600
 BUCKETS = 1 << 12
 WIDTH = 16
 SIZES = (1, 2, 3, 4)
@@ -107,8 +107,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(texts: list[bytes], langs: np.ndarray, rng: np.random.Generator, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean subword counts of whole texts and of two short runs of each one's words."""
+def examples(texts: list[bytes], langs: np.ndarray, rng: np.random.Generator, buckets: int) -> tuple[list, np.ndarray]:
+    """(subwords, their shares) of whole texts and of two short runs of each one's words, and their languages."""
     rows, y = [], []
     for t, lang in zip(texts, langs):
         ids, n = subwords([letters(w) for w in t.decode("utf-8", "replace").split()], buckets)
@@ -122,9 +122,18 @@ def examples(texts: list[bytes], langs: np.ndarray, rng: np.random.Generator, bu
         for a, b in spans:
             lo, hi = ends[a] - n[a], ends[b - 1]
             if hi > lo:
-                rows.append((np.bincount(ids[lo:hi], minlength=buckets) / (hi - lo)).astype(np.float32))
+                found, count = np.unique(ids[lo:hi], return_counts=True)
+                rows.append((found.astype(np.uint32), (count / (hi - lo)).astype(np.float32)))
                 y.append(lang)
-    return np.array(rows, np.float32).reshape(-1, buckets), np.array(y, np.int64)
+    return rows, np.array(y, np.int64)
+
+
+def together(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of some examples, and the examples' shares of each."""
+    used, at = np.unique(np.concatenate([ids for ids, _ in rows]), return_inverse=True)
+    shares = np.zeros((len(rows), len(used)), np.float32)
+    shares[np.repeat(np.arange(len(rows)), [len(ids) for ids, _ in rows]), at] = np.concatenate([w for _, w in rows])
+    return used, shares
 
 
 def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, width: int = WIDTH, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Model:
@@ -146,8 +155,7 @@ def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, width: i
             b = order[a : a + 32]
             lr = rate * (1 - step / total)  # each row's and weight's step is divided by the root of its squared gradients so far
             step += 1
-            used = np.nonzero(x[b].any(axis=0))[0]
-            sub = x[b][:, used]
+            used, sub = together([x[i] for i in b])
             h = sub @ emb[used]
             g = softmax(h @ out + bias)
             g[np.arange(len(b)), t[b]] -= 1
