@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, slices, spread, sums, texts_of, words_in, workers_import, written
 
 #: At most so many labelled texts of each class give the class counts, and so many of both the calibration.
-COUNT_ROWS = 4000
-FIT_ROWS = 4000
+COUNT_ROWS = 2000
+FIT_ROWS = 2500
 #: Units whose words before a task gathers, when it counts the corpus, before it hands them on.
 TASK_UNITS = 100_000
 #: Sketch of the words before a word: sets of SLOTS bits; set k gets a share 3 / 4 ** (k + 1) of all words, the last one the rest.
