@@ -106,49 +106,61 @@ def board_overlap(boards: DataFrame, known: DataFrame, least: int = 2) -> DataFr
     return fresh.where(F.size(F.array_intersect("titles", "t")) >= least).select("slug")
 
 
-#: How old a held posting may be, how many candidates a posting is held against, and spellings of places in old keys.
-DAYS, MOST = 45, 50
-OLD_PLACES = ("unknown", "remote", "mn", "st paul", "us")
+#: Fixed value: how old a held posting may be, in days.
+DAYS = 45
 
 
-def block_keys(p: DataFrame) -> Column:
-    """Keys of which two postings must share one to be compared: identity, address, fingerprints of title, company and place in their forms, and three letters of the company with the title's first long word."""
-    title, company = F.col("title"), F.col("company")
-    whole = [identity.fingerprint(title, company, F.col("location")), *[identity.fingerprint(title, company, place, 2) for place in (F.col("location"), *map(F.lit, OLD_PLACES))], identity.fingerprint(title, company, version=3)]
-    word = F.element_at(F.filter(F.split("title_key", " "), lambda w: F.length(w) > 2), 1)
-    stem = F.lower(F.substring(F.regexp_replace(company, "[^A-Za-z0-9]", ""), 1, 3))
-    loose = F.when((F.length(stem) == 3) & word.isNotNull(), F.concat(F.lit("near|"), stem, F.lit("|"), word))
-    own = identity.posting_identity(F.col("url"), F.col("source"), F.col("source_id"))
-    return F.array_distinct(F.array_compact(F.array(own, F.concat(F.lit("url|"), F.lower("address")), *whole, loose)))
+def proof_key(kind: str, *parts: Column) -> Column:
+    return F.md5(F.concat_ws("\x1f", F.lit(kind), *parts))
 
 
-def matches_held(incoming: DataFrame, held: DataFrame, now: Column, days: int = DAYS, most: int = MOST) -> DataFrame:
+def title_beginnings() -> Column:
+    """The words of title_key from the first to each of them; the last entry is the title itself. An empty title begins with itself alone."""
+    words = F.split("title_key", " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+
+
+def proofs(p: DataFrame, asked: bool) -> Column:
+    """array of (key, rank): what a posting is found by (asked: what it looks up). Two postings are proved the same if one looks up a key that the other is found by.
+
+    Sure keys; company, a long description, title (whole or a beginning) and place (any for an unknown one); last, with a
+    syndicator on either side, title and description alone.
+    """
+    entry = lambda key, rank: F.struct(key.alias("key"), F.lit(rank).alias("rank"))
+    sure = F.transform("sure", lambda k: entry(proof_key("sure", k), 0))
+    nowhere, begun = F.col("place") == "unknown", title_beginnings()
+    places = F.when(nowhere, F.array(F.lit("*"))).otherwise(F.array(F.col("place"), F.lit("unknown"))) if asked else F.array_distinct(F.array(F.col("place"), F.lit("*")))
+    title = F.array(F.col("title_key"))
+    proper = F.slice(begun, 1, F.size(begun) - 1)
+    wholes, parts = (begun, title) if asked else (title, proper)
+    some = lambda kind, titles: F.flatten(F.transform(titles, lambda t: F.transform(places, lambda l: entry(proof_key(kind, F.col("company_key"), F.col("signature"), t, l), 1))))
+    syndicated = F.coalesce(F.col("company").rlike(SYNDICATORS), F.lit(False))
+    copy = lambda kind: entry(proof_key(kind, F.col("title_key"), F.col("signature")), 2)
+    either, any_, theirs = syndicated, F.array(copy("any")), F.array(copy("syndicator"))
+    copies = F.when(either, any_).otherwise(theirs) if asked else F.when(either, F.concat(any_, theirs)).otherwise(any_)
+    none = F.array().cast("array<struct<key:string,rank:int>>")
+    described = F.when(F.col("signature").isNotNull(), F.concat(some("whole", wholes), some("part", parts), F.when(F.col("title_key") != "", copies).otherwise(none))).otherwise(none)
+    return F.concat(sure, described)
+
+
+def matches_held(incoming: DataFrame, held: DataFrame, now: Column, days: int = DAYS) -> DataFrame:
     """(id, match, why): the newest held posting of the last days that each incoming one repeats, if any.
 
-    Both: id, title, company, location, description, url, source, source_id; held also created_at. Postings are compared if they share a block
-    key, with the newest `most` held ones; the same source and id, own address or requisition prove identity, else company, title, place
-    and a long description's words must agree. A syndicator's copy needs title and description alone.
+    Both: id, title, company, location, description, url, source, source_id; held also created_at. The same source and id, own address or
+    requisition prove identity, else company, title, place and a long description's words must agree; a syndicator's copy, which
+    counts only if nothing else is found, needs title and description alone. Postings meet by what proves them the same, and of
+    the held ones that share a key only the newest is kept: no block of postings is compared or cut off. Null places count
+    as unknown, null titles and companies as empty, held postings without a time as too old.
     """
-    new = with_identity(incoming)
-    old = with_identity(held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days))))
-    new, old = new.withColumn("keys", block_keys(new)).withColumn("sure", sure_keys(new)), old.withColumn("keys", block_keys(old)).withColumn("sure", sure_keys(old))
-    keyed = old.select(F.col("id").alias("match"), "created_at", F.explode("keys").alias("key"))
-    # A key's newest `most` are enough: no posting is held against more of them.
-    newest = Window.partitionBy("key").orderBy(F.col("created_at").desc(), F.col("match"))
-    keyed = keyed.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most).drop("__n")
-    pairs = new.select("id", F.explode("keys").alias("key")).join(keyed, "key").groupBy("id", "match").agg(F.max("created_at").alias("created_at"))
-    ranked = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("created_at").desc(), "match"))).where(F.col("__n") <= most).drop("__n")
-    cols = ["company_key", "title_key", "place", "signature", "sure"]
-    side = lambda df, key, mark: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in cols])
-    both = ranked.join(side(new, "id", "n"), "id").join(side(old, "match", "o"), "match")
-    n, o = (lambda c: F.col(f"n_{c}")), (lambda c: F.col(f"o_{c}"))
-    begins = lambda a, b: a.startswith(F.concat(b, F.lit(" "))) & (b != "")
-    title = (n("title_key") == o("title_key")) | begins(n("title_key"), o("title_key")) | begins(o("title_key"), n("title_key"))
-    place = (n("place") == o("place")) | (n("place") == "unknown") | (o("place") == "unknown")
-    words = F.coalesce(n("signature") == o("signature"), F.lit(False))
-    why = F.when(F.arrays_overlap(n("sure"), o("sure")), "identity").when((n("company_key") == o("company_key")) & title & place & words, "description")
-    found = both.withColumn("why", why).where("why is not null").select("id", "match", "created_at", "why")
-    label = lambda df, key: df.where("signature is not null and title_key <> ''").select(F.col("id").alias(key), "title_key", "signature", F.coalesce(F.col("company").rlike(SYNDICATORS), F.lit(False)).alias(f"s_{key}"), *(["created_at"] if key == "match" else []))
-    copies = label(new, "id").join(first_per_key(label(old, "match"), ["title_key", "signature", "s_match"], [F.col("created_at").desc(), F.col("match")]), ["title_key", "signature"]).where("s_id or s_match")
-    every = found.withColumn("__r", F.lit(0)).unionByName(copies.select("id", "match", "created_at", F.lit("syndication").alias("why"), F.lit(1).alias("__r")))
-    return first_per_key(every, ["id"], [F.col("__r"), F.col("created_at").desc(), F.col("match")]).select("id", "match", "why")
+    new, old = with_identity(incoming), with_identity(held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days))))
+    keys = ["company_key", "title_key"]
+    new, old = (df.withColumn("sure", sure_keys(df)).fillna("", keys).fillna("unknown", ["place"]) for df in (new, old))
+    age = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age")
+    found = old.select(age, F.col("id").alias("match"), F.explode(proofs(old, False)).alias("p"))
+    newest = found.groupBy(F.col("p.key").alias("key")).agg(F.min(F.struct("age", "match")).alias("held"))
+    asked = new.select("id", F.explode(proofs(new, True)).alias("p")).select("id", "p.key", "p.rank").distinct()
+    met = asked.join(newest, "key").select("id", "rank", "held.age", "held.match")
+    # Identity and description count alike, the newest first; identity names the reason where both prove the same posting.
+    best = met.groupBy("id").agg(F.min(F.struct((F.col("rank") == 2).alias("late"), "age", "match", "rank")).alias("b"))
+    why = F.element_at(F.array(F.lit("identity"), F.lit("description"), F.lit("syndication")), F.col("b.rank") + 1)
+    return best.select("id", F.col("b.match").alias("match"), why.alias("why"))

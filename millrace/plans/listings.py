@@ -152,5 +152,5 @@ def suppressed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '[/?#].*$', '') AS host FROM pages""")
-def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bare_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(urls.host(F.col("url")), r"^www\.", "").alias("host"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,16 +102,16 @@ def backlog_of_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as scores of jobs."""
+    """Line items as scores of jobs. Order and line number repeat; with the part they tell any two events apart that differ in what is read here."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     p = F.col("l_partkey")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("job_id"), nth(["aim_fit", "experience_fit"], p).alias("family"), F.col("l_shipdate").alias("created_at"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_orderkey").alias("job_id"), nth(["aim_fit", "experience_fit"], p).alias("family"), F.col("l_shipdate").alias("created_at"),
         F.when(p % 5 == 0, F.col("l_shipdate")).alias("stale_at"), nth(["h1", "h2", "h3"], p).alias("input_hash"), nth(["v1", "v2"], p).alias("prompt_version"), (p % 4 == 0).alias("passed"), nth(STATUS, p).alias("projection"),
     )
 
 
-SCORES_SQL = f"""s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS job_id, {nth_sql(['aim_fit', 'experience_fit'], 'l_partkey')} AS family, l_shipdate AS created_at, l_partkey % 5 = 0 AS stale, {nth_sql(['h1', 'h2', 'h3'], 'l_partkey')} AS input_hash,
+SCORES_SQL = f"""s AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id, l_orderkey AS job_id, {nth_sql(['aim_fit', 'experience_fit'], 'l_partkey')} AS family, l_shipdate AS created_at, l_partkey % 5 = 0 AS stale, {nth_sql(['h1', 'h2', 'h3'], 'l_partkey')} AS input_hash,
   {nth_sql(['v1', 'v2'], 'l_partkey')} AS prompt_version, l_partkey % 4 = 0 AS passed, {nth_sql(STATUS, 'l_partkey')} AS projection FROM lineitem),
 l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, id DESC) = 1)"""
 
@@ -261,14 +262,33 @@ def screened_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessments.results(held, answers, evidence, holistic, SCREEN).select("job_id", "variant", F.col("band.code").alias("band"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'identity' END AS why FROM customer WHERE c_custkey % 3 = 0""")
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN -1 - c_custkey WHEN c_custkey % 3 = 0 THEN c_custkey WHEN c_custkey % 5 = 0 THEN c_custkey + 10000000 ELSE c_custkey + 20000000 END AS match,
+CASE WHEN c_custkey % 7 = 0 THEN 'description' WHEN c_custkey % 3 = 0 THEN 'identity' WHEN c_custkey % 5 = 0 THEN 'description' ELSE 'syndication' END AS why FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0""")
 def held_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as incoming postings, each third of which is held under its id at the source."""
+    """Customers as incoming postings that all share a first title word and a company's beginning. Held are, for some, the posting of the same id at
+    the source, copies with a longer title at no place (one of them older) and elsewhere, one with a shorter title at the same place, and a syndicator's
+    copy; for all, a copy that is too old. Of equally new ones the least id is taken."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    post = lambda df: df.select("id", F.concat(F.lit("Seller "), F.col("id")).alias("title"), F.concat(F.lit("Company "), F.col("id") % 10).alias("company"), F.lit("Edina, MN").alias("location"), F.lit("short").alias("description"), F.lit(None).cast("string").alias("url"), F.lit("feed").alias("source"), F.col("id").cast("string").alias("source_id"))
-    now = F.lit(dt.datetime(2026, 1, 1))
-    held = post(c.where("id % 3 = 0")).withColumn("created_at", now)
-    return dedup.matches_held(post(c), held, now).select("id", "why")
+    k, now = F.col("id"), F.lit(dt.datetime(2026, 1, 1))
+    duties = F.repeat(F.concat(F.lit("duty "), k, F.lit(" and more of it ")), 30)
+
+    def post(rows: DataFrame, id_=k, title=F.lit(""), company=F.concat(F.lit("Company "), k % 10), place="Edina, MN", description=duties, source="feed", source_id=k.cast("string"), days=0) -> DataFrame:
+        t = F.concat(F.lit("Seller "), k, title)
+        made = rows.select(id_.alias("id"), t.alias("title"), company.alias("company"), F.lit(place).alias("location"), description.alias("description"), F.lit(None).cast("string").alias("url"), F.lit(source).alias("source"), source_id.alias("source_id"))
+        return made.withColumn("created_at", now - F.make_dt_interval(days=F.lit(days)))
+
+    none = F.lit(None).cast("string")
+    kinds = [
+        post(c.where("id % 3 = 0"), description=F.lit("short")),
+        post(c.where("id % 5 = 0"), k + 10_000_000, F.lit(" west coast"), place="", source="other", source_id=none),
+        post(c.where("id % 5 = 0"), k + 40_000_000, F.lit(" west coast"), place="", source="other", source_id=none, days=9),
+        post(c.where("id % 5 = 0"), k + 50_000_000, F.lit(" west coast"), place="Austin, TX", source="other", source_id=none),
+        post(c.where("id % 7 = 0"), -1 - k, source="third", source_id=none),
+        post(c.where("id % 11 = 0"), k + 20_000_000, F.lit(" west"), company=F.lit("Jobgether"), place="Austin, TX", source="fourth", source_id=none),
+        post(c, k + 60_000_000, source="late", days=60),
+    ]
+    held = reduce(DataFrame.unionByName, kinds)
+    return dedup.matches_held(post(c, title=F.lit(" west")).drop("created_at"), held, now)
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9+#-]+', ' ', 'g')) AS title, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'all') AS family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS stem FROM part""")

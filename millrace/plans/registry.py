@@ -15,9 +15,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name."""
+    """Registers a function under its name, which no other query may have."""
 
     def keep(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             let_workers_import(spark)
