@@ -27,6 +27,8 @@ CACHE_WORDS = 400_000
 CACHE_BYTES = 16 << 20
 #: A classifier learns from labelled texts of so many bytes at most.
 FIT_BYTES = 64 << 20
+#: Bytes as terms take them: A to Z lower-cased, other ASCII characters that are no letters blank, the bytes of all others as they are.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -57,6 +59,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Adds idx, a row's number in its group from 0, and n, the group's rows. rows: a written table, as they are read twice; group: a column without nulls.
+
+    Rows are sorted into ranges of (group, order); what is added up by a window is a row for each range and group.
+    """
+    sorted_ = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id())
+    held = written(sorted_, "ranges").withColumn("__part", F.shiftright("__at", 33))
+    per = held.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("n", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
+    joined = held.join(per, [group, "__part"])
+    return joined.withColumn("idx", (F.col("__before") + F.col("__at") - F.col("__first")).cast("long")).drop("__at", "__part", "__first", "__before")
+
+
 def workers_import(spark: SparkSession) -> None:
     """Lets workers on shared disks import this package, and holds the Arrow batches they get to BATCH_BYTES, whatever their rows."""
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

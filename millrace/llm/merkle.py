@@ -16,10 +16,10 @@ from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import workers_import, written
+from millrace.llm.common import numbered, workers_import, written
 
 ARITY = 2
 #: Levels that one round resolves.
@@ -77,20 +77,6 @@ def leaf(columns: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*map(field, columns)), 256)
 
 
-def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Adds idx, a row's number in its group from 0, and n, the group's rows. rows: written, as they are read twice.
-
-    Rows are sorted into ranges of (group, order); what is added up by a window is a row for each range and group.
-    """
-    sorted_ = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id())
-    held = written(sorted_, "ranges").withColumn("__part", F.shiftright("__at", 33))
-    per = held.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("n", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
-    joined = held.join(per, [group, "__part"])
-    return joined.withColumn("idx", (F.col("__before") + F.col("__at") - F.col("__first")).cast("long")).drop("__at", "__part", "__first", "__before")
-
-
 def folded(nodes: DataFrame, arity: int, span: int) -> DataFrame:
     """The nodes `span` levels up, as nodes of level 0 of a smaller tree: what each partition leaves, merged block by block. nodes: tree, n, idx, node."""
 
