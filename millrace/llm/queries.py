@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import hnsw_dedup, imatch, language_id, merkle, mixing, piece_sampling, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity, warc
+from millrace.llm import divergence, hnsw_dedup, imatch, language_id, merkle, mixing, piece_sampling, quality_classifier, quality_rules, simhash_dedup, token_store, toxicity, warc
 from millrace.llm.common import remainder, shared_path, table
 
 
@@ -63,6 +63,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), trees, keep=["doc_id"])
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw_near_dedup": op8_hnsw_near_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op5_mix_to_target_weights": mixing.oracle(), "op13_merkle_manifest": merkle.oracle()}
+ORACLES: dict[str, str] = {"op5_mix_to_target_weights": mixing.oracle(), "op11_source_divergence": divergence.oracle(), "op13_merkle_manifest": merkle.oracle()}
