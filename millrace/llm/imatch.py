@@ -1,8 +1,8 @@
 """I-Match fingerprints over several randomised lexicons.
 
 A text's terms that stand in a band of document frequency, which leaves out what is in many texts and what is in next to
-none, are its kept terms. Each of SUBSETS random orders of the lexicon gives a ladder of subsets, a quarter, a
-sixteenth, ... of the terms, and the sorted kept terms of each subset are hashed. Long texts differ in every large
+none, are its kept terms. Each of SUBSETS random orders of the lexicon gives a ladder of subsets, an eighth, a
+thirty-second, ... of the terms, and the sorted kept terms of each subset are hashed. Long texts differ in every large
 subset after small edits, while short ones have no term in a small one; so the ladder has for texts of any length
 subsets in which one or two of their terms fall. Two fingerprints' likeness is read from how many subsets are empty in
 both and how many are equal: of u terms in either text, of which d are in one alone, a subset that takes each with
@@ -16,7 +16,7 @@ import hashlib
 import math
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,14 +29,16 @@ from pyspark.sql import types as T
 from millrace.llm.common import TERM_BYTES, numbered, slices, workers_import, written
 
 #: Kept terms stand in at least LOW and at most HIGH of the documents, and in two at least. Terms that stand in a share LOW of
-#: the documents are at most (distinct terms of a mean document) / LOW, so that the lexicon doesn't grow with the documents.
+#: the documents are at most (distinct terms of a mean document) / LOW, so that the lexicon, 8 bytes a term, doesn't grow with the documents.
 LOW, HIGH = 1 / 2000, 1 / 20
 SUBSETS, RUNGS = 16, 5
 SEED = 12
 #: Longer terms stand for themselves by a digest.
 LONG = 48
 #: Terms and bytes that a task counts before it hands on what it has.
-COUNTED, COUNTED_BYTES = 300_000, 24 << 20
+COUNTED, COUNTED_BYTES = 400_000, 64 << 20
+#: Terms that a task remembers.
+MET = 300_000
 EMPTY = "0" * 8
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -44,18 +46,25 @@ MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB],
 def terms(text: bytes) -> set[bytes]:
     """The distinct terms: runs of ASCII letters, lower-cased, and of characters beyond ASCII."""
     found = set(text.translate(TERM_BYTES).split())
+    if max(map(len, found), default=0) <= LONG:
+        return found
     return {t if len(t) <= LONG else b"#" + hashlib.blake2b(t, digest_size=16).hexdigest().encode() for t in found}
 
 
+def code_of(term: bytes) -> int:
+    """64 bits, signed, by which terms are counted; two terms that share them, which is next to never, count as one."""
+    return xxhash.xxh64_intdigest(term, SEED) - (1 << 63)
+
+
 def document_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(term, df): how many texts have each term; tasks count their own texts first."""
+    """(term: its code, df): how many texts have each term; tasks count their own texts first."""
 
     def run(batches):
         held: Counter = Counter()
         n_bytes = 0
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(map(code_of, held)), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
             held.clear()
             return made
 
@@ -72,14 +81,14 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
             yield out()
 
     sent = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("__text"))
-    return sent.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return sent.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> list[bytes]:
-    """The terms of the band, sorted; at most (mean distinct terms) / low of them."""
+def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> np.ndarray:
+    """The codes of the band's terms, sorted; at most (mean distinct terms) / low of them."""
     n = docs.count()
     kept = document_counts(docs, text).where((F.col("df") >= max(2, math.ceil(low * n))) & (F.col("df") <= math.floor(high * n)))
-    return sorted(bytes(r.term) for r in kept.select("term").collect())
+    return np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64))
 
 
 class Fingerprints:
@@ -88,37 +97,49 @@ class Fingerprints:
     A text without kept terms is taken by all its terms, one without terms by its characters.
     """
 
-    def __init__(self, words: Iterable[bytes], subsets: int = SUBSETS, rungs: int = RUNGS, seed: int = SEED):
-        self.lexicon, self.subsets, self.rungs, self.seed = frozenset(words), subsets, rungs, seed
-        self.slots: dict[bytes, list[int]] = {}
+    def __init__(self, lexicon: np.ndarray, subsets: int = SUBSETS, rungs: int = RUNGS, seed: int = SEED):
+        self.lexicon, self.subsets, self.rungs = np.append(lexicon, np.iinfo(np.int64).max), subsets, rungs
+        self.met: set[bytes] = set()
+        self.slots: dict[bytes, list[int]] = {}  # of terms met that are in the lexicon: where they are hashed
         self.salts = np.array([xxhash.xxh64_intdigest(str(j), seed) for j in range(subsets)], np.uint64)
 
     def depths(self, hashes: np.ndarray) -> np.ndarray:
-        """For each term and subset, on how many rungs it is in: on rung r with probability 4 ** -(r + 1)."""
+        """For each term and subset, on how many rungs it is in: on rung r with probability 2 ** -(2 * r + 3)."""
         x = hashes[:, None] ^ self.salts[None]
         for k, m in zip((30, 27, 31), MIXERS):
             x = (x ^ (x >> np.uint64(k))) * m
         x ^= x >> np.uint64(31)
-        return sum((x < np.uint64(1 << (64 - 2 * (r + 1)))).astype(np.int8) for r in range(self.rungs))
-
-    def learn(self, words: list[bytes]) -> None:
-        depths = self.depths(np.array([xxhash.xxh64_intdigest(w, self.seed) for w in words], np.uint64))
-        for w, row in zip(words, depths):
-            at = np.nonzero(row)[0]
-            self.slots[w] = [j * self.rungs + r for j, d in zip(at.tolist(), row[at].tolist()) for r in range(d)]
+        return sum((x < np.uint64(1 << (61 - 2 * r))).astype(np.int8) for r in range(self.rungs))
+
+    def places(self, words: list[bytes], codes: np.ndarray) -> dict[bytes, list[int]]:
+        """The subsets that each word is in, by number."""
+        found = {}
+        for w, row in zip(words, self.depths(codes.view(np.uint64)).tolist()):
+            found[w] = [k for j, d in enumerate(row) if d for k in range(j * self.rungs, j * self.rungs + d)]
+        return found
+
+    def learn(self, fresh: list[bytes]) -> None:
+        codes = np.array([code_of(w) for w in fresh], np.int64)
+        at = np.searchsorted(self.lexicon[:-1], codes)
+        inside = np.nonzero(self.lexicon[at] == codes)[0]
+        self.slots.update(self.places([fresh[k] for k in inside.tolist()], codes[inside]))
+        self.met.update(fresh)
 
     def __call__(self, text: bytes) -> str:
         every = terms(text)
-        kept = sorted(every & self.lexicon or every)
-        fresh = [t for t in kept if t not in self.slots]
+        if len(self.met) > MET:
+            self.met.clear()
+            self.slots.clear()
+        fresh = list(every - self.met)
         if fresh:
-            if len(self.slots) + len(fresh) > 2 * len(self.lexicon) + COUNTED:
-                self.slots.clear()
-                fresh = kept
             self.learn(fresh)
+        slots, kept = self.slots, sorted(every & self.slots.keys())
+        if every and not kept:
+            kept = sorted(every)
+            slots = self.places(kept, np.array([code_of(w) for w in kept], np.int64))
         held: list[list[bytes]] = [[] for _ in range(self.subsets * self.rungs)]
         for t in kept:
-            for k in self.slots[t]:
+            for k in slots[t]:
                 held[k].append(t)
         return code(kept or [b"\x00", text]) + "".join([code(x) if x else EMPTY for x in held])
 
@@ -183,12 +204,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", low:
     Document counts are of all texts. A null text counts as empty; null keys stand first and rows that share a key by a hash of their
     text; the last document's next is the first, a lone document's next is itself. Other columns are not read. change: the edited text, from a text and the next.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(b" ".join(lexicon(docs, text, low, high)))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, low, high))
     type_ = docs.schema[key].dataType
     schema = T.StructType([T.StructField("__id", type_), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]])
 
     def run(batches):
-        prints = Fingerprints(shared.value.split(b" ") if shared.value else [])
+        prints = Fingerprints(shared.value)
         wait = None  # the row that waits for the next one: part, id, text, fingerprint
         kind = None
 
