@@ -255,6 +255,8 @@ def texts_of(docs: DataFrame, rows: DataFrame, key: str, text: str, most_bytes:
     Of rows that repeat an id the least text is taken.
     """
     met = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(rows.withColumnRenamed(key, "__id")), "__id")
-    once = met.groupBy("__id").agg(*[F.min(c).alias(c) for c in met.columns if c != "__id"])
-    upto = F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(Window.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id"))
-    return once.withColumn("__upto", upto).where(F.col("__upto") <= most_bytes).drop("__upto")
+    once = written(met.groupBy("__id").agg(*[F.min(c).alias(c) for c in met.columns if c != "__id"]), "sample")
+    # Only ids and lengths go through the one window.
+    upto = F.sum("__bytes").over(Window.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id"))
+    sizes = once.select("__id", F.coalesce(F.octet_length("__text"), F.lit(0)).alias("__bytes")).withColumn("__upto", upto)
+    return once.join(F.broadcast(sizes.where(F.col("__upto") <= most_bytes).select("__id")), "__id")

@@ -90,6 +90,8 @@ def test_language_held_out(spark, sf_dir, odd, empty):
     assert np.mean([r.lang == r.lang_pred for r in made]) > 0.9 and all(0 <= r.score <= 1 for r in made)
     rows = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
     assert all(rows[k].lang_pred == "und" and rows[k].score == 0 and rows[k].rejected for k in (3, 4, 5)) and rows[1].lang_pred != "und"
+    numbers = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ 12_34 ٣"), (3, "a ½"), (4, "́ !?")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.predict(numbers, model).orderBy("doc_id").collect()] == [True, True, False, True]
     assert language_id.predict(empty, model).count() == 0
     assert {r.lang_pred for r in language_id.predict(odd, language_id.fit(empty)).collect()} == {"und"}
 
