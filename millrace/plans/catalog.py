@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import control, exchange, listings, postings, relational, reports, statistics, texts
+from millrace.plans import control, exchange, listings, postings, relational, reports, statistics, streams, texts
 from millrace.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "daily_event_funnel"
-MODULES = (statistics, relational, texts, control, reports, postings, listings, exchange)
+MODULES = (statistics, relational, texts, control, reports, postings, listings, exchange, streams)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]

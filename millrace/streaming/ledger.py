@@ -21,20 +21,30 @@ def windowed_counts(events: DataFrame, at: str, group: str, size: str = "1 hour"
     return events.withWatermark(at, overlap).groupBy(w, group).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), group, "n")
 
 
-def append_new(folder: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends only rows whose key the table lacks, so that a replayed batch adds nothing."""
+def append_new(folder: str, key: str, at: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends only rows whose key the table lacks, so that a replayed batch adds nothing.
+
+    at: the events' time, which deliveries of a key share. The table is then kept by day, and keys are looked up in the
+    days of the batch alone.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
+        days = []
+        if at is not None:
+            fresh = fresh.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+            days = [r.day for r in fresh.select("day").distinct().collect()]
         try:
-            held = spark.read.parquet(folder).select(key)
+            held = spark.read.parquet(folder)
         except Exception as e:  # the table's first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
-            fresh = fresh.join(held, key, "left_anti")
-        fresh.write.mode("append").parquet(folder)
+            some = held if at is None else held.where(F.col("day").cast("string").isin(days))
+            fresh = fresh.join(some.select(key), key, "left_anti")
+        out = fresh.write.mode("append")
+        (out if at is None else out.partitionBy("day")).parquet(folder)
 
     return write
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +20,11 @@ def let_workers_import(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder's path where all executors see it: under spark.checkpoint.dir, or a temporary one for a local session without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(found or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
