@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import classifiers, facts, identity, scoring, text, urls
+from millrace.operators import evidence
 from millrace.operators.dedup import duplicate_links, keep_first
 from millrace.plans.registry import query
 from millrace.tables import table
@@ -128,21 +129,68 @@ def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents each benchmark passage is found word for word.
-
-    A passage of six words or more is looked up by its second to fifth word, which a text that holds it has as whole words;
-    shorter ones, which may begin and end within words, are held against every text.
-    """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    long = b.where(F.size("w") >= 6).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("k"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    runs = F.expr("transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(array_join(slice(w, i, 4), ' ')))")
-    places = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("k"))
-    found = places.join(long.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    whole = found.join(d.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = d.select("doc_id", "text").join(b.where(F.size("w") < 6).select("item_id", "passage"), F.contains("text", "passage")).select("item_id", "doc_id")
-    return whole.unionByName(short).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    """In how many documents each benchmark passage is found word for word: one pass over each document for all passages."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = evidence.find_all(table(spark, sf_dir, "documents").select("doc_id", "text"), passages, "doc_id", "text", "item_id")
+    return found.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+@query("""WITH w AS (SELECT DISTINCT substr(text, 1, 3) AS q FROM benchmark), n AS (SELECT q, row_number() OVER (ORDER BY q) AS quote_id FROM w)
+SELECT doc_id, quote_id, i AS start, i + 3 AS "end" FROM (SELECT doc_id, text, unnest(range(length(text) - 2)) AS i FROM documents WHERE length(text) >= 3) d JOIN n ON substr(d.text, CAST(d.i + 1 AS INT), 3) = n.q""")
+def located_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of the passages' first three letters in all documents, also within words and over one another."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 3).alias("quote")).distinct().withColumn("quote_id", F.row_number().over(Window.orderBy("quote")))
+    return evidence.find_all(table(spark, sf_dir, "documents").select("doc_id", "text"), quotes, "doc_id", "text")
+
+
+#: Documents as vectors, in SQL that both engines read alike: (job_id, pos, evidence_id, quote, source, field, low, high) and (job_id, pos, question, answer, cited).
+VECTORS = "SELECT doc_id AS job_id, text, source AS company FROM documents WHERE length(text) >= 60"
+EVIDENCE_SQL = """SELECT job_id, 0 AS pos, 'a' AS evidence_id, substr(text, 1, 12) AS quote, 'original_jd' AS source, NULL AS field, 0 AS low, 12 AS high FROM v
+UNION ALL SELECT job_id, 1, 'b', substr(text, 31, 6), 'original_jd', NULL, 30, 36 FROM v
+UNION ALL SELECT job_id, 2, 'c', 'never said', 'original_jd', NULL, 40, 50 FROM v WHERE job_id % 4 = 0
+UNION ALL SELECT job_id, 3, 'b', substr(text, 51, 5), 'original_jd', NULL, 50, 55 FROM v WHERE job_id % 6 = 0
+UNION ALL SELECT job_id, 4, 'f', substr(text, 21, 4), 'original_jd', NULL, 20, 24 FROM v WHERE job_id % 9 = 0
+UNION ALL SELECT job_id, 5, 'd', 'rit', 'trusted_metadata', 'title', 1, 4 FROM v WHERE job_id % 5 = 0
+UNION ALL SELECT job_id, 6, 'e', 'x', 'trusted_metadata', NULL, 0, 1 FROM v WHERE job_id % 7 = 0
+UNION ALL SELECT job_id, 7, 'g', repeat('long', 90), 'trusted_metadata', 'title', 0, 360 FROM v WHERE job_id % 15 = 0"""
+ANSWERS_SQL = """SELECT job_id, 0 AS pos, 'q1' AS question, 'yes' AS answer, CASE WHEN job_id % 8 = 0 THEN 'a,zz' ELSE 'a,b' END AS cited FROM v
+UNION ALL SELECT job_id, CASE WHEN job_id % 10 = 0 THEN 2 ELSE 1 END, 'q2', CASE WHEN job_id % 4 = 0 THEN 'yes' ELSE 'no' END, CASE WHEN job_id % 4 = 0 THEN 'c' ELSE '' END FROM v
+UNION ALL SELECT job_id, CASE WHEN job_id % 10 = 0 THEN 1 ELSE 2 END, 'q3', CASE WHEN job_id % 5 = 0 THEN 'yes' ELSE 'no' END, CASE WHEN job_id % 5 = 0 THEN 'd,a' ELSE '' END FROM v WHERE job_id % 11 <> 0
+UNION ALL SELECT job_id, 3, 'q9', 'yes', '' FROM v WHERE job_id % 13 = 0"""
+
+
+@query(f"""WITH v AS ({VECTORS}), e AS ({EVIDENCE_SQL}), n AS ({ANSWERS_SQL}),
+c AS (SELECT job_id, question, i, string_split(cited, ',')[i] AS evidence_id FROM n, range(1, 3) r(i) WHERE cited <> '' AND i <= len(string_split(cited, ','))),
+t AS (SELECT e.*, v.text FROM e JOIN v USING (job_id) WHERE e.source = 'original_jd'),
+s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY source, CASE WHEN source = 'original_jd' THEN low END, quote, evidence_id, pos) AS due, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS is_at FROM e),
+m AS (SELECT c.*, f.source, f.place, f.n FROM c LEFT JOIN (SELECT job_id, evidence_id, arg_min(source, pos) AS source, arg_min(is_at, pos) AS place, arg_min(length(quote), pos) AS n FROM s GROUP BY ALL) f USING (job_id, evidence_id))
+SELECT job_id, evidence_id AS subject, 'repeated_id' AS kind FROM e GROUP BY ALL HAVING count(*) > 1
+UNION SELECT job_id, evidence_id, 'source' FROM e WHERE source <> 'original_jd' AND field IS NULL
+UNION SELECT job_id, evidence_id, 'quote_too_long' FROM e WHERE length(quote) > 320
+UNION SELECT job_id, evidence_id, 'not_found' FROM t WHERE instr(text, quote) = 0 UNION SELECT job_id, 'g', 'not_found' FROM e WHERE evidence_id = 'g'
+UNION SELECT job_id, evidence_id, 'occurrences' FROM t WHERE instr(text, quote) > 0 AND (instr(text, quote) <> low + 1 OR instr(substr(text, low + 2), quote) > 0)
+UNION SELECT job_id, evidence_id, 'catalog_order' FROM s WHERE due <> is_at
+UNION SELECT job_id, evidence_id, 'unreferenced' FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.job_id = e.job_id AND c.evidence_id = e.evidence_id)
+UNION SELECT job_id, 'q3', 'membership' FROM v WHERE job_id % 11 = 0 UNION SELECT job_id, 'q9', 'membership' FROM v WHERE job_id % 13 = 0
+UNION SELECT job_id, q, 'answer_order' FROM v, unnest(['q2', 'q3']) x(q) WHERE job_id % 10 = 0 AND job_id % 11 <> 0
+UNION SELECT job_id, question, 'cardinality' FROM n WHERE question = 'q3' AND len(string_split(cited, ',')) > 1
+UNION SELECT job_id, question, 'unknown_evidence' FROM m WHERE source IS NULL
+UNION SELECT job_id, question, 'unauthorized_source' FROM m WHERE question = 'q3' AND source = 'original_jd'
+UNION SELECT job_id, question, 'unauthorized_field' FROM m WHERE question = 'q3' AND source = 'trusted_metadata'
+UNION SELECT a.job_id, a.question, 'citation_order' FROM m a JOIN m b ON a.job_id = b.job_id AND a.question = b.question AND b.i = a.i + 1 AND b.place <= a.place
+UNION SELECT job_id, question, 'combined_length' FROM m WHERE question = 'q1' GROUP BY ALL HAVING sum(n) > 17""")
+def vector_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as texts that answers cite, with faults: what is wrong with each vector."""
+    v = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select(F.col("doc_id").alias("job_id"), "text", F.col("source").alias("company"))
+    made = lambda sql: spark.sql("WITH v AS (SELECT * FROM {v}) " + sql, v=v)
+    spans = F.array(F.struct(F.col("low").cast("int").alias("start"), F.col("high").cast("int").alias("end")))
+    found = made(EVIDENCE_SQL).withColumn("occurrences", spans).drop("low", "high")
+    answers = made(ANSWERS_SQL).withColumn("evidence", F.when(F.col("cited") == "", F.array().cast("array<string>")).otherwise(F.split("cited", ",")))
+    source = lambda name, field, text_: v.select("job_id", F.lit(name).alias("source"), F.lit(field).cast("string").alias("field"), text_.alias("text"))
+    sources = source("original_jd", None, F.col("text")).unionByName(source("trusted_metadata", "title", F.lit("Writer"))).unionByName(source("trusted_metadata", "company", F.col("company")))
+    jd, meta, none = ["original_jd"], ["trusted_metadata"], []
+    rules = [("q1", 0, "yes", 1, 2, 17, jd, none), ("q2", 1, "yes", 1, 1, 100, jd, none), ("q2", 1, "no", 0, 0, 0, none, none), ("q3", 2, "yes", 1, 1, 100, meta, ["company"]), ("q3", 2, "no", 0, 0, 0, none, none)]
+    return evidence.vector_faults(found, answers, sources, spark.createDataFrame(rules, "question string, pos int, answer string, least int, most int, total int, sources array<string>, fields array<string>"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, sum(CASE WHEN role = 'assistant' THEN 2 WHEN role = 'user' THEN 1 ELSE 0 END) AS units, CAST(floor((20 * sum(CASE WHEN role = 'assistant' THEN 2 WHEN role = 'user' THEN 1 ELSE 0 END) + count(*)) / (2.0 * count(*))) AS INTEGER) AS points, CASE WHEN bool_or(role = 'system') THEN 'Does not meet' ELSE 'Partially qualified' END AS label FROM conversations GROUP BY 1""")
