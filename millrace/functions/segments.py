@@ -88,26 +88,6 @@ def occurrences(text: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([one(t, q) for t, q in zip(text, quote)])
 
 
-def requirement_lines(df: DataFrame, key: str, text: str, most: int = 32) -> DataFrame:
-    """(key, start, line, mandatory): lines that state requirements, at most `most` a text, the first ones.
-
-    A heading ends in a colon, or is a few words without a list mark. A line under a heading of requirements counts until the next heading; elsewhere a line counts if it says must, required or minimum.
-    """
-    from pyspark.sql import Window
-
-    mark = r"^\s*(?:[•*\-–]|\d{1,2}[.)](?=\s))\s*"
-    lines = located_lines(df, key, text).withColumn("clean", F.trim(F.regexp_replace("line", mark, "")))
-    titled = F.col("clean").rlike(r"^[A-Z][A-Za-z']*(?: [A-Za-z']+){0,4}$") & ~F.col("line").rlike(mark)
-    heading = (F.length("clean").between(1, 80)) & (F.col("clean").rlike(r":\s*$") | titled)
-    asks = F.col("clean").rlike(r"(?i)\b(?:requirements?|qualifications?|must[- ]haves?|what you(?:'ll)? (?:bring|need)|preferred)\b")
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("heading", heading).withColumn("section", F.last(F.when(heading, asks), ignorenulls=True).over(w)).withColumn("soft", F.last(F.when(heading, F.col("clean").rlike("(?i)preferred|nice")), ignorenulls=True).over(w))
-    says = F.col("clean").rlike(r"(?i)\b(?:must|required|minimum|at least)\b")
-    found = marked.where(~F.col("heading") & (F.col("clean") != "") & (F.coalesce("section", F.lit(False)) | says))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("start"))
-    return found.withColumn("__n", rank).where(F.col("__n") <= most).select(key, "start", F.col("clean").alias("line"), (~F.coalesce("soft", F.lit(False))).alias("mandatory"))
-
-
 def concept_key(text: Column) -> Column:
     """Slug of a criterion's first twelve normal words and a digest of them all."""
     t = F.lower(text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import classifiers, facts, identity, scoring, text, urls
+from millrace.functions.requirement_rows import requirement_rows
 from millrace.operators import evidence
 from millrace.operators.dedup import duplicate_links, keep_first
 from millrace.plans.registry import query
@@ -143,6 +144,41 @@ def located_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.find_all(table(spark, sf_dir, "documents").select("doc_id", "text"), quotes, "doc_id", "text")
 
 
+#: Parts as descriptions, in SQL that both engines read alike: the lines before each requirement, and the whole.
+LINES = {
+    "years": "concat(p_name, ' is what we sell.\n\n  Requirements:\n')",
+    "licence": "concat('- ', 1 + p_partkey % 9, '+ years of ', p_type, ' sales; valid driver''s license\n')",
+    "soft": "concat('- Must know ', p_brand, ', and 3 references preferred\n')",
+    "optional": "concat('You can say no, a degree is not required, but must travel.\nNice to have\n\t* Knows ', p_name, ', and 2 others\n')",
+    "rest": "concat('Benefits\n😀 You must like ', p_brand, '. Pay is good! At least ', p_partkey % 5, ' days off, minimum.\nCompensation:\nYou must be rich.\n')",
+    "items": "concat('Role-defining qualifications\nPreferred verification item: ', p_brand, ' badge\nRequired verification item: seal of ', p_type)",
+}
+DESCRIPTION = f"concat({', '.join(LINES.values())})"
+REQUIREMENT_ID = "'req-' || substr(sha256(classification || chr(0) || lower(regexp_replace(text, '[.;:,]+$', ''))), 1, 24)"
+
+
+@query(f"""WITH d AS (SELECT *, length({LINES['years']}) AS a, length({LINES['licence']}) AS b, length({LINES['soft']}) AS c, length({LINES['optional']}) AS e, length({LINES['rest']}) AS f FROM part WHERE p_partkey % 3 <> 0),
+r AS (SELECT p_partkey, concat(1 + p_partkey % 9, '+ years of ', p_type, ' sales') AS text, 'required' AS classification, 'REQUIRED EXPERIENCE' AS section, 'explicit_section' AS source, a AS start, a + b - 1 AS "end" FROM d
+UNION ALL SELECT p_partkey, 'valid driver''s license', 'required', 'REQUIRED EXPERIENCE', 'explicit_section', a, a + b - 1 FROM d
+UNION ALL SELECT p_partkey, concat('Knows ', p_name), 'preferred', 'PREFERRED EXPERIENCE', 'explicit_section', a + b + c + length('You can say no, a degree is not required, but must travel.') + length('Nice to have') + 3, a + b + c + e - 1 FROM d
+UNION ALL SELECT p_partkey, '2 others', 'preferred', 'PREFERRED EXPERIENCE', 'explicit_section', a + b + c + length('You can say no, a degree is not required, but must travel.') + length('Nice to have') + 3, a + b + c + e - 1 FROM d
+UNION ALL SELECT p_partkey, concat('😀 You must like ', p_brand, '.'), 'required', 'OTHER', 'mandatory_language', a + b + c + e + 9, a + b + c + e + 9 + length('😀 You must like ') + length(p_brand) + 1 FROM d
+UNION ALL SELECT p_partkey, concat('At least ', p_partkey % 5, ' days off, minimum.'), 'required', 'OTHER', 'mandatory_language', a + b + c + e + 9 + length('😀 You must like ') + length(p_brand) + 1 + length(' Pay is good! '), a + b + c + e + 9 + length('😀 You must like ') + length(p_brand) + 1 + length(' Pay is good! At least 1 days off, minimum.') FROM d
+UNION ALL SELECT p_partkey, concat(p_brand, ' badge'), 'preferred', 'ROLE-DEFINING QUALIFICATIONS', 'explicit_section', a + b + c + e + f + 29, a + b + c + e + f + 29 + length('Preferred verification item: ') + length(p_brand) + 6 FROM d
+UNION ALL SELECT p_partkey, concat('seal of ', p_type), 'required', 'ROLE-DEFINING QUALIFICATIONS', 'explicit_section', a + b + c + e + f + 29 + length('Preferred verification item: ') + length(p_brand) + 7, a + b + c + e + f + 29 + length('Preferred verification item: ') + length(p_brand) + 7 + length('Required verification item: seal of ') + length(p_type) FROM d
+UNION ALL SELECT p_partkey, concat('Primary core function of the ', p_name), 'required', 'OTHER', 'core_function', 0, 0 FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0)
+SELECT p_partkey, {REQUIREMENT_ID} AS requirement_id, text, classification, section, source, start, "end", CASE WHEN text IS NOT NULL THEN source <> 'core_function' AND classification = 'required' END AS mandatory, CASE WHEN text IS NULL THEN 'too_many' END AS fault FROM r""")
+def stated_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as descriptions: the requirements that each states, with their places; some state none and some too many."""
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(33)), lambda i: F.concat(F.lit("Must do "), i)), ". ")
+    k = F.col("p_partkey")
+    text_ = F.when(k % 3 != 0, F.expr(DESCRIPTION)).when(k % 2 == 0, F.lit("Nothing is asked here")).otherwise(many)
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_name", text_.alias("description"))
+    made = requirement_rows(d, "description", "p_name", [r"(?i)\bpay transparency\b"])
+    return made.select("p_partkey", "requirement_id", "text", "classification", "section", "source", "start", "end", "mandatory", "fault")
+
+
 #: Documents as vectors, in SQL that both engines read alike: (job_id, pos, evidence_id, quote, source, field, low, high) and (job_id, pos, question, answer, cited).
 VECTORS = "SELECT doc_id AS job_id, text, source AS company FROM documents WHERE length(text) >= 60"
 EVIDENCE_SQL = """SELECT job_id, 0 AS pos, 'a' AS evidence_id, substr(text, 1, 12) AS quote, 'original_jd' AS source, NULL AS field, 0 AS low, 12 AS high FROM v
