@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import classifiers, identity, paths, places, text
-from millrace.operators import assessments, dedup, freshness, maintenance, queues, requirements
+from millrace.operators import arrivals, assessments, dedup, freshness, maintenance, queues, requirements
 from millrace.plans.registry import query
 from millrace.tables import table
 
@@ -291,6 +291,27 @@ def held_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.matches_held(post(c, title=F.lit(" west")).drop("created_at"), held, now)
 
 
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'new' WHEN 5 THEN 'new' WHEN 7 THEN 'new' WHEN 1 THEN 'source_observation' WHEN 6 THEN 'source_observation' WHEN 2 THEN 'stable_identity' WHEN 8 THEN 'stable_identity' WHEN 3 THEN 'enriched_stable_identity' ELSE 'concurrent_identity' END AS kind,
+CASE o_orderkey % 10 WHEN 2 THEN o_orderkey - 2 WHEN 3 THEN o_orderkey - 3 WHEN 4 THEN o_orderkey - 4 WHEN 8 THEN o_orderkey - 1 WHEN 9 THEN -o_orderkey END AS match FROM orders""")
+def arriving_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as arriving postings, ten of which belong together: one from a feed, one again, copies by other feeds, at once and after enrichment, one that differs
+    in its source's spelling, another text, one observed before, two at the address of a copy, and one whose identity an old posting has."""
+    k, none, now = F.col("o_orderkey"), F.lit(None).cast("string"), F.lit(dt.datetime(2026, 1, 1))
+    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("b", F.floor(k / 10).cast("string"))
+    pick = lambda default, **by: F.element_at(F.array(*[by.get(f"r{i}", default) for i in range(10)]), (k % 10 + 1).cast("int"))
+    words = lambda what: F.repeat(F.concat(F.lit(f"{what} "), F.col("b"), F.lit(" and more of it ")), 30)
+    lone, text_, address = F.concat(F.lit("short "), k), words("duty"), F.concat(F.lit("https://jobs.example.com/jobs/"), F.col("b"), F.lit("-opening"))
+    feed, own = F.lit("feed"), F.concat(F.lit("s"), F.col("b"))
+    rows = o.select(
+        k.alias("id"), k.alias("turn"), F.lit("Seller").alias("title"), F.concat(F.lit("Company "), F.col("b")).alias("company"), F.lit("Edina, MN").alias("location"), pick(lone, r0=text_, r1=text_, r2=text_, r5=words("task")).alias("description"),
+        pick(none, r2=address, r7=address, r8=address).alias("url"), pick(F.concat(F.lit("other"), k % 10), r0=feed, r1=feed, r4=F.lit("FEED"), r6=F.lit("past"), r9=F.lit("old")).alias("source"), pick(F.concat(F.lit("id"), k), r0=own, r1=own, r4=F.upper(own)).alias("source_id"), pick(lone, r0=text_, r1=text_, r2=text_, r3=text_, r5=words("task")).alias("d"),
+    )
+    final = {"final_title": F.lit("Seller"), "final_company": F.col("company"), "final_description": F.col("d"), "final_url": F.col("url")}
+    held = rows.where("id % 10 = 9").select((-F.col("id")).alias("id"), "title", "company", "location", F.lit("gone").alias("description"), "url", "source", "source_id").withColumn("created_at", now - F.make_dt_interval(days=F.lit(99)))
+    seen = rows.where("id % 10 = 6").select("source", "source_id")
+    return arrivals.resolve(rows.withColumns(final).drop("d").repartition(7), held, seen, now)
+
+
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9+#-]+', ' ', 'g')) AS title, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'all') AS family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS stem FROM part""")
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.role_title(F.col("p_name")).alias("title"), text.query_key(F.col("p_type")).alias("family"), text.company_stem(F.col("p_brand")).alias("stem"))
