@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.json_schema import violations
+from millrace.operators import exports
 from millrace.plans.registry import query
-from millrace.tables import table
+from millrace.tables import shared_path, table
 
 #: What an event's message must look like.
 MESSAGE = {
@@ -69,3 +70,35 @@ def message_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages, some with faults: each rule of the schema that one breaks, and where."""
     m = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(MESSAGE_SQL).alias("m"))
     return m.select("id", F.explode(violations(F.col("m"), MESSAGE)).alias("v")).select("id", "v.path", "v.rule")
+
+
+PAYLOAD_SQL = """concat('{"id":', doc_id, ',"hash":"', CASE WHEN doc_id % 50 = 7 THEN repeat('x', 1500) WHEN doc_id % 50 < 30 THEN '' ELSE repeat('y', CAST(doc_id % 50 * 9 AS INT)) END, '","lang":"', lang, '"}')"""
+#: Small bounds, so that both are met.
+ITEMS, BYTES = 7, 2000
+
+
+def export_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(PAYLOAD_SQL).alias("payload"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PAYLOAD_SQL} AS payload FROM documents), n AS (SELECT *, strlen(payload) + 1 AS n, strlen(payload) + 1 > {BYTES // 2} AS big FROM p),
+o AS (SELECT *, coalesce(sum(n) OVER w, 0) // {BYTES // 2} AS bucket, coalesce(sum(big::INT) OVER w, 0) AS bigs FROM n WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, row_number() OVER (PARTITION BY bigs, big, bucket ORDER BY doc_id) - 1 AS i FROM o)
+SELECT printf('%08d-%d-%08d-%05d', bigs::BIGINT, big::INT, bucket::BIGINT, i // {ITEMS}) AS file, count(*) AS n_items, sum(n)::BIGINT AS bytes, sha256(string_agg(concat(i % {ITEMS}, ':', doc_id, ':', sha256(payload)), chr(10) ORDER BY i)) AS manifest_hash FROM r GROUP BY 1""")
+def export_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into small files by running sums, with each file's manifest."""
+    return exports.manifests(exports.pack(export_items(spark, sf_dir), "doc_id", "payload", ITEMS, BYTES))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS key, unnest(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'missing' END, CASE WHEN doc_id % 11 = 1 THEN 'hash' END, CASE WHEN doc_id % 11 = 2 THEN 'order' END, CASE WHEN doc_id % 11 = 3 THEN 'repeated' END, CASE WHEN doc_id % 11 = 4 THEN 'version' END], lambda x: x IS NOT NULL)) AS fault FROM documents
+UNION ALL SELECT concat('x', doc_id), 'extra' FROM documents WHERE doc_id % 11 = 5""")
+def export_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export that is written and read back is sound; results of it that lack members, have others, and were tampered with are told, each by its fault."""
+    folder = shared_path(spark, "export")
+    exports.write_export(exports.pack(export_items(spark, sf_dir), "doc_id", "payload", ITEMS, BYTES), folder)
+    items, manifest = exports.read_export(spark, folder)
+    k, same = F.col("key").cast("long") % 11, items.withColumn("policy", F.lit("v1")).where("key % 11 <> 0")
+    changed = same.select("file", F.when(k == 2, F.col("ordinal") + 100).otherwise(F.col("ordinal")).alias("ordinal"), "key", F.when(k == 1, F.sha2("key", 256)).otherwise(F.col("input_hash")).alias("input_hash"), F.when(k == 4, F.lit("v0")).otherwise(F.col("policy")).alias("policy"))
+    more = changed.where("key % 11 = 3").unionByName(changed.where("key % 11 = 5").withColumn("key", F.concat(F.lit("x"), "key")))
+    sound = exports.faults(items, manifest).select("key", "fault")
+    return exports.faults(changed.unionByName(more), manifest, {"policy": "v1"}).select("key", "fault").unionByName(sound)
