@@ -104,12 +104,22 @@ def bound_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_hash(c, ["c_name", "c_custkey", "c_mktsegment"]).select("c_custkey", "input_hash")
 
 
-PLACES = ["Minneapolis, MN", "Remote", "Austin, TX", "London", "Duluth, MN", "United States", "Worldwide", "2 Locations; London", "Remote - US or London", "", "Hudson", "DE - Berlin"]
-PASSES = [True, True, False, False, False, True, False, False, True, True, False, False]
-
-
-@query(f"SELECT n_nationkey, list_extract({PASSES}, CAST(n_nationkey % 12 AS INT) + 1) AS passes FROM nation".replace("True", "true").replace("False", "false"))
+#: Locations, a form of each kind and near misses, by whether they are in reach. A slash parts options, so that N/A is two places without a name.
+IN_REACH = [
+    "Minneapolis, MN", "Remote", "remote - usa", "Remote, U.S. only", "Virtual, anywhere USA", "Remote all US", "US - Remote", "USA remote-first", "United States work from home", "United States", "United States of America", "MN", "Remote - Minnesota",
+    "Minnesota, USA", "Minnesota, United States - virtual", "Blaine, MN", "Hudson, WI", "River Falls Wisconsin", "Austin, TX or Edina, MN", "London; St. Paul", "Multiple locations", "n locations", "3 Locations", "Not specified", "Unknown", "Unknown location",
+    "ＭＮ", "(Remote)", "[St Paul]", "Work at home", "Home-based", "Remotely based", "Distributed", "flexible", "55401", "Remote—US", "Remote - US or London", "", None, "Winona, MN / Plymouth", "Saint Paul | Dallas, TX", "  Eagan  ",
+]
+OUT_OF_REACH = [
+    "Austin, TX", "London", "Duluth, MN", "Worldwide", "Anywhere on earth", "Bloomington, IN", "DE - Berlin", "NL Nieuwegein", "Remote PL", "IN-Indianapolis", "USA distributed", "US - flexible", "Crystal City, VA", "Remote in Texas", "Rochester", "Madison, WI",
+    "Canada (remote)", "2 Locations; London", "Portland (OR)", "TX", "Stillwater, OK", "Remote EMEA", "Hudson", "Ohio", "55901", "Minnesotan", "Unknown place", "Toronto or Paris", "all locations", "N/A",
+]
+PLACES = [(p, True) for p in IN_REACH] + [(p, False) for p in OUT_OF_REACH]
+PLACES_SQL = ", ".join(f"({i}, {str(ok).lower()})" for i, (_, ok) in enumerate(PLACES))
+
+
+@query(f"SELECT c_custkey, passes FROM customer JOIN (VALUES {PLACES_SQL}) v(i, passes) ON c_custkey % {len(PLACES)} = v.i")
 def location_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of twelve locations, one for each nation in turn; the SQL holds the verdicts that are expected."""
-    place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("n_nationkey") % 12 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", places.triage(F.lit("Account Manager"), place)["pass"].alias("passes"))
+    """Verdicts of locations, one for each customer in turn; the SQL holds the verdicts that are expected."""
+    place = F.element_at(F.array(*[F.lit(p).cast("string") for p, _ in PLACES]), (F.col("c_custkey") % len(PLACES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", places.triage(F.lit("Account Manager"), place)["pass"].alias("passes"))

@@ -103,9 +103,34 @@ def first_matching_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", reason.isNull().alias("passes"), F.coalesce(reason, F.lit(classifiers.PASSED)).alias("reason"))
 
 
-@query()
+#: What is put before and after a text, by doc_id in turn: pages that are gone, closed, shells, sites or requests, what only looks like them, duties, qualifications and cut ends.
+WRAPS = [
+    ("", ""), ("404 Not Found. ", ""), ("HTTP: 404 ", ""), ("Call 1-888-404-2494 now. ", ""), ("The page you were looking for doesn't exist. ", ""), ("", " This position has been filled."), ("", " Applications are no longer accepted for this posting!"), ("", " If the position is filled, applications may close."), ("", " Until then; the job is closed"),
+    ("", " Once the requisition is cancelled"), ("Cookie preferences. Accept all cookies. ", ""), ("Manage cookies. Your requirements: ", ""), ("Join Remote OK. Frontpage. Dark mode. Top jobs. ", ""), ("Join Remote OK. Frontpage. Dark mode. ", ""), ("Returning applicant? Sign in to apply. ", ""), ("Search jobs. Key duties. Diploma. ", ""),
+    ("Saved jobs. Responsibilities. ", ""), ("What the job actually is. ", ""), ("This role is broad and involves much. ", ""), ("You maintain some large territories. ", ""), ("You need more. ", ""), ("Key accountabilities. Previous experience. ", ""), ("What we’re looking for. What you’ll work on. ", ""), ("Your impact. ", "..."), ("Who you are. In this role ", "…"), ("2+ years. ", ""),
+]
+WRAP_SQL = ", ".join("({}, '{}', '{}')".format(i, *[w.replace("'", "''") for w in pair]) for i, pair in enumerate(WRAPS))
+
+
+def re_sql(value: str, *patterns: str) -> str:
+    """SQL for whether one of the patterns is found."""
+    return "(" + " OR ".join(f"regexp_matches({value}, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+
+
+BEFORE_SQL = "regexp_extract(s, '(?s)^(.*?)" + classifiers.CLOSED.replace("'", "''") + "', 1)"
+SHELL_TEXT = classifiers.PAGE_SHELL
+
+
+@query(rf"""WITH w AS (SELECT doc_id, source, trim(regexp_replace(concat(head, text, tail), '[\s\x00]+', ' ', 'g')) AS t FROM documents JOIN (VALUES {WRAP_SQL}) v(i, head, tail) ON doc_id % {len(WRAPS)} = v.i),
+f AS (SELECT *, length(t) AS n, {re_sql('t', *classifiers.DUTIES)} AS duties, {re_sql('t', *classifiers.QUALIFICATIONS)} AS qualifications, {re_sql('t', classifiers.GONE)} AS gone, {re_sql('t', classifiers.COOKIES)} AND NOT {re_sql('t', classifiers.WORK)} AS cookies, {re_sql('t', classifiers.SHELL)} AS shell,
+  {re_sql('t', classifiers.SITE)} AND {' + '.join(f"CAST({re_sql('t', p)} AS INT)" for p in classifiers.NAVIGATION)} >= 3 AS chrome,
+  len(list_filter(regexp_split_to_array(t, '[.!?;\n]'), lambda s: {re_sql('s', classifiers.CLOSED)} AND NOT ({re_sql(BEFORE_SQL, classifiers.CONDITION)} AND {re_sql(BEFORE_SQL, classifiers.APPLYING)}))) > 0 AS closed FROM w),
+r AS (SELECT doc_id, CASE WHEN t = '' OR gone OR closed OR (cookies AND n < 2000) OR chrome OR (shell AND NOT (duties AND qualifications)) THEN '{SHELL_TEXT}' WHEN n < 650 THEN 'fewer than 650 usable characters' WHEN regexp_matches(t, '(?:\.\.\.|…)$') AND n < 2000 THEN 'visibly truncated description'
+  WHEN source = 'src0' OR n >= 1500 THEN NULL WHEN NOT duties THEN 'no usable role duties' WHEN NOT qualifications THEN 'no usable qualifications' END AS reason FROM f) SELECT doc_id, reason IS NULL AS scorable, reason FROM r""")
 def scorable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = classifiers.description_quality(F.col("text"), F.col("source") == "src0")
+    """Texts with parts of pages around them: whether they can be scored, else why not."""
+    wrap = lambda k: F.element_at(F.array(*[F.lit(w[k]) for w in WRAPS]), (F.col("doc_id") % len(WRAPS) + 1).cast("int"))
+    q = classifiers.description_quality(F.concat(wrap(0), F.col("text"), wrap(1)), F.col("source") == "src0")
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.scorable", "q.reason")
 
 

@@ -231,3 +231,29 @@ def test_feeds(spark):
     boards = spark.createDataFrame([("lever", "acme-corp", '[{"text":"Rep","id":"1","hostedUrl":"h","categories":{"location":"MN"}}]'), ("workday", "acme.wd5::Site", '{"jobPostings":[{"title":"Rep","externalPath":"/job/x_R1","locationsText":"2 Locations"}]}'), ("greenhouse", "g", '{"name":"Gee","jobs":[{"title":"T","id":9,"absolute_url":"a","location":{"name":"Here"}}]}'), ("workable", "w", '{"results":[{"title":"T","id":3,"shortcode":"SC","location":{"city":"C","region":"R"}}]}')], "platform string, slug string, body string")
     got = {x["source"]: (x["company"], x["location"], x["url"], x["source_id"]) for x in (r.asDict() for r in feeds.normalised_boards(boards, now).collect())}
     assert got == {"ATS-lever": ("Acme Corp", "MN", "h", "1"), "ATS-workday": ("acme", "2 Locations", "https://acme.wd5.myworkdayjobs.com/en-US/Site/job/x_R1", "/job/x_R1"), "ATS-greenhouse": ("Gee", "Here", "a", "9"), "ATS-workable": ("w", "C, R", "https://apply.workable.com/w/j/SC", "3")}
+
+
+def test_work_base_sentences(spark):
+    v = F.col("v1")
+    sentences = {
+        places.needs_territory: ["You must live in the assigned territory.", "need to reside within the territories", "located within the sales territory is required"],
+        places.excludes_remote: ["This role is not remote", "Not a remote job", "It cannot be remote.", "non-remote", "Remote work is not offered", "There is no remote work", "Remote-only candidates won't do", "On-site only", "office based only"],
+        places.needs_presence: ["A hybrid position", "The job will be hybrid", "On-site attendance", "You are expected to report daily in our office", "Three days a week at the office", "working from our nice office"],
+        places.needs_residency: ["Applicants are required to currently be based here", "You must reside near", "Only open to candidates who live close", "A remote role restricted to some", "You must be within commuting distance"],
+    }
+    for f, said in sentences.items():
+        others = ["Territories are large", "Remote roles exist", "Hybrid cars", "A week in May", "must relocate", ""]
+        assert many(spark, f(v), [*said, *others]) == [True] * len(said) + [False] * len(others), f.__name__
+    assert many(spark, places.needs_presence(v, metadata=True), ["Hybrid cars", "Remote"]) == [True, False]
+
+
+def test_whole_patterns_of_pages(spark):
+    v = F.col("v1")
+    gone = ["404 Not Found", "status: 404", "404 - page", "Page you were looking for does not exist", "Call 1-888-404-2494", "room 404"]
+    assert many(spark, v.rlike(classifiers.GONE), gone) == [True] * 4 + [False] * 2
+    closed = ["Job no longer posted", "posting is no longer accepting applications", "Applications are no longer being accepted", "applications are no longer accepted for this job", "the requisition is canceled", "When the posting is closed, applicants hear", "If so. The job is closed", "Until it is filled; position is filled"]
+    assert many(spark, classifiers.says_closed(v), closed) == [True] * 5 + [False, True, True]
+    duties = ["Position overview", "what you’ll work on", "your role today includes it", "grow our regional accounts", "own a car", "your rolex will"]
+    assert many(spark, classifiers.matches_any(v, classifiers.DUTIES), duties) == [True] * 4 + [False] * 2
+    needs = ["what we're looking for", "what you need", "a licence", "diploma", "equivalent experience", "kneeding", "we need it"]
+    assert many(spark, classifiers.matches_any(v, classifiers.QUALIFICATIONS), needs) == [True, True, True, True, True, False, True]
