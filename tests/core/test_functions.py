@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import classifiers, facts, identity, scoring, text, urls
+from millrace.functions import classifiers, facts, identity, places, scoring, text, urls
 from millrace.functions.rates import coverage, precise_rate, reconciles, safe_rate
 from millrace.functions.times import catch_up_window, epoch_instant, local_day
 from millrace.operators import control, dedup, predicates, ranking, setops
@@ -251,7 +251,7 @@ def test_whole_patterns_of_pages(spark):
     v = F.col("v1")
     gone = ["404 Not Found", "status: 404", "404 - page", "Page you were looking for does not exist", "Call 1-888-404-2494", "room 404"]
     assert many(spark, v.rlike(classifiers.GONE), gone) == [True] * 4 + [False] * 2
-    closed = ["Job no longer posted", "posting is no longer accepting applications", "Applications are no longer being accepted", "applications are no longer accepted for this job", "the requisition is canceled", "When the posting is closed, applicants hear", "If so. The job is closed", "Until it is filled; position is filled"]
+    closed = ["Job no longer posted", "posting is no longer accepting applications", "Applications are no longer being accepted", "applications are no longer accepted for this job", "the requisition is canceled", "When applications end and the posting is closed", "If so. The job is closed", "Until it is filled; position is filled"]
     assert many(spark, classifiers.says_closed(v), closed) == [True] * 5 + [False, True, True]
     duties = ["Position overview", "what you’ll work on", "your role today includes it", "grow our regional accounts", "own a car", "your rolex will"]
     assert many(spark, classifiers.matches_any(v, classifiers.DUTIES), duties) == [True] * 4 + [False] * 2
