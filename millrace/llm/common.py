@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections import defaultdict
@@ -81,6 +84,14 @@ def workers_import(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives memory that is no longer used back to the system. Workers are used again by later stages, and what allocators keep for them counts against an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call outside of glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def remainder(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string")) % n
@@ -97,6 +108,18 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+def slices_of(texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+    """Texts in runs of about SLICE_BYTES."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > SLICE_BYTES:
+            yield texts[start:k]
+            start, held = k, 0
+        held += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
 def words_in(texts: Sequence[bytes | None]) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts as one binary array, and how many each text has."""
     data = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts], b""]), np.uint8)
@@ -219,6 +242,7 @@ def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dic
     sent = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").cast("string").cast("binary").alias("__text"), *extra)
 
     def run(batches):
+        trim()
         work = setup()
         kinds = [arrow_type(t) for _, t in fields]
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, labelled, map_texts, sample_rows, sums, texts_of, words_in, workers_import
+from millrace.llm.common import Growing, WordCodes, labelled, map_texts, sample_rows, slices_of, sums, texts_of, trim, words_in, workers_import
 
 #: At most so many labelled texts of each language are learned from; a fifth of them calibrates.
 FIT_ROWS = 600
@@ -126,7 +126,7 @@ def examples(texts: list[bytes], langs: np.ndarray, rng: np.random.Generator, bu
             lo, hi = ends[a] - n[a], ends[b - 1]
             if hi > lo:
                 found, count = np.unique(ids[lo:hi], return_counts=True)
-                rows.append((found.astype(np.uint32), (count / (hi - lo)).astype(np.float32)))
+                rows.append((found.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), (count / (hi - lo)).astype(np.float32)))
                 y.append(lang)
     return rows, np.array(y, np.int64)
 
@@ -173,7 +173,8 @@ def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, width: i
             emb[used] -= lr * d_emb / np.sqrt(emb_sq[used])[:, None]
     model = Model(names, (emb @ out).astype(np.float64), bias.astype(np.float64))
     rest = held if held.any() else np.ones(len(y), bool)
-    logits, some = Scorer(model).logits([v for v, h in zip(texts, rest) if h])
+    scorer, left = Scorer(model), [v for v, h in zip(texts, rest) if h]
+    logits, some = (np.concatenate(x) for x in zip(*[scorer.logits(part) for part in slices_of(left)])) if left else (np.zeros((0, len(names))), np.zeros(0, bool))
     logits, truth = logits[some], y[rest][some]
     if len(truth):
         loss = lambda s: -np.log(softmax(logits / s)[np.arange(len(truth)), truth] + 1e-12).mean()
@@ -198,6 +199,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     held = texts_of(docs, sample_rows(known, key, rows, "__lang"), key, text).where("__text is not null").select("__id", F.col("__text").cast("binary").alias("__text"), "__lang")
 
     def learn(batches):
+        trim()
         rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[0] for r in rows], [r[1] for r in rows]))], pa.binary())], names=["model"])
 
@@ -206,110 +208,6 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return pickle.loads(made[0].model) if made else Model()
 
 
-def predict(self, texts: list) -> tuple[list, np.ndarray]:
-        if not self.model.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        x, some = self.logits(texts)
-        p = softmax(x / self.model.temperature)
-        best = p.argmax(axis=1)
-        score = np.where(some, p[np.arange(len(p)), best], 0.0)
-        return [self.model.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.clip(score, 0, 1)
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def examples(texts: list[bytes], langs: np.ndarray, rng: np.random.Generator, buckets: int) -> tuple[list, np.ndarray]:
-    """(subwords, their shares) of whole texts and of two short runs of each one's words, and their languages."""
-    rows, y = [], []
-    for t, lang in zip(texts, langs):
-        ids, n = subwords([letters(w) for w in t.decode("utf-8", "replace").split()], buckets)
-        if not len(ids):
-            continue
-        ends = np.cumsum(n)
-        spans = [(0, len(n))]
-        for _ in range(2):
-            a = int(rng.integers(0, len(n)))
-            spans.append((a, min(len(n), a + int(rng.integers(2, 13)))))
-        for a, b in spans:
-            lo, hi = ends[a] - n[a], ends[b - 1]
-            if hi > lo:
-                found, count = np.unique(ids[lo:hi], return_counts=True)
-                rows.append((found.astype(np.uint32), (count / (hi - lo)).astype(np.float32)))
-                y.append(lang)
-    return rows, np.array(y, np.int64)
-
-
-def together(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """The subwords of some examples, and the examples' shares of each."""
-    used, at = np.unique(np.concatenate([ids for ids, _ in rows]), return_inverse=True)
-    shares = np.zeros((len(rows), len(used)), np.float32)
-    shares[np.repeat(np.arange(len(rows)), [len(ids) for ids, _ in rows]), at] = np.concatenate([w for _, w in rows])
-    return used, shares
-
-
-def train(texts: list[bytes], langs: list[str], buckets: int = BUCKETS, width: int = WIDTH, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Model:
-    """Stochastic gradient descent on four fifths of the texts; temperature and threshold come from the others."""
-    names = sorted(set(langs))
-    if not names:
-        return Model()
-    y = np.array([names.index(v) for v in langs])
-    rng = np.random.default_rng(seed)
-    held = rng.random(len(y)) < 0.2 if len(y) >= 20 else np.zeros(len(y), bool)
-    x, t = examples([v for v, h in zip(texts, held) if not h], y[~held], rng, buckets)
-    emb = rng.normal(0, 0.1, (buckets, width)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (width, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    emb_sq, out_sq, bias_sq = np.full(buckets, 1e-10, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(len(names), 1e-2, np.float32)
-    step, total = 0, max(1, rounds * ((len(x) + 31) // 32))
-    for _ in range(rounds):
-        order = rng.permutation(len(x))
-        for a in range(0, len(x), 32):
-            b = order[a : a + 32]
-            lr = rate * (1 - step / total)  # each row's and weight's step is divided by the root of its squared gradients so far
-            step += 1
-            used, sub = together([x[i] for i in b])
-            h = sub @ emb[used]
-            g = softmax(h @ out + bias)
-            g[np.arange(len(b)), t[b]] -= 1
-            g /= len(b)
-            back = g @ out.T
-            d_out, d_bias, d_emb = h.T @ g, g.sum(axis=0), sub.T @ back
-            out_sq += d_out**2
-            bias_sq += d_bias**2
-            emb_sq[used] += (d_emb**2).mean(axis=1)
-            out -= lr * d_out / np.sqrt(out_sq)
-            bias -= lr * d_bias / np.sqrt(bias_sq)
-            emb[used] -= lr * d_emb / np.sqrt(emb_sq[used])[:, None]
-    model = Model(names, (emb @ out).astype(np.float64), bias.astype(np.float64))
-    rest = held if held.any() else np.ones(len(y), bool)
-    logits, some = Scorer(model).logits([v for v, h in zip(texts, rest) if h])
-    logits, truth = logits[some], y[rest][some]
-    if len(truth):
-        loss = lambda s: -np.log(softmax(logits / s)[np.arange(len(truth)), truth] + 1e-12).mean()
-        model.temperature = float(min(np.geomspace(0.2, 20, 60), key=loss))
-        p = softmax(logits / model.temperature)
-        model.threshold = rejection(p.max(axis=1), p.argmax(axis=1) == truth)
-    return model
-
-
-def rejection(confidence: np.ndarray, right: np.ndarray) -> float:
-    """The smallest threshold such that texts below it are more often wrong than right, at most REJECT_MOST."""
-    order = np.argsort(confidence)
-    wrong = np.cumsum(np.where(right[order], -1, 1))
-    if not len(wrong) or wrong.max() <= 0:
-        return 0.0
-    return float(min(confidence[order][int(wrong.argmax())] + 1e-9, REJECT_MOST))
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """Learns from at most `rows` texts of each language that is known of any row; none: every text gets `und`. One task learns from the bounded sample, and only the model goes to the driver. Of rows that repeat a key the least language and the least text count."""
-    known = labelled(docs.where(F.col(text).isNotNull()), key, lang, "__lang")
-    held = texts_of(docs, sample_rows(known, key, rows, "__lang"), key, text).where("__text is not null").orderBy("__id").collect()
-    return train([r["__text"].encode("utf-8", "replace") for r in held], [r["__lang"] for r in held])
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list | None = None, pred: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:
     """Adds the language, its calibrated probability and whether it is rejected to every row.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, slices, spread, sums, texts_of, words_in, workers_import, written
+from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, slices, spread, sums, texts_of, trim, words_in, workers_import, written
 
 #: At most so many labelled texts of each class give the class counts, and so many of both the calibration.
 COUNT_ROWS = 2000
@@ -400,6 +400,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     rows = map_texts(held, "__text", setup, [("x", T.ArrayType(T.DoubleType()))], ["y"]).collect()
     model.weights = calibrate(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    del found, words, starts, rows
+    trim()  # the counts were the driver's
     return model
 
 
