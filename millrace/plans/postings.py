@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import classifiers, identity, paths, places, text
-from millrace.operators import arrivals, assessments, dedup, freshness, maintenance, queues, requirements
+from millrace.operators import arrivals, assessments, dedup, freshness, invalidation, maintenance, queues, requirements
 from millrace.plans.registry import query
 from millrace.tables import table
 
@@ -291,6 +291,29 @@ def held_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.matches_held(post(c, title=F.lit(" west")).drop("created_at"), held, now)
 
 
+FIELDS = [["title", "url"], ["url", "source", "url"], []]
+
+
+@query(f"""WITH {JOBS_SQL}, {SCORES_SQL}, c AS (SELECT o_orderkey AS job_id, o_orderkey % 3 = 0 AS extracts, 'job-input-edited:' || CASE o_orderkey % 3 WHEN 0 THEN 'title,url' WHEN 1 THEN 'source,url' ELSE 'forced_rescore' END AS reason FROM orders WHERE o_orderkey % 4 = 0),
+n AS (SELECT * FROM s WHERE NOT stale QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, id DESC) = 1),
+b AS (SELECT l_suppkey, min(job_id) AS job_id FROM lineitem JOIN c ON l_orderkey = job_id WHERE l_linenumber % 2 = 0 AND l_suppkey % 3 = 0 GROUP BY 1)
+SELECT 'event' AS ledger, s.id, job_id, 'stale' AS action, reason FROM s JOIN c USING (job_id) WHERE NOT stale
+UNION ALL SELECT 'artifact', CAST(job_id AS VARCHAR), job_id, 'stale', reason FROM c WHERE job_id % 5 <> 0
+UNION ALL SELECT 'extraction', CAST(job_id AS VARCHAR), job_id, 'stale', reason FROM c WHERE job_id % 7 <> 0 AND extracts
+UNION ALL SELECT 'batch', CAST(l_suppkey AS VARCHAR), job_id, 'superseded', reason FROM b JOIN c USING (job_id)
+UNION ALL SELECT 'job', CAST(j.id AS VARCHAR), j.id, 'requeued', reason FROM c JOIN j ON j.id = c.job_id JOIN n ON n.job_id = c.job_id WHERE NOT j.staged AND n.projection = j.status AND j.id NOT IN (SELECT job_id FROM e WHERE event_type = 'user_reject')""")
+def edit_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every fourth order's job: what becomes stale in five ledgers, and why."""
+    held = jobs(spark, sf_dir)
+    k = F.col("id")
+    changes = held.where("id % 4 = 0").select(k.alias("job_id"), F.element_at(F.array(*[F.array(*map(F.lit, f)).cast("array<string>") for f in FIELDS]), (k % 3 + 1).cast("int")).alias("fields"))
+    of_jobs = lambda by: held.select(k, k.alias("job_id"), F.when(k % by == 0, F.lit(dt.datetime(2026, 1, 1))).alias("stale_at"))
+    li = table(spark, sf_dir, "lineitem")
+    items = li.select(F.col("l_suppkey").alias("batch_id"), F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linenumber") % 2 == 0, "leased").otherwise("done").alias("status"))
+    batches = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "exported").otherwise("imported").alias("status"))
+    return invalidation.cascade(changes, {"event": score_events(spark, sf_dir), "artifact": of_jobs(5), "extraction": of_jobs(7)}, items, batches, held, job_events(spark, sf_dir))
+
+
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'new' WHEN 5 THEN 'new' WHEN 7 THEN 'new' WHEN 1 THEN 'source_observation' WHEN 6 THEN 'source_observation' WHEN 2 THEN 'stable_identity' WHEN 8 THEN 'stable_identity' WHEN 3 THEN 'enriched_stable_identity' ELSE 'concurrent_identity' END AS kind,
 CASE o_orderkey % 10 WHEN 2 THEN o_orderkey - 2 WHEN 3 THEN o_orderkey - 3 WHEN 4 THEN o_orderkey - 4 WHEN 8 THEN o_orderkey - 1 WHEN 9 THEN -o_orderkey END AS match FROM orders""")
 def arriving_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
