@@ -22,7 +22,11 @@ def word_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", w.alias("words"), identity.description_signature(w).alias("signature"))
 
 
-@query()
+#: Normal words of a text without markup, accents taken off.
+PLAIN_SQL = "trim(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, CAST(length({PLAIN_SQL}) AS BIGINT) AS n, CASE WHEN length({PLAIN_SQL}) >= 250 THEN sha256({PLAIN_SQL}) END AS signature FROM documents")
 def description_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As word_signatures, with accents decomposed and markup cleaned."""
     w = text.words(text.clean_html("text"))
@@ -264,7 +268,8 @@ def criteria_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "n_turns", "units", scoring.preferred_points(F.col("outcomes")).alias("points"), scoring.criterion_score(F.col("criteria"))["label"].alias("label"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, lang, {PLAIN_SQL} AS w FROM documents), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, w) AS first FROM w WHERE length(w) >= 250)
+SELECT doc_id AS id, first AS duplicate_of, 'description' AS why FROM f WHERE first < doc_id""")
 def document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings of a company for each language: which repeat an earlier long text word for word."""
     d = table(spark, sf_dir, "documents")
