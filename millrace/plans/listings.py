@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import text, urls
+from millrace.functions import identity, text, urls
 from millrace.operators import control, dedup
 from millrace.plans.postings import nth, nth_sql
 from millrace.plans.registry import query
@@ -154,3 +154,23 @@ def suppressed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '[/?#].*$', '') AS host FROM pages""")
 def bare_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(urls.host(F.col("url")), r"^www\.", "").alias("host"))
+
+
+HOSTS = {"Jobs.Lever.CO": "Lever", "acme.wd5.MyWorkdayJobs.com": "Workday", "boards.greenhouse.io": "Greenhouse", "Example.ORG": "Unknown", "x.bamboohr.com": "BambooHR"}
+#: Addresses made of parts: scheme, host, port, path, parameters and fragment; and the parts that are left of them.
+PARTS_SQL = f"""p AS (SELECT event_id AS k, event_id % 2 = 0 AS s, {nth_sql(list(HOSTS), 'event_id // 7')} AS host, {nth_sql(list(HOSTS.values()), 'event_id // 7')} AS named, event_id % 3 AS port, CONCAT('/a/B', event_id % 10) AS path, event_id % 5 AS q FROM events)"""
+
+
+@query(f"""WITH {PARTS_SQL} SELECT k, concat(CASE WHEN s THEN 'https://' ELSE 'http://' END, lower(host), CASE port WHEN 1 THEN ':8443' WHEN 2 THEN CASE WHEN s THEN ':80' ELSE '' END ELSE '' END, path, CASE q WHEN 1 THEN '?a=1&b=2' WHEN 2 THEN concat('?gh_jid=', k) WHEN 3 THEN '?a=+&b=' ELSE '' END) AS canonical,
+'posting:v1:' || sha256(CASE q WHEN 2 THEN concat('requisition|', lower(host), '|', k) ELSE concat('source|my feed|', k) END) AS identity, CASE WHEN q <> 2 THEN named END AS platform FROM p""")
+def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as addresses with letters, ports, closing slashes, trackers, parameters and fragments that don't matter: their plain forms, the postings that they name and whose platform they are on."""
+    k = F.col("event_id")
+    s = k % 2 == 0
+    host, q = nth(list(HOSTS), F.floor(k / 7)), k % 5
+    port = F.when(k % 3 == 0, F.when(s, ":443").otherwise(":80")).when(k % 3 == 1, ":8443").otherwise(F.when(s, ":80").otherwise(""))
+    params = F.when(q == 1, "?utm_source=x&b=2&a=1").when(q == 2, F.concat(F.lit("?utm_medium=y&gh_jid="), k)).when(q == 3, "?b=&a=%20").when(q == 4, "?utm_campaign=z").otherwise("")
+    url = F.concat(F.when(s, "HTTPS://").otherwise("http://"), host, port, F.lit("/a/B"), k % 10, F.when(k % 4 == 0, "/").otherwise(""), params, F.when(k % 11 < 5, "#top").otherwise(""))
+    rows = table(spark, sf_dir, "events").select(k.alias("k"), url.alias("url"), q.alias("q"))
+    identity_ = identity.posting_identity(F.col("url"), F.lit("My  Feed"), F.col("k").cast("string"))
+    return rows.select("k", urls.normalize_url("url").alias("canonical"), identity_.alias("identity"), F.when(F.col("q") != 2, urls.platform(F.col("url"), F.lit("feed"), F.lit(None).cast("string"))).alias("platform"))

@@ -182,7 +182,7 @@ def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("errors", stage_metric(F.col("r"), F.col("r")).alias("m")).select("errors", F.col("m.value").alias("refunds"), F.col("m.reason").alias("refunds_reason"))
 
 
-@query()
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0")
 def flagged_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose details hold the boolean true; texts that look like it don't count."""
     made = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 == 0, '{"enteredInbox": true}').when(F.col("event_id") % 3 == 1, '{"enteredInbox": "true"}').otherwise(F.col("props")).alias("details"))
