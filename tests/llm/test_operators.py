@@ -489,7 +489,7 @@ def test_pipeline_stages(spark, sf_dir):
 def test_queries_are_registered():
     from millrace.llm import queries
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     json.dumps(list(queries.ORACLES))
 
 
