@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in several parts for each core, whatever the files' sizes: small files of many rows would else be one task's work."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder's path where all executors see it: under spark.checkpoint.dir, or a temporary one for a local session without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -48,3 +48,11 @@ def test_places_are_those_of_code_points(spark):
     assert [(r.text, text[r.start : r.end]) for r in made] == [("You must drive.", "You must drive."), ("Must travel!", "Must  travel!"), ("😀 skill", "- 😀 skill")]
     assert rr.requirement_rows(df.limit(0), "d", "title").count() == 0
     assert [r.source for r in rr.requirement_rows(df, "d", "title").where("k = 2").collect()] == ["core_function"]
+
+
+def test_a_single_part_is_dealt_over_the_cores(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(200).coalesce(1).select(F.col("id").alias("k"), F.concat(F.lit("Requirements\nskill "), F.col("id")).alias("d"), F.lit("t").alias("title"))
+    made = rr.requirement_rows(df, "d", "title").select("text", F.spark_partition_id().alias("part")).collect()
+    assert {r.text for r in made} == {f"skill {k}" for k in range(200)} and len({r.part for r in made}) >= 4
