@@ -84,11 +84,15 @@ def shaped_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+#: So many parts' postings are listed in a page of their board.
+PAGE = 20_000
+
+
 @query("""SELECT 'ATS-lever' AS source, 'p' || p_partkey AS source_id, p_name AS title, 'Acme Corp' AS company, 'Edina, MN' AS location FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT 'ATS-greenhouse', CAST(p_partkey AS VARCHAR), p_name, 'Named Board', 'Edina, MN' FROM part WHERE p_partkey % 3 = 1
 UNION ALL SELECT 'ATS-workday', '/job/' || p_partkey, p_name, 'acme', '2 Locations' FROM part WHERE p_partkey % 3 = 2""")
 def board_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boards of three platforms, a payload for each brand and platform."""
+    """Boards of three platforms, a payload for each brand and platform and run of PAGE parts, as boards list their postings in pages."""
     n, title = F.col("p_partkey"), F.col("p_name")
     p = parts(spark, sf_dir).withColumn("platform", nth(["lever", "greenhouse", "workday"], n))
     record = (
@@ -96,7 +100,7 @@ def board_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("platform") == "greenhouse", json_of(id=n, title=title, location=named(name=F.lit("Edina, MN"))))
         .otherwise(json_of(externalPath=F.concat(F.lit("/job/"), n), title=title, locationsText=F.lit("2 Locations")))
     )
-    held = p.groupBy("platform", "p_brand").agg(F.array_join(F.collect_list(record), ",").alias("items"))
+    held = p.groupBy("platform", "p_brand", F.floor(n / PAGE)).agg(F.array_join(F.collect_list(record), ",").alias("items"))
     listed = F.concat(F.lit("["), F.col("items"), F.lit("]"))
     body = F.when(F.col("platform") == "lever", listed).when(F.col("platform") == "greenhouse", F.concat(F.lit('{"name":"Named Board","jobs":'), listed, F.lit("}"))).otherwise(F.concat(F.lit('{"jobPostings":'), listed, F.lit("}")))
     slug = F.when(F.col("platform") == "workday", "acme.wd1::site").otherwise("acme-corp")

@@ -96,7 +96,10 @@ def board_postings(boards: DataFrame) -> DataFrame:
     for name, p in BOARD_PATHS.items():
         path = F.when(F.col("platform") == name, F.col("body") if p == "$" else F.get_json_object("body", p)).otherwise(path)
     items = F.from_json(path, "array<string>")
-    return boards.select("platform", "slug", F.coalesce(F.get_json_object("body", "$.company.name"), F.get_json_object("body", "$.name")).alias("board_name"), F.explode(items).alias("record"))
+    # What is told of the whole payload is worked out before its postings are parted: beside explode() each posting would read the payload again.
+    whole = F.coalesce(F.get_json_object("body", "$.company.name"), F.get_json_object("body", "$.name"))
+    read = boards.select("platform", "slug", whole.alias("board_name"), items.alias("items"))
+    return read.select("platform", "slug", "board_name", F.explode("items").alias("record"))
 
 
 def board_row(r: Column, platform: Column, slug: Column, board_name: Column, now: Column) -> Column:

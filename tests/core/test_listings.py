@@ -76,3 +76,11 @@ def test_selections(spark):
     assert sorted(r.id for r in discovery.to_replay(jobs, events, "v2").collect()) == ["a", "c"]
     gone = spark.createDataFrame([("c", "Account Manager", 10, None, True), ("d", "Account Manager", 90, 90, True), ("b", "Cook", 90, 90, True)], "id string, title string, aim int, req int, passes boolean")
     assert [r.id for r in discovery.to_recover(gone, events, "v2", F.lit(t(1)), "account manager", 5).collect()] == ["c"]
+
+
+def test_a_boards_payload_is_read_once_and_not_for_each_posting(spark):
+    body = '{"name":"B","jobs":[' + ",".join(f'{{"id":{k},"title":"t{k}"}}' for k in range(50)) + "]}"
+    made = feeds.board_postings(spark.createDataFrame([("greenhouse", "s", body)], "platform string, slug string, body string"))
+    above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    assert "get_json_object" not in above
+    assert {(r.board_name, r.record) for r in made.collect()} == {("B", f'{{"id":{k},"title":"t{k}"}}') for k in range(50)}
