@@ -150,10 +150,13 @@ def visible_text(markup: str | None) -> str:
     for turn in range(3):
         if turn and not TAG_LEFT.search(text):
             break
-        parser = Visible()
-        parser.feed(text)
-        parser.close()
-        out = EMOJI.sub("", "".join(parser.parts))
+        parts = [text]
+        if "<" in text or "&" in text:  # else there is nothing to parse
+            parser = Visible()
+            parser.feed(text)
+            parser.close()
+            parts = parser.parts
+        out = EMOJI.sub("", "".join(parts))
         out = re.sub(r"\n\s*\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", out)).strip()
         if out == text:
             break
@@ -166,6 +169,22 @@ def clean_html(s: pd.Series) -> pd.Series:
     return s.map(visible_text)
 
 
+@pandas_udf(StringType())
+def clean_decomposed(s: pd.Series) -> pd.Series:
+    """decomposed(clean_html), in one pass of one worker."""
+
+    def one(x: str | None) -> str:
+        shown = visible_text(x)
+        return shown if shown.isascii() else unicodedata.normalize("NFKD", shown)
+
+    return s.map(one)
+
+
+def clean_words(c: Column) -> Column:
+    """The words of a text whose markup is removed."""
+    return ascii_words(clean_decomposed(F.coalesce(c, F.lit(""))))
+
+
 @pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     return s.map(entities.unescape, na_action="ignore")

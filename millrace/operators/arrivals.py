@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import identity
 from millrace.operators.dedup import DAYS, proofs, sure_keys, with_identity
-from millrace.tables import shared_path
+from millrace.tables import dealt, shared_path
 
 #: Kinds of repetitions in the order in which they are looked for.
 KINDS = ("source_observation", "stable_identity", "enriched_stable_identity", "concurrent_identity")
@@ -15,11 +17,11 @@ FINAL = ("title", "company", "description", "url")
 HELD = -(1 << 62)
 
 
-def keyed(p: DataFrame, asked: bool) -> DataFrame:
-    """p with keys: what a posting looks up, or what it is found by."""
-    some = with_identity(p)
+def keyed(p: DataFrame) -> DataFrame:
+    """p with keys: asked, what a posting looks up, and found, what it is found by; own, its identity, is null where it has none. p's parts should be many, as the normal forms are worked out in Python."""
+    some = with_identity(p.withColumn("own", own_identity()))
     some = some.withColumn("sure", sure_keys(some)).fillna("", ["company_key", "title_key"]).fillna("unknown", ["place"])
-    return some.withColumn("keys", F.transform(proofs(some, asked), lambda x: x["key"]))
+    return some.withColumns({name: F.transform(proofs(some, name == "asked"), lambda x: x["key"]) for name in ("asked", "found")})
 
 
 def own_identity() -> Column:
@@ -55,17 +57,25 @@ def resolve(arriving: DataFrame, held: DataFrame, seen: DataFrame, now: Column,
     met = met.join(seen.select("source", "source_id", F.lit(True).alias("before")).distinct(), ["source", "source_id"], "left")
     met = kept(met.withColumn("again", F.col("again") | F.coalesce("before", F.lit(False))).drop("before"), "arrivals")
     rest = met.where("not again")
-    final = rest.withColumns({c: F.col(f"final_{c}") for c in FINAL})
 
     turn, none = F.col("turn"), F.lit(HELD).cast("long")
-    mine = lambda stage, p: entries(keyed(p, True), turn, stage, F.col("keys"))
-    identity_of = F.array_compact(F.array(own_identity()))
-    asked = kept(mine(1, rest).unionByName(mine(2, final)).unionByName(entries(final, turn, 3, identity_of)).distinct(), "asked")
+    # Values at arrival and final ones, once where they are the same.
+    said = lambda prefix, *stages: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in FINAL], F.array(*map(F.lit, stages)).alias("stages"))
+    unchanged = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"final_{c}")) for c in FINAL])
+    values = F.when(unchanged, F.array(said("", 1, 2))).otherwise(F.array(said("", 1), said("final_", 2)))
+    forms = dealt(rest.select("id", "turn", "location", "source", "source_id", F.explode(values).alias("v")).select("id", "turn", "location", "source", "source_id", "v.*"))
+    forms = kept(keyed(forms).select("id", "turn", "stages", "asked", "found", "own"), "keys")
+    identity_of, is_final = F.array_compact(F.array("own")), F.array_contains("stages", 2)
+    # A key that is looked up at several stages counts at the first.
+    looked = forms.select("id", "turn", F.array_min("stages").alias("stage"), F.explode("asked").alias("key"))
+    asked = looked.unionByName(entries(forms.where(is_final), turn, 3, identity_of)).groupBy("id", "turn", "key").agg(F.min("stage").alias("stage"))
+    asked = kept(asked, "asked")
     recent = held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days)))
     # Of the held postings that have a key the least id stands for all.
-    there = entries(keyed(recent, False), none, 0, F.col("keys")).unionByName(entries(held, none, 0, identity_of)).groupBy("key").agg(F.min("id").alias("id"))
+    owned = dealt(held).select("id", own_identity().alias("own"))
+    there = entries(keyed(dealt(recent)), none, 0, F.col("found")).unionByName(entries(owned, none, 0, identity_of)).groupBy("key").agg(F.min("id").alias("id"))
     there = kept(there.select("key", "id", none.alias("turn")), "there")
-    offered = kept(entries(keyed(final, False), turn, 0, F.col("keys")).unionByName(entries(final, turn, 0, identity_of)).select("key", "id", "turn").distinct(), "offered")
+    offered = kept(forms.where(is_final).select("id", "turn", F.explode(F.array_distinct(F.concat("found", identity_of))).alias("key")).select("key", "id", "turn"), "offered")
 
     state = kept(rest.select("id", turn.cast("long").alias("turn"), F.lit(None).cast("boolean").alias("fresh")), "state")
     while not state.where("fresh IS NULL").isEmpty():

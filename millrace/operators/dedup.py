@@ -49,7 +49,7 @@ def suppression_plan(candidates: DataFrame, decided: DataFrame, arrival: Sequenc
 
 def with_identity(postings: DataFrame) -> DataFrame:
     """Adds the normal forms that duplicate rules compare. postings: id, title, company, location, description, url, source, source_id."""
-    words = text.words(text.clean_html(F.coalesce("description", F.lit(""))))
+    words = text.clean_words(F.col("description"))
     return postings.withColumns(
         {
             "company_key": F.regexp_replace(text.company(F.col("company")), " ", ""),

@@ -53,3 +53,17 @@ def test_nothing_arrives_and_nulls(spark):
     assert arrivals.resolve(none, held, seen, F.lit(NOW)).count() == 0
     rows = spark.createDataFrame([(i, i, *[None] * 11) for i in range(3)], SCHEMA)
     assert [r.kind for r in arrivals.resolve(rows, held, seen, F.lit(NOW)).collect()] == ["new"] * 3
+
+
+def test_forms_are_worked_out_once_and_in_many_parts(spark, monkeypatch):
+    made, parts = arrivals.kept, {}
+
+    def kept(df, what):
+        parts[what] = (df.rdd.getNumPartitions(), df._jdf.queryExecution().optimizedPlan().toString().count("clean_"))
+        return made(df, what)
+
+    monkeypatch.setattr(arrivals, "kept", kept)
+    rows = spark.createDataFrame([(i, i, "T", "C", "P", "same" if i else "x", None, "a", str(i), "T", "C", "same", None) for i in range(20)], SCHEMA)
+    held = rows.limit(0).select("id", "title", "company", "location", "description", "url", "source", "source_id", F.lit(NOW).alias("created_at"))
+    assert {r.kind for r in arrivals.resolve(rows.coalesce(1), held, rows.limit(0).select("source", "source_id"), F.lit(NOW)).collect()} == {"new"}
+    assert parts["keys"][0] >= 4 and parts["keys"][1] >= 1 and parts["asked"][1] == parts["offered"][1] == 0
