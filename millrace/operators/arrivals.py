@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import identity
 from millrace.operators.dedup import DAYS, proofs, sure_keys, with_identity
-from millrace.tables import dealt, shared_path
+from millrace.tables import dealt, kept
 
 #: Kinds of repetitions in the order in which they are looked for.
 KINDS = ("source_observation", "stable_identity", "enriched_stable_identity", "concurrent_identity")
@@ -32,12 +32,6 @@ def entries(p: DataFrame, order: Column, stage: int, keys: Column) -> DataFrame:
     return p.select(F.col("id"), order.alias("turn"), F.lit(stage).alias("stage"), F.explode(keys).alias("key"))
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def resolve(arriving: DataFrame, held: DataFrame, seen: DataFrame, now: Column, days: int = DAYS) -> DataFrame:
     """(id, kind, match): for every arriving posting `new` or a kind of KINDS, with the posting that it repeats (none for an observation of the source).
 

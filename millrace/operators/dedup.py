@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import identity, text, urls
 from millrace.operators.ranking import first_per_key
+from millrace.tables import dealt
 
 #: Decided and invisible statuses, places that are none.
 DECIDED = ("applied", "passed", "cooldown", "interviewing")
@@ -152,7 +153,7 @@ def matches_held(incoming: DataFrame, held: DataFrame, now: Column, days: int =
     the held ones that share a key only the newest is kept: no block of postings is compared or cut off. Null places count
     as unknown, null titles and companies as empty, held postings without a time as too old.
     """
-    new, old = with_identity(incoming), with_identity(held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days))))
+    new, old = with_identity(dealt(incoming)), with_identity(dealt(held.where(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days)))))
     keys = ["company_key", "title_key"]
     new, old = (df.withColumn("sure", sure_keys(df)).fillna("", keys).fillna("unknown", ["place"]) for df in (new, old))
     age = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age")

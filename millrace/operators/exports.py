@@ -8,19 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.tables import shared_path
+from millrace.tables import kept
 
 #: The most items and bytes of an export.
 ITEMS, BYTES = 30, 32 << 20
 MANIFEST = "file string, ordinal int, key string, input_hash string, bytes long"
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def offsets(rows: DataFrame, order: str, size: str) -> DataFrame:
     """Adds at, which rises with the order, start, the sizes of all rows before, and before, the marked rows among them. rows: order is unique; marked boolean.
 

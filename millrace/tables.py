@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 HOME = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of an Arrow batch that a Python worker gets.
+BATCH_BYTES = 6 << 20
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers that share this disk find the package; elsewhere it is sent with --py-files."""
+    """Python workers that share this disk find the package; elsewhere it is sent with --py-files. Their Arrow batches hold BATCH_BYTES at most, however long the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if HOME not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), HOME]))
@@ -34,3 +39,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     return f"{(found or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, read again."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

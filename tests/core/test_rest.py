@@ -119,3 +119,21 @@ def test_windowed_counts(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.start.hour, r.g, r.n) for r in spark.table("hourly").collect()) == [(1, "a", 2), (2, "b", 1), (23, "a", 1)]
+
+
+def test_identity_takes_one_pass_of_python_over_bounded_batches(spark):
+    from millrace.tables import BATCH_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    let_workers_import(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    held = spark.createDataFrame([(1, "<b>T</b>", "C", "P", "A&amp;B ﬁn", None, "s", "1")], "id long, title string, company string, location string, description string, url string, source string, source_id string")
+    made = dedup.with_identity(held)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_held_postings_are_dealt_over_the_cores(spark):
+    held = spark.createDataFrame([(1, "T", "C", "P", "d", None, "s", "1")], "id long, title string, company string, location string, description string, url string, source string, source_id string").coalesce(1)
+    made = dedup.matches_held(held, held.withColumn("created_at", F.lit("2026-01-01").cast("timestamp")), F.lit("2026-01-02").cast("timestamp"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+    assert [tuple(r) for r in made.collect()] == [(1, 1, "identity")]
