@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.json_schema import violations
 from millrace.operators import exports
 from millrace.plans.registry import query
-from millrace.tables import shared_path, table
+from millrace.tables import dealt, shared_path, table
 
 #: What an event's message must look like.
 MESSAGE = {
@@ -68,7 +68,7 @@ UNION ALL SELECT id, '$.props', 'minProperties' FROM m WHERE len(json_keys(j, '$
 UNION ALL SELECT id, '$.props.' || k, 'maximum' FROM p WHERE v::BIGINT > 90""")
 def message_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages, some with faults: each rule of the schema that one breaks, and where."""
-    m = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(MESSAGE_SQL).alias("m"))
+    m = dealt(table(spark, sf_dir, "events")).select(F.col("event_id").alias("id"), F.expr(MESSAGE_SQL).alias("m"))
     return m.select("id", F.explode(violations(F.col("m"), MESSAGE)).alias("v")).select("id", "v.path", "v.rule")
 
 

@@ -56,3 +56,9 @@ def test_several_faults_other_schemas_and_what_is_no_json(spark):
     for bad in ({"$ref": "#/$defs/none"}, {"$ref": "elsewhere"}, {"allOf": [3]}):
         with pytest.raises(ValueError):
             violations(F.col("j"), bad)
+
+
+def test_messages_are_dealt_over_the_cores(spark, sf_dir):
+    from millrace.plans import exchange
+
+    assert "Repartition" in exchange.message_violations(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
