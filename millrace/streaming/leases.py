@@ -139,13 +139,15 @@ class Replay(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if lease.token is not None and not lease.told:
             self.handle.registerTimer(-(-lease.expires // 1000))
-        yield frame(key[0], out)
+        if out:  # a frame takes longer than all steps of most keys
+            yield frame(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         lease = self.load()
         ended = lease.run_out(expiredTimerInfo.getExpiryTimeInMs() * 1000)
         self.keep(lease)
-        yield frame(key[0], [ended] if ended else [])
+        if ended:
+            yield frame(key[0], [ended])
 
     def close(self) -> None:
         pass

@@ -68,3 +68,13 @@ def test_turns_cover_all_rows(spark, tmp_path):
     rows = spark.createDataFrame([(at(m), m) for m in range(90)], "ts timestamp, n int")
     streams.in_turns(rows, "ts", str(tmp_path / "in"), lambda s: seen.append(s.isStreaming))
     assert seen == [True] * 3 and spark.read.parquet(str(tmp_path / "in")).count() == 90
+
+
+def test_a_key_that_ends_no_lease_gives_no_frame():
+    from types import SimpleNamespace
+
+    from millrace.streaming import leases
+
+    made = leases.Replay(1, 1)
+    made.state = SimpleNamespace(exists=lambda: False, update=lambda row: None)
+    assert list(made.handleExpiredTimer(("t",), None, SimpleNamespace(getExpiryTimeInMs=lambda: 0))) == []
