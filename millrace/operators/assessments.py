@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from millrace.functions import places, text
+from millrace.tables import dealt, kept
 
 #: Pay components by question: (question, component, cash, recurring, inclusion).
 COMPONENTS = [
@@ -98,12 +99,25 @@ def quotes(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return cited.join(evidence.select("job_id", "evidence_id", "quote", "source", "occurrences"), ["job_id", "evidence_id"])
 
 
-def covered(jobs: DataFrame, cited: DataFrame, pattern: str, questions: Column) -> DataFrame:
-    """(job_id, covered): whether every match of the pattern in the posting lies in an occurrence of evidence for the questions."""
-    said = jobs.select("job_id", F.explode(spans_of(pattern)(F.col("jd"))).alias("s"))
-    known = cited.where(questions & (F.col("source") == "original_jd")).select("job_id", F.explode("occurrences").alias("o")).distinct()
-    held = said.join(known, "job_id", "left").groupBy("job_id", "s").agg(F.bool_or(F.coalesce((F.col("o.start") <= F.col("s.start")) & (F.col("o.end") >= F.col("s.end")), F.lit(False))).alias("in"))
-    return held.groupBy("job_id").agg(F.bool_and("in").alias("covered"))
+def cited_quotes(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """quotes(), written once, as several sums are taken of them."""
+    return kept(dealt(quotes(answers, evidence), "job_id"), "quotes")
+
+
+def told_spans(questions: Column) -> Column:
+    """An aggregate of quotes(): where evidence for the questions occurs in the posting."""
+    return F.flatten(F.collect_list(F.when(questions & (F.col("source") == "original_jd"), F.col("occurrences"))))
+
+
+def covered(said: Column, told: Column) -> Column:
+    """Whether every span of said lies in one of told; null if there is none."""
+    inside = lambda s: F.exists(F.coalesce(told, F.array().cast(SPANS)), lambda o: F.coalesce((o["start"] <= s["start"]) & (o["end"] >= s["end"]), F.lit(False)))
+    return F.when(F.size(said) > 0, F.forall(said, inside))
+
+
+def with_spans(jobs: DataFrame, **patterns: str) -> DataFrame:
+    """(job_id, spans of each pattern in jd), by all cores and dealt by job_id, so that what is joined to it by job_id finds it in place."""
+    return dealt(jobs.select("job_id", "jd"), "job_id").select("job_id", *[spans_of(p)(F.col("jd")).alias(name) for name, p in patterns.items()])
 
 
 def yes_questions(answers: DataFrame) -> DataFrame:
@@ -148,7 +162,11 @@ RANKS = {"exact_role_city_state": 4, "minnesota": 3, "nationwide_united_states":
 
 def pay_records(jobs: DataFrame, answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """A row for each quote of a pay component: its amounts in cents, currency, period, yearly bounds, geography and how it counts. unsafe: amounts that can't be read."""
-    cited = quotes(answers, evidence)
+    return records_of(jobs, answers, cited_quotes(answers, evidence))
+
+
+def records_of(jobs: DataFrame, answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """pay_records() of a written table of quotes."""
     table = jobs.sparkSession.createDataFrame(COMPONENTS, "question string, component string, cash boolean, recurring boolean, inclusion string")
     whole = cited.groupBy("job_id").agg(
         F.concat_ws("\n", F.collect_list(F.when(F.col("question") == "S2.CP.Q18", F.col("quote")))).alias("all_currency"),
@@ -182,30 +200,30 @@ def pay_records(jobs: DataFrame, answers: DataFrame, evidence: DataFrame) -> Dat
 
 def compensation(jobs: DataFrame, answers: DataFrame, evidence: DataFrame, policy: Policy) -> DataFrame:
     """(job_id, state, lower_cents, upper_cents, total_upper_cents, reference_cents, proven_cents, floor_outcome, points, reason): a row for each job."""
-    records = pay_records(jobs, answers, evidence)
-    kept = records.where("not unsafe")
-    top = kept.groupBy("job_id").agg(F.max("rank").alias("top"))
-    at = (F.col("rank") == F.col("top")) & (F.col("top") > 0) & F.col("year_lower").isNotNull() & F.col("year_upper").isNotNull()
-    comparable = kept.join(top, "job_id").where(at)
+    cited = cited_quotes(answers, evidence)
+    safe = ~F.col("unsafe")
+    records = records_of(jobs, answers, cited).withColumn("top", F.max(F.when(safe, F.col("rank"))).over(Window.partitionBy("job_id")))
+    # What is comparable is told within the sums: as a filter it would be pushed below the columns that it reads, which would be worked out again.
+    at = safe & (F.col("rank") == F.col("top")) & (F.col("top") > 0) & F.col("year_lower").isNotNull() & F.col("year_upper").isNotNull()
     steady = F.col("cash") & F.col("recurring") & (F.col("inclusion") == "included")
     is_in = lambda *names: F.col("component").isin(*names)
     composed = is_in("fixed_base", "fixed_periodic", "commission", "variable", "bonus", "draw") & steady
-    sums = comparable.groupBy("job_id").agg(
-        F.min("year_lower").alias("lower_cents"), F.max("year_upper").alias("upper_cents"),
-        F.max(F.when(steady, F.col("year_upper"))).alias("reference_cents"),
-        F.max(F.when(steady & is_in("fixed_base", "fixed_periodic", "unlabeled_annual_pay", "draw"), F.col("year_lower"))).alias("proven_cents"),
-        F.max(F.when((steady & is_in("total_cash", "other_total_compensation")) | (is_in("ote") & F.col("quote").rlike(CAPPED)), F.col("year_upper"))).alias("stated_total"),
-        F.sum(F.when(composed, F.col("year_upper"))).alias("composed_total"),
-        F.coalesce(F.bool_or(composed & is_in("fixed_base", "fixed_periodic")), F.lit(False)).alias("has_fixed"),
-        F.coalesce(F.bool_or(composed & is_in("commission", "variable", "bonus", "draw")), F.lit(False)).alias("has_variable"),
-        F.max(F.when(is_in("fixed_base"), F.col("year_lower"))).alias("highest_base"), F.min(F.when(is_in("ote"), F.col("year_upper"))).alias("lowest_ote"),
+    of = lambda what, c: F.when(at & what, F.col(c))
+    every = F.lit(True)
+    kinds, bounds = F.collect_set(of(every, "component")), F.collect_set(F.when(at, F.struct("component", "year_lower", "year_upper")))
+    sums = records.groupBy("job_id").agg(
+        F.min(of(every, "year_lower")).alias("lower_cents"), F.max(of(every, "year_upper")).alias("upper_cents"),
+        F.max(of(steady, "year_upper")).alias("reference_cents"),
+        F.max(of(steady & is_in("fixed_base", "fixed_periodic", "unlabeled_annual_pay", "draw"), "year_lower")).alias("proven_cents"),
+        F.max(of((steady & is_in("total_cash", "other_total_compensation")) | (is_in("ote") & F.col("quote").rlike(CAPPED)), "year_upper")).alias("stated_total"),
+        F.sum(of(composed, "year_upper")).alias("composed_total"),
+        F.bool_or(at & composed & is_in("fixed_base", "fixed_periodic")).alias("has_fixed"),
+        F.bool_or(at & composed & is_in("commission", "variable", "bonus", "draw")).alias("has_variable"),
+        F.max(of(is_in("fixed_base"), "year_lower")).alias("highest_base"), F.min(of(is_in("ote"), "year_upper")).alias("lowest_ote"),
+        (F.size(bounds) > F.size(kinds)).alias("disagree"), F.bool_or("unsafe").alias("unsafe"), F.count_if(safe).alias("n_records"),
     )
-    twice = comparable.groupBy("job_id", "component").agg(F.count_distinct("year_lower", "year_upper").alias("n")).groupBy("job_id").agg(F.bool_or(F.col("n") > 1).alias("disagree"))
-    counts = records.groupBy("job_id").agg(F.bool_or("unsafe").alias("unsafe"), F.count_if(~F.col("unsafe")).alias("n_records"))
-    cited = quotes(answers, evidence)
-    cover = covered(jobs, cited, PAY_SAID, F.col("question").startswith("S2.CP."))
-    exhaustive = cited.where("question = 'S2.CP.Q17'").groupBy("job_id").agg(F.bool_or(F.col("quote").rlike(ALL_CASH)).alias("exhaustive"))
-    row = reduce(lambda a, b: a.join(b, "job_id", "left"), [sums, twice, counts, cover, exhaustive, yes_questions(answers)], jobs.select("job_id"))
+    told = cited.groupBy("job_id").agg(told_spans(F.col("question").startswith("S2.CP.")).alias("told"), F.bool_or((F.col("question") == "S2.CP.Q17") & F.col("quote").rlike(ALL_CASH)).alias("exhaustive"))
+    row = reduce(lambda a, b: a.join(b, "job_id", "left"), [sums, told, yes_questions(answers)], with_spans(jobs, said=PAY_SAID)).withColumn("covered", covered(F.col("said"), F.col("told")))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     conflict = no("disagree") | F.coalesce(F.col("highest_base") > F.col("lowest_ote"), F.lit(False))
     uncovered = ~F.coalesce(F.col("covered"), F.lit(True))
@@ -265,12 +283,13 @@ def travel(jobs: DataFrame, answers: DataFrame, evidence: DataFrame, policy: Pol
     """
     cited = quotes(answers, evidence)
     is_q = lambda n: F.col("question") == f"S2.TR.Q{n:02d}"
-    numeric, none = covered(jobs, cited, TRAVEL_SAID, is_q(1)), covered(jobs, cited, NO_TRAVEL_SAID, is_q(2)).withColumnRenamed("covered", "covered_none")
-    read = cited.where(is_q(1)).withColumn("c", clauses_of(policy)(F.col("quote"))).groupBy("job_id").agg(
-        F.flatten(F.collect_list("c")).alias("clauses"), F.bool_or(F.col("c").isNull()).alias("unread"),
-        F.bool_or(F.col("quote").rlike(VAGUE) | F.col("quote").rlike(CONDITIONAL)).alias("vague"))
-    words = cited.where(is_q(3)).groupBy("job_id").agg(F.lower(F.concat_ws("\n", F.collect_list("quote"))).alias("words"))
-    row = reduce(lambda a, b: a.join(b, "job_id", "left"), [numeric, none, read, words, yes_questions(answers)], jobs.select("job_id"))
+    one = cited.withColumn("c", clauses_of(policy)(F.when(is_q(1), F.col("quote"))))
+    told = one.groupBy("job_id").agg(
+        F.flatten(F.collect_list(F.when(is_q(1), F.col("c")))).alias("clauses"), F.bool_or(is_q(1) & F.col("c").isNull()).alias("unread"),
+        F.bool_or(is_q(1) & (F.col("quote").rlike(VAGUE) | F.col("quote").rlike(CONDITIONAL))).alias("vague"),
+        F.lower(F.concat_ws("\n", F.collect_list(F.when(is_q(3), F.col("quote"))))).alias("words"), told_spans(is_q(1)).alias("told"), told_spans(is_q(2)).alias("told_none"))
+    row = reduce(lambda a, b: a.join(b, "job_id", "left"), [told, yes_questions(answers)], with_spans(jobs, said=TRAVEL_SAID, said_none=NO_TRAVEL_SAID))
+    row = row.withColumns({"covered": covered(F.col("said"), F.col("told")), "covered_none": covered(F.col("said_none"), F.col("told_none"))})
     row = row.withColumn("yes", F.coalesce("yes", F.array().cast("array<string>"))).withColumn("clauses", F.coalesce("clauses", F.array().cast(CLAUSES)))
     said = lambda q: F.array_contains("yes", q)
     lower, upper = F.array_max(F.transform("clauses", lambda c: c["lower"])), F.array_min(F.transform("clauses", lambda c: c["upper"]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import classifiers, identity, paths, places, text
 from millrace.operators import arrivals, assessments, dedup, freshness, invalidation, maintenance, queues, requirements
 from millrace.plans.registry import query
-from millrace.tables import table
+from millrace.tables import dealt, table
 
 
 def nth(values: list, n: Column) -> Column:
@@ -196,7 +196,7 @@ def derived_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assessed(spark: SparkSession, sf_dir: str, said: Column, question: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as postings that say one thing, which is quoted in answer to one question."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), said.alias("jd"), question.alias("question"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("job_id"), said.alias("jd"), question.alias("question"))
     posting = o.select("job_id", "jd", F.lit("Acme").alias("company"), F.lit("Seller").alias("title"), F.lit("Edina, MN").alias("location"))
     answers = o.select("job_id", "question", F.lit("yes").alias("answer"), F.array(F.lit("e")).alias("evidence"))
     span = F.array(F.struct(F.lit(0).alias("start"), F.length("jd").alias("end")))

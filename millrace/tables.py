@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df in several parts for each core, whatever the files' sizes: small files of many rows would else be one task's work."""
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in several parts for each core, by columns or in turn, whatever the files' sizes: small files of many rows would else be one task's work."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

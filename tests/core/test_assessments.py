@@ -254,3 +254,12 @@ def test_matching_held_postings(spark):
     new = spark.createDataFrame([("n1", "Account Manager - Remote", "ACME", "unknown", long, None, "z", "5", now), ("n2", "Other title", "Nobody", "x", "short", None, "b", "7", now), ("n3", "Account Manager", "Acme", "Edina, MN", "short", None, "q", "4", now), ("n4", "Territory Lead", "Jobgether", "Austin", long + " unique", None, "j", "1", now), ("n5", "Seller", "Acme", "Edina, MN", long, None, "a", "2", now)], schema)
     got = {r.id: (r.match, r.why) for r in dedup.matches_held(new, held, F.lit(now)).collect()}
     assert got == {"n1": ("h1", "description"), "n2": ("h2", "identity"), "n4": ("h4", "syndication")}
+
+
+def test_postings_are_dealt_and_quotes_are_read_once(spark):
+    jobs, answers, evidence = case(spark, [(j, "S2.CP.Q01", "Base salary USD 160,000 annually") for j in range(9)] + [(j, "S2.TR.Q01", "travel up to 20%") for j in range(9)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pay, road = (f(jobs.coalesce(1), answers, evidence, POLICY) for f in (assessments.compensation, assessments.travel))
+    assert plan(pay).count("regexp_extract_all(") == 1 and plan(pay).count("RepartitionByExpression") == 1
+    assert plan(road).count("Join ") <= 3 and plan(road).count("RepartitionByExpression") == 1
+    assert {r.points for r in pay.collect()} == {10} and {r.upper for r in road.collect()} == {20}
