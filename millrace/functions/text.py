@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,6 +57,11 @@ def company(c: Column) -> Column:
     return squeezed(F.regexp_replace(words(bare), rf"(?<![a-z0-9])(?:{'|'.join(LEGAL_SUFFIXES)})(?![a-z0-9])", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used: an expression that is named within another is put in at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 

@@ -257,3 +257,13 @@ def test_whole_patterns_of_pages(spark):
     assert many(spark, classifiers.matches_any(v, classifiers.DUTIES), duties) == [True] * 4 + [False] * 2
     needs = ["what we're looking for", "what you need", "a licence", "diploma", "equivalent experience", "kneeding", "we need it"]
     assert many(spark, classifiers.matches_any(v, classifiers.QUALIFICATIONS), needs) == [True, True, True, True, True, False, True]
+
+
+def plan_of(spark, c):
+    df = spark.createDataFrame([], "t string")
+    return df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_tokens_of_a_text_are_found_once(spark):
+    foreign = plan_of(spark, classifiers.foreign_language(F.col("t")))
+    assert foreign.count("regexp_extract_all(") == 1 and foreign.count("https?") == 1
