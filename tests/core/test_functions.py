@@ -267,3 +267,9 @@ def plan_of(spark, c):
 def test_tokens_of_a_text_are_found_once(spark):
     foreign = plan_of(spark, classifiers.foreign_language(F.col("t")))
     assert foreign.count("regexp_extract_all(") == 1 and foreign.count("https?") == 1
+
+
+def test_stated_facts_flatten_a_text_once(spark):
+    df = spark.createDataFrame([("Base pay range $60,000 - $95,000. Travel up to 20% of the time.",)], "t string")
+    for made, said in ((facts.posted_base_pay, "$60,000–$95,000 base"), (facts.posted_travel, "up to 20%")):
+        assert plan_of(spark, made(F.col("t"))).count("coalesce(t#") == 1 and df.select(made(F.col("t"))).first()[0] == said
