@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.tables import dealt, kept
+
 #: Quotes are looked for in blocks of about so many bytes, each with an automaton that a task builds once.
 BLOCK_BYTES = 1 << 20
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -123,8 +125,14 @@ def vector_faults(evidence: DataFrame, answers: DataFrame, sources: DataFrame, r
     `unauthorized_source`, `unauthorized_field`, `citation_order`, `combined_length`. Vector: `total_length`. A null quote counts as empty and is not found.
     """
     fault = lambda df, kind, subject: df.select("job_id", subject.alias("subject"), F.lit(kind).alias("kind"))
+
+    def faults(df, subject, **broken):
+        """All kinds of a table's faults in one pass."""
+        kinds = F.array_compact(F.array(*[F.when(when, F.lit(kind)) for kind, when in broken.items()]))
+        return df.select("job_id", subject.alias("subject"), F.explode(kinds).alias("kind"))
+
     own, asked = F.col("evidence_id"), F.col("question")
-    e = located(evidence, sources)
+    e, answers = located(evidence, sources), kept(dealt(answers, "job_id"), "answers")
     told = F.array_sort(F.array_distinct(F.coalesce("occurrences", F.array().cast("array<struct<start:int,end:int>>"))))
     placed = (F.col("source") == "original_jd") == F.col("field").isNull()
     start = F.when(F.col("source") == "original_jd", F.get(told, F.lit(0))["start"])
@@ -132,14 +140,14 @@ def vector_faults(evidence: DataFrame, answers: DataFrame, sources: DataFrame, r
     field = F.when(F.col("source") != "original_jd", rank(FIELDS, F.col("field")))
     proper = Window.partitionBy("job_id").orderBy(rank(SOURCES, F.col("source")), start, end, field, "quote", "evidence_id", "pos")
     stood = e.withColumn("due", F.row_number().over(proper)).withColumn("is", F.row_number().over(Window.partitionBy("job_id").orderBy("pos")))
-    none = F.size("actual") == 0
+    stood = stood.withColumn("n", F.count("*").over(Window.partitionBy("job_id", "evidence_id"))).withColumn("told", told)
+    e = stood = kept(stood, "evidence")  # texts are searched once for all that follows
+    none, told = F.size("actual") == 0, F.col("told")
     out = [
-        fault(e.groupBy("job_id", "evidence_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated_id", own),
-        fault(e.where(~placed | ~F.col("there")), "source", own),
-        fault(e.where(F.length("quote") > QUOTE_MOST), "quote_too_long", own),
-        fault(e.where(F.col("there") & none), "not_found", own),
-        fault(e.where(F.col("there") & ~none & (told != F.col("actual"))), "occurrences", own),
-        fault(stood.where("due <> is"), "catalog_order", own),
+        faults(
+            stood, own, repeated_id=F.col("n") > 1, source=~placed | ~F.col("there"), quote_too_long=F.length("quote") > QUOTE_MOST, not_found=F.col("there") & none,
+            occurrences=F.col("there") & ~none & (told != F.col("actual")), catalog_order=F.col("due") != F.col("is"),
+        ),
         fault(e.groupBy("job_id").agg(F.sum(F.length("quote")).alias("n")).where(F.col("n") > VECTOR_MOST), "total_length", F.lit("vector")),
     ]
     cited = answers.select("job_id", "question", "answer", F.posexplode("evidence").alias("at", "evidence_id"))
@@ -157,13 +165,13 @@ def vector_faults(evidence: DataFrame, answers: DataFrame, sources: DataFrame, r
 
     first = stood.groupBy("job_id", "evidence_id").agg(F.min_by(F.struct("source", "field", F.length("quote").alias("length"), F.col("is").alias("place")), "pos").alias("e"))
     met = cited.join(first, ["job_id", "evidence_id"], "left").join(F.broadcast(rules.select("question", "answer", "total", F.col("sources").alias("may"), "fields")), ["question", "answer"], "left")
-    before = F.lag("e.place").over(Window.partitionBy("job_id", "question").orderBy("at"))
+    met = met.withColumn("before", F.lag("e.place").over(Window.partitionBy("job_id", "question").orderBy("at"))).withColumn("n", F.sum("e.length").over(Window.partitionBy("job_id", "question", "total")))
     allowed = F.array_contains("may", F.col("e.source"))
-    out += [
-        fault(met.where("e IS NULL"), "unknown_evidence", asked),
-        fault(met.where(~allowed), "unauthorized_source", asked),
-        fault(met.where(allowed & (F.col("e.source") == "trusted_metadata") & ~F.coalesce(F.array_contains("fields", F.col("e.field")), F.lit(False))), "unauthorized_field", asked),
-        fault(met.withColumn("before", before).where(F.col("e.place") <= F.col("before")), "citation_order", asked),
-        fault(met.groupBy("job_id", "question", "total").agg(F.sum("e.length").alias("n")).where("n > total"), "combined_length", asked),
-    ]
+    field_allowed = F.coalesce(F.array_contains("fields", F.col("e.field")), F.lit(False))
+    out.append(
+        faults(
+            met, asked, unknown_evidence=F.col("e").isNull(), unauthorized_source=~allowed, unauthorized_field=allowed & (F.col("e.source") == "trusted_metadata") & ~field_allowed,
+            citation_order=F.col("e.place") <= F.col("before"), combined_length=F.col("n") > F.col("total"),
+        )
+    )
     return reduce(DataFrame.unionByName, out).distinct()

@@ -10,7 +10,7 @@ from millrace.functions.requirement_rows import requirement_rows
 from millrace.operators import evidence
 from millrace.operators.dedup import duplicate_links, keep_first
 from millrace.plans.registry import query
-from millrace.tables import table
+from millrace.tables import dealt, kept, table
 
 WORDS_SQL = "trim(regexp_replace(replace(lower(regexp_replace(text, '[̀-ͯ]', '', 'g')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -247,11 +247,13 @@ UNION SELECT job_id, question, 'combined_length' FROM m WHERE question = 'q1' GR
 def vector_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as texts that answers cite, with faults: what is wrong with each vector."""
     v = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select(F.col("doc_id").alias("job_id"), "text", F.col("source").alias("company"))
-    made = lambda sql: spark.sql("WITH v AS (SELECT * FROM {v}) " + sql, v=v)
+    # What is cited stands within the first 60 letters: texts are read for those once, and once to be searched.
+    heads = kept(dealt(v.select("job_id", F.substring("text", 1, 60).alias("text"), "company"), "job_id"), "heads")
+    made = lambda sql: spark.sql("WITH v AS (SELECT * FROM {v}) " + sql, v=heads)
     spans = F.array(F.struct(F.col("low").cast("int").alias("start"), F.col("high").cast("int").alias("end")))
     found = made(EVIDENCE_SQL).withColumn("occurrences", spans).drop("low", "high")
     answers = made(ANSWERS_SQL).withColumn("evidence", F.when(F.col("cited") == "", F.array().cast("array<string>")).otherwise(F.split("cited", ",")))
-    source = lambda name, field, text_: v.select("job_id", F.lit(name).alias("source"), F.lit(field).cast("string").alias("field"), text_.alias("text"))
+    source = lambda name, field, text_: (v if field is None else heads).select("job_id", F.lit(name).alias("source"), F.lit(field).cast("string").alias("field"), text_.alias("text"))
     sources = source("original_jd", None, F.col("text")).unionByName(source("trusted_metadata", "title", F.lit("Writer"))).unionByName(source("trusted_metadata", "company", F.col("company")))
     jd, meta, none = ["original_jd"], ["trusted_metadata"], []
     rules = [("q1", 0, "yes", 1, 2, 17, jd, none), ("q2", 1, "yes", 1, 1, 100, jd, none), ("q2", 1, "no", 0, 0, 0, none, none), ("q3", 2, "yes", 1, 1, 100, meta, ["company"]), ("q3", 2, "no", 0, 0, 0, none, none)]

@@ -50,3 +50,20 @@ def test_occurrences_of_a_vector(spark):
     rules = spark.createDataFrame([("q", 0, "yes", 0, 9, 99, ["original_jd", "trusted_metadata"], ["title", "location"])], "question string, pos int, answer string, least int, most int, total int, sources array<string>, fields array<string>")
     got = sorted(tuple(r) for r in evidence.vector_faults(found, answers, sources, rules).collect())
     assert {g for g in got if g[2] != "catalog_order"} == {(1, "w", "source"), (1, "y", "not_found"), (2, "x", "source")}
+
+
+def test_texts_of_vectors_are_searched_once(spark, monkeypatch):
+    made, plans = evidence.kept, {}
+
+    def kept(df, what):
+        plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return made(df, what)
+
+    monkeypatch.setattr(evidence, "kept", kept)
+    found = spark.createDataFrame([(1, 0, "a", "quoted", "original_jd", None, [(0, 6)]), (1, 1, "a", "gone", "original_jd", None, [(0, 4)])], "job_id long, pos int, evidence_id string, quote string, source string, field string, occurrences array<struct<start int, end int>>")
+    answers = spark.createDataFrame([(1, 0, "q1", "yes", ["a"])], "job_id long, pos int, question string, answer string, evidence array<string>")
+    sources = spark.createDataFrame([(1, "original_jd", None, "quoted text")], "job_id long, source string, field string, text string")
+    rules = spark.createDataFrame([("q1", 0, "yes", 1, 1, 100, ["original_jd"], [])], "question string, pos int, answer string, least int, most int, total int, sources array<string>, fields array<string>")
+    out = evidence.vector_faults(found, answers, sources, rules)
+    assert plans["evidence"].count("ArrowEvalPython") == 1 and "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(1, "a", "repeated_id"), (1, "a", "not_found"), (1, "a", "catalog_order")}
