@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.tables import kept
+from millrace.tables import dealt, kept
 
 #: The most items and bytes of an export.
 ITEMS, BYTES = 30, 32 << 20
@@ -59,15 +59,20 @@ def manifests(packed: DataFrame) -> DataFrame:
     return packed.groupBy("file").agg(F.count("*").alias("n_items"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("manifest_hash"))
 
 
-def write_export(packed: DataFrame, folder: str) -> None:
-    """A folder of one JSON Lines file for each file of the export, and beside them the manifest of all items."""
+def write_export(packed: DataFrame, folder: str, apart: bool = False) -> None:
+    """A folder of JSON Lines, and beside it the manifest of all items.
+
+    Each line names its file of the export, whose lines stand together and in order in one written file; so there are no more written files than tasks,
+    however many files the export has. With `apart` each file of the export has a folder of its own: storage then makes, lists and opens as many.
+    """
     packed = kept(packed, "packed")
-    packed.repartition("file").sortWithinPartitions("file", "ordinal").select("file", "ordinal", "key", "payload").write.partitionBy("file").json(f"{folder}/items")
+    lines = dealt(packed.select("file", "ordinal", "key", "payload"), "file").sortWithinPartitions("file", "ordinal")
+    (lines.write.partitionBy("file") if apart else lines.write).json(f"{folder}/items")
     packed.select("file", "ordinal", "key", "input_hash", "bytes").write.parquet(f"{folder}/manifest")
 
 
 def read_export(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(items with their hashes as they are in the files, the manifest)."""
+    """(items with their hashes as they are in the files, the manifest) of an export, in either form of write_export()."""
     found = spark.read.schema("ordinal int, key string, payload string, file string").json(f"{folder}/items")
     return found.withColumn("input_hash", F.sha2("payload", 256)), spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
