@@ -30,6 +30,8 @@ WIDTH = 16
 SIZES = (1, 2, 3, 4)
 REJECT_MOST = 0.4
 UNKNOWN = "und"
+#: Subwords of so many new words are worked out at a time: of all of a slice's they take hundreds of MB.
+GROW_WORDS = 1 << 11
 #: Characters of the letter categories; ½, ② and Ⅷ are numbers.
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -84,9 +86,10 @@ class Scorer:
         self.n.clear()
 
     def grow(self, words):
-        ids, n = subwords([letters(w.decode("utf-8", "replace")) for w in words], len(self.model.table))
-        self.rows.extend(sums(self.model.table[ids], n))
-        self.n.extend(n)
+        for a in range(0, len(words), GROW_WORDS):
+            ids, n = subwords([letters(w.decode("utf-8", "replace")) for w in words[a : a + GROW_WORDS]], len(self.model.table))
+            self.rows.extend(sums(self.model.table[ids], n))
+            self.n.extend(n)
 
     def logits(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Untempered logits, and whether a text has any letter."""

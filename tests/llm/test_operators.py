@@ -693,3 +693,18 @@ def test_store_of_a_hot_passage_and_repeated_keys(spark, tmp_path):
         at += r.n_tokens
     with pytest.raises(ValueError):
         token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "x"), WORDS, width=1)
+
+
+def test_subwords_of_many_new_words_are_worked_out_in_parts(monkeypatch):
+    words = [f"word{i}x{i * i}".encode() for i in range(5000)]
+    model = language_id.Model(["a", "b"], np.random.default_rng(1).normal(size=(64, 2)), np.zeros(2))
+    whole = language_id.Scorer(model)
+    monkeypatch.setattr(language_id, "GROW_WORDS", 10_000)
+    whole.grow(words)
+    monkeypatch.undo()
+    made, most = language_id.subwords, []
+    monkeypatch.setattr(language_id, "subwords", lambda w, n: most.append(len(w)) or made(w, n))
+    parts = language_id.Scorer(model)
+    parts.grow(words)
+    assert max(most) == language_id.GROW_WORDS < 5000
+    assert np.allclose(whole.rows.all, parts.rows.all, atol=1e-9) and (whole.n.all == parts.n.all).all()
