@@ -87,23 +87,39 @@ def workers_import(spark: SparkSession) -> None:
 def trim() -> None:
     """Gives memory that is no longer used back to the system. Workers are used again by later stages, and what allocators keep for them counts against an executor."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """The part of trim() that takes a few milliseconds, for use after each slice: what a slice took meanwhile is freed in pieces, which add up over slices."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # there is no such call outside of glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run with trim() before it and after it, when what it remembered is no longer held: a worker may idle through the next stages."""
+
+    def held(batches):
+        trim()
+        yield from run(batches)
+        trim()
+
+    return held
+
+
 def remainder(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string")) % n
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts with about SLICE_BYTES of a binary column each; a longer value is a part of its own."""
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with about most_bytes of a binary column each; a longer value is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         held = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, held + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, held + most_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -216,7 +232,9 @@ class Growing:
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[i], starts[i]+1, ... of every range, one after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return at
 
 
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -226,8 +244,8 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dict]], fields: Iterable[tuple[str, T.DataType]], keep: Sequence[str] | None = None, key: str | None = None) -> DataFrame:
-    """Adds columns made from a text column, slice by slice.
+def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dict]], fields: Iterable[tuple[str, T.DataType]], keep: Sequence[str] | None = None, key: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Adds columns made from a text column, slice by slice of about slice_bytes.
 
     setup() is called once a task and returns a function from a list of UTF-8 texts (None for null) to the new columns, as lists or Arrow arrays.
     keep: the input columns that stay (default: all). A new column replaces an input column of its name.
@@ -241,18 +259,20 @@ def map_texts(df: DataFrame, text: str, setup: Callable[[], Callable[[list], dic
     extra = [F.xxhash64(F.col(f"`{key}`").cast("string")).alias("__key")] if key else []
     sent = df.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text}`").cast("string").cast("binary").alias("__text"), *extra)
 
+    def mapped(part, work):
+        texts = part.column(len(stay)).to_pylist()
+        made = work(texts, part.column(len(stay) + 1).to_numpy(zero_copy_only=False)) if key else work(texts)
+        arrays = [part.column(i) for i in range(len(stay))] + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], type=arrow_type(t)) for n, t in fields]
+        return pa.RecordBatch.from_arrays(arrays, names=[*stay, *new])
+
     def run(batches):
-        trim()
         work = setup()
-        kinds = [arrow_type(t) for _, t in fields]
         for batch in batches:
-            for part in slices(batch, len(stay)):
-                texts = part.column(len(stay)).to_pylist()
-                made = work(texts, part.column(len(stay) + 1).to_numpy(zero_copy_only=False)) if key else work(texts)
-                arrays = [part.column(i) for i in range(len(stay))] + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], type=k) for n, k in zip(new, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*stay, *new])
+            for part in slices(batch, len(stay), slice_bytes):
+                yield mapped(part, work)
+                give_back()
 
-    return sent.mapInArrow(run, schema)
+    return sent.mapInArrow(trimmed(run), schema)
 
 
 def arrow_type(t: T.DataType) -> pa.DataType:

@@ -30,8 +30,12 @@ SEED = 11
 #: Distinct units whose lattices a task remembers, and their pieces' places (arcs), of 10 bytes each.
 UNITS_KEPT = 250_000
 ARCS_KEPT = 6_000_000
-#: Lattices are made for so many characters at once; a longer unit is on its own.
-GROW_CHARS = 200_000
+#: Lattices are made for so many characters at once, as their arcs take some hundreds of bytes a character meanwhile; a longer unit is on its own.
+GROW_CHARS = 25_000
+#: What is remembered of units that stay is moved for so many units at once.
+MOVE_UNITS = 5_000
+#: Texts are sampled in slices of about so many bytes: a slice's units and pieces take some 30 times as much meanwhile.
+SAMPLE_BYTES = 1 << 19
 #: Leading bits of a hash by which the table of beginnings of pieces is entered.
 HEAD_BITS = 20
 #: Shares of arcs are counted in these.
@@ -47,8 +51,8 @@ def units_in(texts: list) -> tuple[pa.Array, np.ndarray]:
     start = line.copy()
     start[1:] |= np.where(space[1:], ~space[:-1], line[:-1])
     start[(ends - lengths)[lengths > 0]] = True
-    upto = np.concatenate([[0], np.cumsum(start)])
-    return runs(data, np.nonzero(start)[0]), upto[ends] - upto[ends - lengths]
+    begins = np.nonzero(start)[0]
+    return runs(data, begins), np.searchsorted(begins, ends) - np.searchsorted(begins, ends - lengths)
 
 
 def characters(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +105,7 @@ class Vocabulary:
         self.heads, self.piece, self.weight = self.prefix_table()
         self.begin = np.searchsorted(self.heads, np.arange(1 << HEAD_BITS, dtype=np.uint64) << np.uint64(64 - HEAD_BITS))
         self.unknown = alpha * (-math.log(len(plain) + 2) - total)
-        self.lengths = np.array([len(b) for b in raw], np.int64)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw = pa.array(raw, pa.large_binary())
 
     def prefix_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of all beginnings of pieces; the piece that each one is (-1: none) and its weight."""
@@ -165,10 +167,11 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Texts of consecutive runs of ids; the leading space that encoding adds goes."""
-        n = self.lengths[ids]
-        raw = self.bytes[spread(self.first[ids], n)].tobytes()
-        ends = np.cumsum(sums(n, counts).astype(np.int64))
-        return [raw[a:b][1:] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        if not len(ids):
+            return [b""] * len(counts)
+        _, offsets, raw = self.raw.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.append(0, np.cumsum(counts))].tolist()
+        return [raw[a:b].to_pybytes()[1:] for a, b in zip(ends, ends[1:])]
 
 
 def drawn(keys: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
@@ -199,16 +202,24 @@ class Sampler:
             g.clear()
 
     def retain(self, kept: np.ndarray):
-        size = self.size.all[kept].astype(np.int64)
-        places = spread(self.start.all[kept].astype(np.int64), size + 1)
-        first = np.append(self.first.all, self.upto.n).astype(np.int64)
-        n = first[places + 1] - first[places]
-        arcs = spread(first[places], n)
-        for g in (self.upto, self.back, self.piece):
-            g.put(g.all[arcs])
-        self.first.put(np.cumsum(n) - n)
-        self.start.put(np.cumsum(size + 1) - size - 1)
-        self.size.put(size)
+        """Moves what is held of these units, in rising order, to the front, some units at a time: all at once it takes as much again."""
+        arcs_to = places_to = 0
+        n_places, n_arcs = self.first.n, self.upto.n
+        for k in range(0, len(kept), MOVE_UNITS):
+            some = kept[k : k + MOVE_UNITS]
+            size = self.size.all[some].astype(np.int64)
+            places = spread(self.start.all[some].astype(np.int64), size + 1)
+            first = self.first.all[places].astype(np.int64)
+            n = np.where(places + 1 < n_places, self.first.all[np.minimum(places + 1, n_places - 1)], n_arcs) - first
+            arcs = spread(first, n)
+            for g in (self.upto, self.back, self.piece):
+                g.all[arcs_to : arcs_to + len(arcs)] = g.all[arcs]
+            self.first.all[places_to : places_to + len(places)] = arcs_to + np.cumsum(n) - n
+            self.start.all[k : k + len(some)] = places_to + np.cumsum(size + 1) - size - 1
+            self.size.all[k : k + len(some)] = size
+            arcs_to, places_to = arcs_to + len(arcs), places_to + len(places)
+        self.upto.n = self.back.n = self.piece.n = arcs_to
+        self.first.n, self.start.n, self.size.n = places_to, len(kept), len(kept)
 
     def grow(self, units):
         part, held = [], 0
@@ -335,7 +346,7 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
 
         return work
 
-    return map_texts(docs, text, setup, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], keep, key)
+    return map_texts(docs, text, setup, [("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("lossless", T.BooleanType())], keep, key, SAMPLE_BYTES)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import Growing, WordCodes, map_texts, sample_rows, slices, spread, sums, texts_of, trim, words_in, workers_import, written
+from millrace.llm.common import Growing, WordCodes, give_back, map_texts, sample_rows, slices, spread, sums, texts_of, trim, trimmed, words_in, workers_import, written
 
 #: At most so many labelled texts of each class give the class counts, and so many of both the calibration.
 COUNT_ROWS = 2000
@@ -342,9 +342,10 @@ def corpus_words(docs: DataFrame, text: str) -> DataFrame:
                     seen[: len(held)] = held
                 before = before_each(coded, n, lengths)
                 seen[coded, np.where(before < 0, start, slots.all[before])] = True
+                give_back()
         yield flush()
 
-    sent = docs.select(F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, ", ".join(["word string", *[f"{c} long" for c in names]]))
+    sent = docs.select(F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(trimmed(run), ", ".join(["word string", *[f"{c} long" for c in names]]))
     whole = sent.groupBy("word").agg(*[F.bit_or(c).alias(c) for c in names])
     return written(whole.select("word", distinct([F.col(c) for c in names]).alias("n")), "words")
 

@@ -3,6 +3,7 @@
 import gzip
 import json
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -708,3 +709,34 @@ def test_subwords_of_many_new_words_are_worked_out_in_parts(monkeypatch):
     parts.grow(words)
     assert max(most) == language_id.GROW_WORDS < 5000
     assert np.allclose(whole.rows.all, parts.rows.all, atol=1e-9) and (whole.n.all == parts.n.all).all()
+
+
+def test_sampling_takes_little_beside_what_it_remembers():
+    """Two of its workers share an executor with a JVM: lattices of new units, what stays of them and a slice's ids are worked out in parts."""
+    texts = [" ".join(f"word{k}x{i * i}" for i in range(2000)).encode() for k in range(20)]
+    keys = np.arange(20)
+    sampler = piece_sampling.Sampler(piece_sampling.Vocabulary(PIECES))
+
+    def beside(step):
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        step()
+        after, most = tracemalloc.get_traced_memory()
+        return (most - max(before, after)) / 1e6
+
+    tracemalloc.start()
+    try:
+        grown = beside(lambda: sampler.sample(texts, keys))
+        sampler.sample(texts, keys)
+        ids, n = sampler.sample(texts, keys)
+        back: list = []
+        decoded = beside(lambda: back.extend(sampler.v.decode(ids, n)))
+        sampler.codes.limit = 3 * 30_000
+        shrunk = beside(sampler.codes.shrink)
+    finally:
+        tracemalloc.stop()
+    assert back == texts and 20_000 < sampler.size.n < 40_000
+    again, m = sampler.sample(texts, keys)
+    alone, k = piece_sampling.Sampler(sampler.v).sample(texts, keys)
+    assert again.tolist() == alone.tolist() == ids.tolist() and m.tolist() == k.tolist() == n.tolist()
+    assert grown < 30 and decoded < 5 and shrunk < 12
