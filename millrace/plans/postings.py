@@ -320,7 +320,7 @@ def arriving_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as arriving postings, ten of which belong together: one from a feed, one again, copies by other feeds, at once and after enrichment, one that differs
     in its source's spelling, another text, one observed before, two at the address of a copy, and one whose identity an old posting has."""
     k, none, now = F.col("o_orderkey"), F.lit(None).cast("string"), F.lit(dt.datetime(2026, 1, 1))
-    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("b", F.floor(k / 10).cast("string"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).withColumn("b", F.floor(k / 10).cast("string"))
     pick = lambda default, **by: F.element_at(F.array(*[by.get(f"r{i}", default) for i in range(10)]), (k % 10 + 1).cast("int"))
     words = lambda what: F.repeat(F.concat(F.lit(f"{what} "), F.col("b"), F.lit(" and more of it ")), 30)
     lone, text_, address = F.concat(F.lit("short "), k), words("duty"), F.concat(F.lit("https://jobs.example.com/jobs/"), F.col("b"), F.lit("-opening"))
@@ -332,7 +332,7 @@ def arriving_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = {"final_title": F.lit("Seller"), "final_company": F.col("company"), "final_description": F.col("d"), "final_url": F.col("url")}
     held = rows.where("id % 10 = 9").select((-F.col("id")).alias("id"), "title", "company", "location", F.lit("gone").alias("description"), "url", "source", "source_id").withColumn("created_at", now - F.make_dt_interval(days=F.lit(99)))
     seen = rows.where("id % 10 = 6").select("source", "source_id")
-    return arrivals.resolve(rows.withColumns(final).drop("d").repartition(7), held, seen, now)
+    return arrivals.resolve(rows.withColumns(final).drop("d"), held, seen, now)
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9+#-]+', ' ', 'g')) AS title, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'all') AS family, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS stem FROM part""")

@@ -41,8 +41,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{(found or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark removes what a query shuffled when it has ended; else shuffle files stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, read again."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    """Cuts the lineage: df as a table in the shared folder, read again. What was shuffled to make it is removed as soon as it is written."""
+    conf, path = df.sparkSession.conf, shared_path(df.sparkSession, what)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
